@@ -197,7 +197,8 @@ class FittedPrep:
         spark = df.sparkSession
         cat = self.categorical_columns
         self.n_by_cat = {}
-        long = df.select(y.alias("__y"), *[qcol(c).cast("string").alias(c) for c in cat]).unpivot(
+        yv = y if self.target_numeric else F.lit(0.0)  # text target: only counts are used
+        long = df.select(yv.alias("__y"), *[qcol(c).cast("string").alias(c) for c in cat]).unpivot(
             "__y", cat, "column", "category")
         grouped = long.groupBy("column", "category").agg(
             F.count(F.lit(1)).alias("n"), F.sum("__y").alias("s"))
@@ -310,6 +311,12 @@ class FittedPrep:
             out.append(z.alias(prefix + c))
         return df.select(*[qcol(k) for k in keep], *out)
 
+    def impute(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """Nulls replaced by the train medians (numeric, as double) and modes (categorical, as text)."""
+        out = [(self._num_fitted(c) if c in self.numeric_columns else self._cat_fitted(c)).alias(c)
+               for c in self.features]
+        return df.select(*[qcol(k) for k in keep], *out)
+
     def transform_fit(self, df: DataFrame, keep: list[str] = (), prefix: str = "") -> DataFrame:
         """Training rows as fit_transform leaves them (constant columns become 0)."""
         return self._apply(df, list(keep), self._num_fitted, self._cat_fitted, True, prefix)
