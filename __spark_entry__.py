@@ -289,6 +289,235 @@ def q_encoding_salted_join(spark, sf):
     return _hc_query(spark, sf, map_max=0, broadcast_bytes=0, hot_share=0.001, salt_buckets=8)
 
 
+# --------------------------------------------------------------------------- schema ops (B)
+from tabforge.operators import schema as schema_ops  # noqa: E402
+
+
+@register("project_features", """SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem""")
+def q_project_features(spark, sf):
+    return schema_ops.project_features(fx.table(spark, sf, "lineitem"),
+                                       ["l_quantity", "l_discount", "l_tax"], "l_returnflag")
+
+
+@register("drop_null_target", f"""WITH {ORDERS_ML_SQL}
+SELECT o_orderkey, ynull, CAST((SELECT count(*) FROM o WHERE ynull IS NULL) AS BIGINT) AS removed
+FROM o WHERE ynull IS NOT NULL""")
+def q_drop_null_target(spark, sf):
+    o = fx.orders_ml(spark, sf)
+    kept, original, removed = schema_ops.drop_null_target(o, "ynull")
+    return kept.select("o_orderkey", "ynull", F.lit(removed).cast("bigint").alias("removed"))
+
+
+def _kinds_input(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("cust_nulls"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"),
+        "o_orderstatus",
+        (F.col("o_orderstatus") == "F").alias("flag"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus") == "F").alias("flag_nulls"),
+        "o_orderdate")
+
+
+_KINDS_SQL = """WITH t AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS cust_nulls,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x, o_orderstatus,
+         o_orderstatus = 'F' AS flag, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus = 'F' END AS flag_nulls,
+         o_orderdate FROM orders),
+nc AS (SELECT count(*) - count(o_orderkey) AS n0, count(*) - count(cust_nulls) AS n1, count(*) - count(x) AS n2,
+              count(*) - count(flag) AS n4, count(*) - count(flag_nulls) AS n5 FROM t)
+SELECT 0 AS ordinal, 'o_orderkey' AS name, 'bigint' AS dtype, 'numeric' AS kind,
+       CASE WHEN n0 > 0 THEN 'float64' ELSE 'int64' END AS pandas_dtype FROM nc
+UNION ALL SELECT 1, 'cust_nulls', 'bigint', 'numeric', CASE WHEN n1 > 0 THEN 'float64' ELSE 'int64' END FROM nc
+UNION ALL SELECT 2, 'x', 'double', 'numeric', 'float64' FROM nc
+UNION ALL SELECT 3, 'o_orderstatus', 'string', 'categorical', 'object' FROM nc
+UNION ALL SELECT 4, 'flag', 'boolean', CASE WHEN n4 > 0 THEN 'categorical' ELSE 'numeric' END,
+                 CASE WHEN n4 > 0 THEN 'object' ELSE 'bool' END FROM nc
+UNION ALL SELECT 5, 'flag_nulls', 'boolean', CASE WHEN n5 > 0 THEN 'categorical' ELSE 'numeric' END,
+                 CASE WHEN n5 > 0 THEN 'object' ELSE 'bool' END FROM nc
+UNION ALL SELECT 6, 'o_orderdate', 'timestamp_ntz', 'categorical', 'datetime64[ns]' FROM nc"""
+
+
+@register("column_kinds", _KINDS_SQL)
+def q_column_kinds(spark, sf):
+    return schema_ops.kinds_frame(_kinds_input(spark, sf))
+
+
+@register("align_columns", """SELECT o_orderkey, o_totalprice AS price, o_orderpriority AS "Priority",
+       0.0::DOUBLE AS missing_feat FROM orders""")
+def q_align_columns(spark, sf):
+    o = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias(" O_ORDERKEY "), F.col("o_totalprice").alias("Price"),
+        F.col("o_orderpriority").alias("priority "), F.col("o_custkey").alias("extra_col"))
+    return schema_ops.align_columns(o, ["o_orderkey", "price", "Priority", "missing_feat"])
+
+
+@register("missing_column_default", """SELECT o_totalprice, 0.0::DOUBLE AS ghost_num, CAST(NULL AS VARCHAR) AS ghost_cat
+FROM orders""")
+def q_missing_column_default(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    return schema_ops.align_columns(o, ["O_TOTALPRICE", "ghost_num", "ghost_cat"],
+                                    numeric=["O_TOTALPRICE", "ghost_num"]).withColumnRenamed(
+        "O_TOTALPRICE", "o_totalprice")
+
+
+_EXPECTED = ["L_QUANTITY ", "l_discount", "o_totalprice", "c_acctbal", "p_size", "value"]
+
+
+@register("schema_match_ratio", """SELECT table_name,
+       CAST(count(*) FILTER (WHERE lower(trim(column_name)) IN
+            ('l_quantity', 'l_discount', 'o_totalprice', 'c_acctbal', 'p_size', 'value')) AS BIGINT) AS matched,
+       round(count(*) FILTER (WHERE lower(trim(column_name)) IN
+            ('l_quantity', 'l_discount', 'o_totalprice', 'c_acctbal', 'p_size', 'value')) / 6.0, 6) AS ratio,
+       count(*) FILTER (WHERE lower(trim(column_name)) IN
+            ('l_quantity', 'l_discount', 'o_totalprice', 'c_acctbal', 'p_size', 'value')) / 6.0 >= 0.5 AS ok
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+                     'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+GROUP BY table_name""")
+def q_schema_match_ratio(spark, sf):
+    from tabforge.sources.tables import TABLES
+    rows = []
+    for t in TABLES:
+        cols = fx.table(spark, sf, t).columns  # schema of each table (footer read, no job)
+        r = schema_ops.schema_match(cols, _EXPECTED)
+        matched = len({c.lower().strip() for c in cols} & {c.lower().strip() for c in _EXPECTED})
+        rows.append((t, matched, round(r["ratio"], 6), r["ok"]))
+    return spark.createDataFrame(rows, "table_name string, matched bigint, ratio double, ok boolean")
+
+
+@register("nan_to_null", """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS v,
+       o_orderkey % 13 = 0 AS was_nan FROM orders""")
+def q_nan_to_null(spark, sf):
+    o = fx.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("v"))
+    return schema_ops.nan_to_null_all(o).select("o_orderkey", "v", F.col("v").isNull().alias("was_nan"))
+
+
+@register("coerce_numeric_text", """SELECT o_orderkey,
+       TRY_CAST(trim(CASE WHEN o_orderkey % 9 = 0 THEN 'x' WHEN o_orderkey % 10 = 0 THEN ''
+                          WHEN o_orderkey % 11 = 0 THEN '  ' || CAST(o_totalprice AS VARCHAR) || ' '
+                          ELSE CAST(o_totalprice AS VARCHAR) END) AS DOUBLE) AS price FROM orders""")
+def q_coerce_numeric_text(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    txt = (F.when(F.col("o_orderkey") % 9 == 0, "x").when(F.col("o_orderkey") % 10 == 0, "")
+           .when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("  "), F.col("o_totalprice").cast("string"), F.lit(" ")))
+           .otherwise(F.col("o_totalprice").cast("string")))
+    return schema_ops.coerce_numeric_text(o.select("o_orderkey", txt.alias("price")), ["price"])
+
+
+@register("score_json_records", """SELECT event_id, TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE) AS k
+FROM events""")
+def q_score_json_records(spark, sf):
+    from tabforge.sources.records import parse_records
+    ev = fx.table(spark, sf, "events")
+    rec = ev.select("event_id", parse_records(F.col("props"), ["k"]).alias("r")).select("event_id", "r.k")
+    return schema_ops.coerce_numeric_text(rec, ["k"])
+
+
+# --------------------------------------------------------------------------- profile (C)
+from tabforge.operators import profile as prof  # noqa: E402
+
+_PROFILE_SQL = f"""{ORDERS_ML_SQL},
+p AS (SELECT o_orderkey, x, c, hc, ynull, ys FROM o)"""
+
+
+def _profile_input(spark, sf):
+    return fx.orders_ml(spark, sf).select("o_orderkey", "x", "c", "hc", "ynull", "ys")
+
+
+@register("profile_shape", """SELECT count(*) AS num_rows,
+       (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = 'lineitem') AS num_columns
+FROM lineitem""")
+def q_profile_shape(spark, sf):
+    return prof.shape(fx.table(spark, sf, "lineitem"))
+
+
+_LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+            "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("profile_unique_counts", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count FROM lineitem" for c in _LI_COLS))
+def q_profile_unique_counts(spark, sf):
+    return prof.counts(fx.table(spark, sf, "lineitem")).select(F.col("column").alias("column_name"), "unique_count")
+
+
+@register("profile_unique_counts_approx", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) BETWEEN 0.9 * count(DISTINCT {c}) AND 1.1 * count(DISTINCT {c})"
+    f" AS within_10pct FROM lineitem" for c in _LI_COLS))
+def q_profile_unique_counts_approx(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    a = prof.counts(li, approx=True).select("column", F.col("unique_count").alias("a"))
+    e = prof.counts(li).select("column", F.col("unique_count").alias("e"))
+    return a.join(e, "column").select(F.col("column").alias("column_name"),
+                                      F.col("a").between(0.9 * F.col("e"), 1.1 * F.col("e")).alias("within_10pct"))
+
+
+_PCOLS = ["o_orderkey", "x", "c", "hc", "ynull", "ys"]
+
+
+@register("profile_null_counts", f"WITH {_PROFILE_SQL}\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count FROM p" for c in _PCOLS))
+def q_profile_null_counts(spark, sf):
+    return prof.counts(_profile_input(spark, sf)).select(F.col("column").alias("column_name"), "null_count")
+
+
+@register("profile_null_pct", f"WITH {_PROFILE_SQL}\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round((count(*) - count({c})) / count(*) * 100.0, 6) AS null_percentage FROM p"
+    for c in _PCOLS))
+def q_profile_null_pct(spark, sf):
+    return prof.counts(_profile_input(spark, sf)).select(F.col("column").alias("column_name"),
+                                                         r6(F.col("null_percentage")).alias("null_percentage"))
+
+
+@register("profile_samples", f"WITH {_PROFILE_SQL},\nl AS (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, o_orderkey AS k, CAST({c} AS VARCHAR) AS value FROM p WHERE {c} IS NOT NULL"
+    for c in _PCOLS) + """)
+SELECT column_name, rn, value FROM (
+  SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY k) AS INTEGER) AS rn FROM l)
+WHERE rn <= 5""")
+def q_profile_samples(spark, sf):
+    return prof.samples_long(_profile_input(spark, sf), key=["o_orderkey"]).select(
+        F.col("column").alias("column_name"), "rn", "value")
+
+
+_PROFILE_TABLE_SQL = f"WITH {_PROFILE_SQL},\nl AS (" + "\nUNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS name, o_orderkey AS k, CAST({c} AS VARCHAR) AS value FROM p"
+    for i, c in enumerate(_PCOLS)) + """),
+s AS (SELECT name, string_agg(value, '|' ORDER BY k) AS samples FROM (
+        SELECT name, k, value, row_number() OVER (PARTITION BY name ORDER BY k) AS rn FROM l WHERE value IS NOT NULL)
+      WHERE rn <= 5 GROUP BY name),
+g AS (SELECT ordinal, name, count(DISTINCT value) AS unique_count, count(*) - count(value) AS null_count,
+             round((count(*) - count(value)) / count(*) * 100.0, 6) AS null_percentage FROM l GROUP BY ordinal, name)
+SELECT g.ordinal::INTEGER AS ordinal, g.name,
+       CASE g.name WHEN 'o_orderkey' THEN 'int64' WHEN 'x' THEN 'float64' WHEN 'ynull' THEN 'float64'
+                   ELSE 'object' END AS dtype,
+       CASE WHEN g.name IN ('o_orderkey', 'x', 'ynull') THEN 'numeric' ELSE 'categorical' END AS kind,
+       unique_count, null_count, null_percentage, s.samples
+FROM g LEFT JOIN s USING (name)"""
+
+
+@register("profile_table", _PROFILE_TABLE_SQL)
+def q_profile_table(spark, sf):
+    t = prof.profile_table(_profile_input(spark, sf), key=["o_orderkey"])
+    return t.select("ordinal", "name", "dtype", "kind", "unique_count", "null_count",
+                    r6(F.col("null_percentage")).alias("null_percentage"),
+                    F.array_join("sample_values", "|").alias("samples"))
+
+
+@register("profile_tally", f"""{_PROFILE_TABLE_SQL.replace("SELECT g.ordinal::INTEGER", ", t AS (SELECT g.ordinal::INTEGER", 1)})
+SELECT CAST(sum(CASE WHEN dtype LIKE '%int%' OR dtype LIKE '%float%' THEN 1 ELSE 0 END) AS BIGINT) AS numeric_columns,
+       CAST(sum(CASE WHEN dtype LIKE '%int%' OR dtype LIKE '%float%' THEN 0 ELSE 1 END) AS BIGINT) AS categorical_columns,
+       CAST(sum(CASE WHEN null_percentage > 20 THEN 1 ELSE 0 END) AS BIGINT) AS high_null_columns,
+       CAST(sum(CASE WHEN null_percentage > 0 AND null_percentage <= 20 THEN 1 ELSE 0 END) AS BIGINT)
+         AS some_null_columns
+FROM t""")
+def q_profile_tally(spark, sf):
+    return prof.tally(prof.profile_table(_profile_input(spark, sf), key=["o_orderkey"]))
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: split -> leak-free fit on train -> transformed training rows."""
