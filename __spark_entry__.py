@@ -518,6 +518,234 @@ def q_profile_tally(spark, sf):
     return prof.tally(prof.profile_table(_profile_input(spark, sf), key=["o_orderkey"]))
 
 
+# --------------------------------------------------------------------------- metrics (H)
+from tabforge.operators import metrics as M  # noqa: E402
+from tabforge.operators.rank import leaderboard  # noqa: E402
+
+_PRED_SQL = "CASE WHEN l_quantity > 25 THEN 'R' WHEN l_discount > 0.05 THEN 'A' ELSE 'N' END"
+
+
+def _pred_col():
+    return (F.when(F.col("l_quantity") > 25, "R").when(F.col("l_discount") > 0.05, "A").otherwise("N"))
+
+
+def _prf_sql(d: str, pos: str = "1") -> str:
+    """Oracle for precision/recall/F1 over ``d(grp, l, p)`` with the binary / weighted / error rules."""
+    return f"""WITH d AS ({d}),
+cls AS (SELECT grp, l AS c FROM d UNION SELECT grp, p FROM d),
+pc AS (SELECT cls.grp, cls.c,
+              (SELECT count(*) FROM d WHERE d.grp = cls.grp AND d.l = cls.c AND d.p = cls.c) AS tp,
+              (SELECT count(*) FROM d WHERE d.grp = cls.grp AND d.p = cls.c AND d.l <> cls.c) AS fp,
+              (SELECT count(*) FROM d WHERE d.grp = cls.grp AND d.l = cls.c AND d.p <> cls.c) AS fn,
+              (SELECT count(*) FROM d WHERE d.grp = cls.grp AND d.l = cls.c) AS support FROM cls),
+m AS (SELECT grp, c, support,
+             coalesce(tp / nullif(tp + fp, 0), 0.0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0.0) AS rc,
+             coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f FROM pc),
+a AS (SELECT grp, count(*) FILTER (WHERE support > 0) AS nl, count(*) AS nc,
+             coalesce(bool_or(c = {pos}), false) AS has_pos,
+             max(pr) FILTER (WHERE c = {pos}) AS bp, max(rc) FILTER (WHERE c = {pos}) AS br,
+             max(f) FILTER (WHERE c = {pos}) AS bf,
+             sum(support * pr) / sum(support) AS wp, sum(support * rc) / sum(support) AS wr,
+             sum(support * f) / sum(support) AS wf FROM m GROUP BY grp)
+SELECT grp,
+  round(CASE WHEN nl = 2 AND (nc > 2 OR NOT has_pos) THEN 0.0 WHEN nl = 2 THEN coalesce(bp, 0.0) ELSE wp END, 6) AS precision,
+  round(CASE WHEN nl = 2 AND (nc > 2 OR NOT has_pos) THEN 0.0 WHEN nl = 2 THEN coalesce(br, 0.0) ELSE wr END, 6) AS recall,
+  round(CASE WHEN nl = 2 AND (nc > 2 OR NOT has_pos) THEN 0.0 WHEN nl = 2 THEN coalesce(bf, 0.0) ELSE wf END, 6) AS f1
+FROM a"""
+
+
+def _prf_spark(df, label, pred):
+    out = M.precision_recall_f1(df, label, pred, positive_label=1, group=["grp"])
+    return out.select("grp", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("metric_accuracy", f"""SELECT l_linestatus, round(avg(CASE WHEN l_returnflag = {_PRED_SQL} THEN 1.0 ELSE 0.0 END), 6)
+       AS accuracy FROM lineitem GROUP BY l_linestatus""")
+def q_metric_accuracy(spark, sf):
+    li = fx.table(spark, sf, "lineitem").withColumn("pred", _pred_col())
+    return M.accuracy(li, "l_returnflag", "pred", ["l_linestatus"]).select(
+        "l_linestatus", r6(F.col("accuracy")).alias("accuracy"))
+
+
+_AUC_SQL_TAIL = """g AS (SELECT grp, s, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY grp, s),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS nb FROM g),
+a AS (SELECT grp, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (nb + n / 2.0)) / (sum(p) * sum(n)) END AS auc
+      FROM c GROUP BY grp)"""
+
+
+@register("metric_auc_binary", f"""WITH e AS (SELECT 'all' AS grp, (l_returnflag = 'R')::INT AS y, l_quantity AS s
+  FROM lineitem),
+{_AUC_SQL_TAIL}
+SELECT round(auc, 6) AS auc FROM a""")
+def q_metric_auc_binary(spark, sf):
+    li = fx.table(spark, sf, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return M.auc_binary(li, "y", "l_quantity").select(r6(F.col("auc")).alias("auc"))
+
+
+@register("metric_auc_binary_bucketed", f"""WITH e AS (SELECT 'all' AS grp, (l_returnflag = 'R')::INT AS y,
+  l_extendedprice AS s FROM lineitem),
+{_AUC_SQL_TAIL}
+SELECT round(auc, 6) AS auc FROM a""")
+def q_metric_auc_binary_bucketed(spark, sf):
+    # same statistic through the range-bucketed path (distinct scores split over several tasks)
+    li = fx.table(spark, sf, "lineitem")
+    return M.auc(li, (F.col("l_returnflag") == "R").cast("int"), F.col("l_extendedprice"),
+                 max_scores_per_task=5_000).select(r6(F.col("auc")).alias("auc"))
+
+
+_PROBS_SQL = """(l_quantity + 100 * l_discount + 100 * l_tax + 2)"""
+
+
+def _probs(li):
+    tot = F.col("l_quantity") + 100 * F.col("l_discount") + 100 * F.col("l_tax") + 2
+    return li.select("l_returnflag", (F.col("l_quantity") / tot).alias("pA"),
+                     ((100 * F.col("l_discount") + 1) / tot).alias("pN"), ((100 * F.col("l_tax") + 1) / tot).alias("pR"))
+
+
+@register("metric_auc_ovr", f"""WITH e AS (
+  SELECT 'A' AS grp, (l_returnflag = 'A')::INT AS y, l_quantity / {_PROBS_SQL} AS s FROM lineitem
+  UNION ALL SELECT 'N', (l_returnflag = 'N')::INT, (100 * l_discount + 1) / {_PROBS_SQL} FROM lineitem
+  UNION ALL SELECT 'R', (l_returnflag = 'R')::INT, (100 * l_tax + 1) / {_PROBS_SQL} FROM lineitem),
+{_AUC_SQL_TAIL}
+SELECT round(avg(auc), 6) AS auc FROM a""")
+def q_metric_auc_ovr(spark, sf):
+    p = _probs(fx.table(spark, sf, "lineitem"))
+    return M.auc_ovr(p, "l_returnflag", {"A": "pA", "N": "pN", "R": "pR"}).select(r6(F.col("auc")).alias("auc"))
+
+
+_GRP_SQL = "CASE WHEN l_returnflag = 'A' THEN 'single' ELSE l_linestatus END"
+
+
+@register("metric_auc_fallback", f"""WITH e AS (SELECT {_GRP_SQL} AS grp, (l_returnflag = 'R')::INT AS y,
+  l_quantity AS s, (l_quantity > 25)::INT AS pred FROM lineitem),
+{_AUC_SQL_TAIL},
+acc AS (SELECT grp, avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END) AS accuracy, count(DISTINCT y) AS k FROM e GROUP BY grp)
+SELECT grp, round(accuracy, 6) AS accuracy, round(CASE WHEN k = 2 AND auc IS NOT NULL THEN auc ELSE accuracy END, 6) AS auc
+FROM acc LEFT JOIN a USING (grp)""")
+def q_metric_auc_fallback(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") == "A", "single").otherwise(F.col("l_linestatus")).alias("grp"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity",
+        (F.col("l_quantity") > 25).cast("int").alias("pred"))
+    m = M.classification_metrics(li, "y", "pred", score="l_quantity", group=["grp"])
+    return m.select("grp", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("auc")).alias("auc"))
+
+
+@register("metric_prf_binary", _prf_sql("SELECT 'labels' AS grp, quality AS l, 1 - toxic AS p FROM labels"))
+def q_metric_prf_binary(spark, sf):
+    lab = fx.table(spark, sf, "labels").select(F.lit("labels").alias("grp"), F.col("quality").alias("l"),
+                                               (1 - F.col("toxic")).alias("p"))
+    return _prf_spark(lab, "l", "p")
+
+
+@register("metric_prf_weighted", _prf_sql(f"SELECT l_linestatus AS grp, l_returnflag AS l, {_PRED_SQL} AS p FROM lineitem", "'1'"))
+def q_metric_prf_weighted(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("grp"), F.col("l_returnflag").alias("l"),
+                                                _pred_col().alias("p"))
+    out = M.precision_recall_f1(li, "l", "p", positive_label="1", group=["grp"])
+    return out.select("grp", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("metric_prf_no_label_1", _prf_sql(
+    "SELECT 'no_label_1' AS grp, quality * 2 AS l, (1 - toxic) * 2 AS p FROM labels "
+    "UNION ALL SELECT 'third_class', quality, CASE WHEN toxic = 1 THEN 2 ELSE quality END FROM labels "
+    "UNION ALL SELECT 'one_class', 0, toxic FROM labels"))
+def q_metric_prf_no_label_1(spark, sf):
+    lab = fx.table(spark, sf, "labels")
+    d = (lab.select(F.lit("no_label_1").alias("grp"), (F.col("quality") * 2).alias("l"), ((1 - F.col("toxic")) * 2).alias("p"))
+         .unionByName(lab.select(F.lit("third_class").alias("grp"), F.col("quality").alias("l"),
+                                 F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("p")))
+         .unionByName(lab.select(F.lit("one_class").alias("grp"), F.lit(0).alias("l"), F.col("toxic").alias("p"))))
+    return _prf_spark(d, "l", "p")
+
+
+_REG_SQL = """SELECT l_returnflag, CASE WHEN l_orderkey % 17 = 0 THEN 0.0 ELSE l_extendedprice END AS y,
+       1000 + l_quantity * 1400 AS p FROM lineitem"""
+
+
+def _reg_metrics(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select(
+        "l_returnflag", F.when(F.col("l_orderkey") % 17 == 0, 0.0).otherwise(F.col("l_extendedprice")).alias("y"),
+        (1000 + F.col("l_quantity") * 1400).alias("p"))
+    return M.regression_metrics(li, "y", "p", ["l_returnflag"])
+
+
+@register("metric_rmse", f"WITH d AS ({_REG_SQL}) SELECT l_returnflag, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse "
+                         "FROM d GROUP BY l_returnflag")
+def q_metric_rmse(spark, sf):
+    return _reg_metrics(spark, sf).select("l_returnflag", r6(F.col("rmse")).alias("rmse"))
+
+
+@register("metric_mae", f"WITH d AS ({_REG_SQL}) SELECT l_returnflag, round(avg(abs(y - p)), 6) AS mae "
+                        "FROM d GROUP BY l_returnflag")
+def q_metric_mae(spark, sf):
+    return _reg_metrics(spark, sf).select("l_returnflag", r6(F.col("mae")).alias("mae"))
+
+
+@register("metric_r2", f"""WITH d AS ({_REG_SQL}),
+s AS (SELECT l_returnflag, sum((y - p) * (y - p)) AS ss_res, var_pop(y) * count(y) AS ss_tot FROM d GROUP BY l_returnflag)
+SELECT l_returnflag, round(CASE WHEN ss_tot > 0 THEN 1 - ss_res / ss_tot WHEN ss_res = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2
+FROM s""")
+def q_metric_r2(spark, sf):
+    return _reg_metrics(spark, sf).select("l_returnflag", r6(F.col("r2")).alias("r2"))
+
+
+@register("metric_mape", f"""WITH d AS ({_REG_SQL})
+SELECT l_returnflag, round(coalesce(avg(abs((y - p) / y)) FILTER (WHERE y <> 0) * 100, 0.0), 6) AS mape
+FROM d GROUP BY l_returnflag""")
+def q_metric_mape(spark, sf):
+    return _reg_metrics(spark, sf).select("l_returnflag", r6(F.col("mape")).alias("mape"))
+
+
+@register("leaderboard_rank", f"""WITH e AS (
+  SELECT {_GRP_SQL} || '|quantity' AS grp, (l_returnflag = 'R')::INT AS y, l_quantity AS s FROM lineitem
+  UNION ALL SELECT {_GRP_SQL} || '|discount', (l_returnflag = 'R')::INT, l_discount FROM lineitem
+  UNION ALL SELECT {_GRP_SQL} || '|tax', (l_returnflag = 'R')::INT, l_tax FROM lineitem),
+{_AUC_SQL_TAIL},
+r AS (SELECT split_part(grp, '|', 1) AS run_id, split_part(grp, '|', 2) AS scorer, coalesce(auc, 0.0) AS pv,
+             CASE split_part(grp, '|', 2) WHEN 'quantity' THEN 0 WHEN 'discount' THEN 1 ELSE 2 END AS algo_ordinal FROM a)
+SELECT run_id, scorer, CAST(row_number() OVER (PARTITION BY run_id ORDER BY pv DESC, algo_ordinal) AS INTEGER) AS rank,
+       round(pv, 6) AS primary_metric_value FROM r""")
+def q_leaderboard_rank(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    run = F.when(F.col("l_returnflag") == "A", "single").otherwise(F.col("l_linestatus"))
+    y = (F.col("l_returnflag") == "R").cast("int")
+    scorers = [("quantity", 0, "l_quantity"), ("discount", 1, "l_discount"), ("tax", 2, "l_tax")]
+    long = None
+    for name, i, c in scorers:
+        part = li.select(run.alias("run_id"), F.lit(name).alias("scorer"), F.lit(i).alias("algo_ordinal"),
+                         y.alias("y"), F.col(c).cast("double").alias("s"))
+        long = part if long is None else long.unionByName(part)
+    res = M.auc(long, F.col("y"), F.col("s"), ["run_id", "scorer", "algo_ordinal"])
+    lb = leaderboard(res, run="run_id", ordinal="algo_ordinal", classification=True)
+    return lb.select("run_id", "scorer", F.col("rank").cast("int").alias("rank"),
+                     r6(F.col("primary_metric_value")).alias("primary_metric_value"))
+
+
+@register("leaderboard_rank_regression", """WITH d AS (
+  SELECT l_returnflag AS run_id, 'linear' AS predictor, 0 AS algo_ordinal, l_extendedprice AS y, 1000 + l_quantity * 1400 AS p
+  FROM lineitem
+  UNION ALL SELECT l_returnflag, 'per_unit', 1, l_extendedprice, l_quantity * 1500 FROM lineitem
+  UNION ALL SELECT l_returnflag, 'constant', 2, l_extendedprice, 38000.0 FROM lineitem),
+r AS (SELECT run_id, predictor, algo_ordinal, sqrt(avg((y - p) * (y - p))) AS rmse FROM d GROUP BY ALL)
+SELECT run_id, predictor, CAST(row_number() OVER (PARTITION BY run_id ORDER BY -rmse DESC, algo_ordinal) AS INTEGER) AS rank,
+       round(rmse, 6) AS primary_metric_value FROM r""")
+def q_leaderboard_rank_regression(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    preds = [("linear", 0, 1000 + F.col("l_quantity") * 1400), ("per_unit", 1, F.col("l_quantity") * 1500),
+             ("constant", 2, F.lit(38000.0))]
+    long = None
+    for name, i, p in preds:
+        part = li.select(F.col("l_returnflag").alias("run_id"), F.lit(name).alias("predictor"),
+                         F.lit(i).alias("algo_ordinal"), F.col("l_extendedprice").alias("y"), p.cast("double").alias("p"))
+        long = part if long is None else long.unionByName(part)
+    res = M.regression_metrics(long, "y", "p", ["run_id", "predictor", "algo_ordinal"])
+    lb = leaderboard(res, run="run_id", ordinal="algo_ordinal", classification=False)
+    return lb.select("run_id", "predictor", F.col("rank").cast("int").alias("rank"),
+                     r6(F.col("primary_metric_value")).alias("primary_metric_value"))
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: split -> leak-free fit on train -> transformed training rows."""
