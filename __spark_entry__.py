@@ -746,6 +746,94 @@ def q_leaderboard_rank_regression(spark, sf):
                      r6(F.col("primary_metric_value")).alias("primary_metric_value"))
 
 
+# --------------------------------------------------------------------------- run log (J)
+from tabforge.operators import runlog as RL  # noqa: E402
+from tabforge.plans.fixtures import RUNLOG_SQL  # noqa: E402
+
+
+@register("runs_with_dataset", f"""WITH {RUNLOG_SQL}
+SELECT ex.experiment_id, ex.name, ex.dataset_id, d.name AS dataset_name, ex.problem_type,
+       strftime(ex.created_at, '%d/%m/%Y %H:%M') AS created_display
+FROM ex LEFT JOIN (SELECT * FROM ds WHERE dataset_id % 6 <> 0) d USING (dataset_id)""")
+def q_runs_with_dataset(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    live = t["datasets"].where(F.col("dataset_id") % 6 != 0)  # some datasets are gone
+    return RL.runs_with_dataset(t["experiments"], live).drop("created_at")
+
+
+@register("latest_runs", f"""WITH {RUNLOG_SQL}
+(SELECT 'experiment' AS kind, experiment_id AS id, name FROM ex ORDER BY created_at DESC, experiment_id DESC LIMIT 5)
+UNION ALL
+(SELECT 'dataset', dataset_id, name FROM ds ORDER BY created_at DESC, dataset_id DESC LIMIT 5)""")
+def q_latest_runs(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    e = RL.latest(t["experiments"], "created_at", "experiment_id", 5).select(
+        F.lit("experiment").alias("kind"), F.col("experiment_id").alias("id"), "name")
+    d = RL.latest(t["datasets"], "created_at", "dataset_id", 5).select(
+        F.lit("dataset").alias("kind"), F.col("dataset_id").alias("id"), "name")
+    return e.unionByName(d)
+
+
+@register("best_model_per_run", f"""WITH {RUNLOG_SQL}
+SELECT ex.experiment_id, ex.name, b.model_id AS best_model_id, b.algorithm_name AS best_algorithm,
+       round(b.primary_metric_value, 6) AS best_value
+FROM ex LEFT JOIN (SELECT * FROM mo WHERE rank = 1) b USING (experiment_id)""")
+def q_best_model_per_run(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    b = RL.best_model_per_run(t["experiments"], t["models"])
+    return b.select("experiment_id", "name", "best_model_id", "best_algorithm", r6(F.col("best_value")).alias("best_value"))
+
+
+@register("models_by_rank", f"""WITH {RUNLOG_SQL}
+SELECT model_id, experiment_id, CAST(coalesce(nullif(rank, 0), 999) AS INTEGER) AS rank_order FROM mo""")
+def q_models_by_rank(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    return RL.models_by_rank(t["models"]).select("model_id", "experiment_id", F.col("rank_order").cast("int"))
+
+
+_PROMO_SQL = f"""WITH {RUNLOG_SQL},
+st2 AS (SELECT m.model_id, m.experiment_id,
+  coalesce((SELECT CASE WHEN e.model_id = m.model_id THEN e.deploy_api ELSE false END FROM pr e
+            WHERE e.experiment_id = m.experiment_id AND (e.model_id = m.model_id OR e.deploy_api)
+            ORDER BY e.seq DESC LIMIT 1), false) AS is_deployed_api,
+  coalesce((SELECT CASE WHEN e.model_id = m.model_id THEN e.deploy_batch ELSE false END FROM pr e
+            WHERE e.experiment_id = m.experiment_id AND (e.model_id = m.model_id OR e.deploy_batch)
+            ORDER BY e.seq DESC LIMIT 1), false) AS is_deployed_batch
+  FROM mo m)"""
+
+
+@register("promote_model", _PROMO_SQL + "\nSELECT model_id, experiment_id, is_deployed_api, is_deployed_batch FROM st2")
+def q_promote_model(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    return RL.promotion_state(t["models"], t["events"])
+
+
+@register("promoted_model", _PROMO_SQL + """
+SELECT experiment_id, min(model_id) AS model_id FROM st2 WHERE is_deployed_batch GROUP BY experiment_id""")
+def q_promoted_model(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    return RL.promoted_model(RL.promotion_state(t["models"], t["events"]), "is_deployed_batch")
+
+
+@register("purge_cascade", f"""WITH {RUNLOG_SQL},
+e2 AS (SELECT * FROM ex WHERE dataset_id NOT IN (SELECT id FROM tb WHERE kind = 'dataset')
+                          AND experiment_id NOT IN (SELECT id FROM tb WHERE kind = 'experiment'))
+SELECT model_id, experiment_id FROM mo WHERE experiment_id IN (SELECT experiment_id FROM e2)""")
+def q_purge_cascade(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    d2, e2, m2 = RL.purge_cascade(t["datasets"], t["experiments"], t["models"], t["tombstones"])
+    return m2.select("model_id", "experiment_id")
+
+
+@register("run_current_status", f"""WITH {RUNLOG_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY ts DESC, seq DESC) AS k,
+             count(*) OVER (PARTITION BY experiment_id) AS n_events FROM st)
+SELECT experiment_id, status, message, n_events FROM r WHERE k = 1""")
+def q_run_current_status(spark, sf):
+    t = fx.runlog_tables(spark, sf)
+    return RL.current_status(t["events"])
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: split -> leak-free fit on train -> transformed training rows."""

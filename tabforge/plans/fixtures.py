@@ -59,3 +59,72 @@ LINEITEM_ML_SQL = """li AS (
          substr(md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                 CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))), 1, 8) < '33333333' AS is_test
   FROM lineitem)"""
+
+
+def runlog_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Run-log tables derived from the driver tables: nation -> datasets, customer -> experiments,
+    orders -> trained models (ranked by price within the customer) and status / promotion events."""
+    from pyspark.sql import Window
+
+    n = table(spark, sf, "nation")
+    c = table(spark, sf, "customer")
+    o = table(spark, sf, "orders")
+    base = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    datasets = n.select(F.col("n_nationkey").cast("bigint").alias("dataset_id"), F.col("n_name").alias("name"),
+                        (base + F.make_dt_interval(F.col("n_nationkey"), F.lit(0), F.lit(0), F.lit(0))).alias("created_at"))
+    experiments = c.select(
+        F.col("c_custkey").alias("experiment_id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("bigint").alias("dataset_id"),
+        F.when(F.col("c_custkey") % 2 == 0, "classification").otherwise("regression").alias("problem_type"),
+        (base + F.make_dt_interval(F.lit(0), F.lit(0), F.col("c_custkey"), F.lit(0))).alias("created_at"))
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    rn = F.row_number().over(w)
+    models = o.select(
+        F.col("o_orderkey").alias("model_id"), F.col("o_custkey").alias("experiment_id"),
+        F.element_at(F.array(F.lit("Logistic Regression"), F.lit("Random Forest"), F.lit("Gradient Boosting")),
+                     (F.col("o_orderkey") % 3 + 1).cast("int")).alias("algorithm_name"),
+        F.col("o_totalprice").alias("primary_metric_value"),
+        rn.alias("rn"))
+    models = models.select(
+        "model_id", "experiment_id", "algorithm_name", "primary_metric_value", "rn",
+        F.when(F.col("model_id") % 13 == 0, F.lit(None)).when(F.col("model_id") % 17 == 0, F.lit(0))
+        .otherwise(F.col("rn")).cast("int").alias("rank"))
+    status = o.select(
+        F.col("o_custkey").alias("experiment_id"), F.lit(None).cast("bigint").alias("model_id"), F.lit("status").alias("kind"),
+        F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "training")
+        .otherwise("failed").alias("status"),
+        F.lit(None).cast("boolean").alias("deploy_api"), F.lit(None).cast("boolean").alias("deploy_batch"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("error "), F.col("o_orderkey").cast("string"))).alias("message"),
+        F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"))
+    promo = models.where((F.col("rn") <= 2) | ((F.col("rn") == 3) & (F.col("experiment_id") % 3 == 0))).select(
+        "experiment_id", "model_id", F.lit("promote").alias("kind"), F.lit(None).cast("string").alias("status"),
+        (F.col("rn") != 2).alias("deploy_api"), (F.col("rn") >= 2).alias("deploy_batch"),
+        F.lit(None).cast("string").alias("message"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.col("rn").cast("bigint").alias("seq"))
+    tomb = (n.where(F.col("n_nationkey") % 4 == 0).select(F.lit("dataset").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"))
+            .unionByName(c.where(F.col("c_custkey") % 10 == 0).select(F.lit("experiment").alias("kind"), F.col("c_custkey").alias("id"))))
+    return {"datasets": datasets, "experiments": experiments, "models": models.drop("rn"),
+            "events": status.unionByName(promo), "tombstones": tomb}
+
+
+RUNLOG_SQL = """ds AS (SELECT CAST(n_nationkey AS BIGINT) AS dataset_id, n_name AS name,
+                      TIMESTAMP '2024-01-01' + to_days(n_nationkey) AS created_at FROM nation),
+ex AS (SELECT c_custkey AS experiment_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS dataset_id,
+              CASE WHEN c_custkey % 2 = 0 THEN 'classification' ELSE 'regression' END AS problem_type,
+              TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS created_at FROM customer),
+m0 AS (SELECT o_orderkey AS model_id, o_custkey AS experiment_id,
+              CASE o_orderkey % 3 WHEN 0 THEN 'Logistic Regression' WHEN 1 THEN 'Random Forest' ELSE 'Gradient Boosting' END
+                AS algorithm_name,
+              o_totalprice AS primary_metric_value,
+              row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders),
+mo AS (SELECT model_id, experiment_id, algorithm_name, primary_metric_value, rn,
+              CAST(CASE WHEN model_id % 13 = 0 THEN NULL WHEN model_id % 17 = 0 THEN 0 ELSE rn END AS INTEGER) AS rank
+       FROM m0),
+st AS (SELECT o_custkey AS experiment_id,
+              CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'training' ELSE 'failed' END AS status,
+              CASE WHEN o_orderstatus = 'P' THEN 'error ' || CAST(o_orderkey AS VARCHAR) END AS message,
+              o_orderdate AS ts, o_orderkey AS seq FROM orders),
+pr AS (SELECT experiment_id, model_id, rn <> 2 AS deploy_api, rn >= 2 AS deploy_batch, rn AS seq FROM mo
+       WHERE rn <= 2 OR (rn = 3 AND experiment_id % 3 = 0)),
+tb AS (SELECT 'dataset' AS kind, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey % 4 = 0
+       UNION ALL SELECT 'experiment', c_custkey FROM customer WHERE c_custkey % 10 = 0)"""
