@@ -19,7 +19,11 @@ SEED = 42
 def orders_ml(spark: SparkSession, sf: str) -> DataFrame:
     """orders with nulls: x (price), c (priority), hc (customer id as text), y (status = 'O'),
     ys (status text), ynull (y with null targets), is_test (hash split on o_orderkey)."""
-    o = table(spark, sf, "orders")
+    return orders_ml_from(table(spark, sf, "orders"))
+
+
+def orders_ml_from(o: DataFrame) -> DataFrame:
+    """Same derivation over any orders-shaped DataFrame (also a stream)."""
     df = o.select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"),
@@ -53,6 +57,11 @@ def lineitem_ml(spark: SparkSession, sf: str) -> DataFrame:
     return with_split(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], SEED)
 
 
+def part_ml(spark: SparkSession, sf: str) -> DataFrame:
+    """part with a hash split on p_partkey (one-feature least squares: p_retailprice on p_size)."""
+    return with_split(table(spark, sf, "part"), ["p_partkey"], SEED)
+
+
 LINEITEM_ML_SQL = """li AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice,
          l_returnflag, l_linestatus, 5.0::DOUBLE AS k5,
