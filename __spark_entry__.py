@@ -53,7 +53,7 @@ r AS (SELECT o_orderkey, row_number() OVER (ORDER BY hx, o_orderkey) AS rn, coun
 SELECT o_orderkey, CASE WHEN rn <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS side FROM r""")
 def q_split_exact(spark, sf):
     o = fx.table(spark, sf, "orders").select("o_orderkey")
-    flag = split_ops.exact_test_flag(o, ["o_orderkey"], seed=42, test_fraction=0.2)
+    flag = split_ops.exact_holdout_flag(o, ["o_orderkey"], seed=42, test_fraction=0.2)
     return o.select("o_orderkey", F.when(flag, "test").otherwise("train").alias("side"))
 
 

@@ -135,5 +135,5 @@ def status_event(spark: SparkSession, experiment_id: int, status: str, seq: int,
         raise ValueError(f"unknown status {status!r}")
     import datetime as _dt
 
-    row = (experiment_id, None, "status", status, None, None, message, _dt.datetime.utcnow(), seq)
+    row = (experiment_id, None, "status", status, None, None, message, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq)
     return spark.createDataFrame([row], EVENTS)

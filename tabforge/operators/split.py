@@ -22,7 +22,7 @@ def default_keys(df: DataFrame) -> list[str]:
     return list(df.columns)
 
 
-def test_flag(df: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT_SEED,
+def holdout_flag(df: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT_SEED,
               test_fraction: float = DEFAULT_TEST_FRACTION) -> Column:
     keys = keys or default_keys(df)
     thr = hex_threshold(test_fraction)
@@ -32,13 +32,13 @@ def test_flag(df: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT_
 def with_split(df: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT_SEED,
                test_fraction: float = DEFAULT_TEST_FRACTION, col: str = "is_test") -> DataFrame:
     """Adds a boolean held-out flag; a narrow projection, no shuffle."""
-    return df.withColumn(col, test_flag(df, keys, seed, test_fraction))
+    return df.withColumn(col, holdout_flag(df, keys, seed, test_fraction))
 
 
 def split_hash(df: DataFrame, keys: list[str] | None = None, seed: int = DEFAULT_SEED,
                test_fraction: float = DEFAULT_TEST_FRACTION) -> tuple[DataFrame, DataFrame]:
     """(train, test) by key hash; about ``test_fraction`` of the rows are held out."""
-    flag = test_flag(df, keys, seed, test_fraction)
+    flag = holdout_flag(df, keys, seed, test_fraction)
     return df.where(~flag), df.where(flag)
 
 
@@ -47,7 +47,7 @@ def _hash60(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
-def exact_test_flag(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED,
+def exact_holdout_flag(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED,
                     test_fraction: float = DEFAULT_TEST_FRACTION, n: int | None = None,
                     **kw) -> Column:
     """Flag of the ``ceil(test_fraction * n)`` rows first in ``(md5, keys)`` order.
@@ -84,5 +84,5 @@ def exact_test_flag(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED,
 
 def split_exact(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED,
                 test_fraction: float = DEFAULT_TEST_FRACTION, **kw) -> tuple[DataFrame, DataFrame]:
-    flag = exact_test_flag(df, keys, seed, test_fraction, **kw)
+    flag = exact_holdout_flag(df, keys, seed, test_fraction, **kw)
     return df.where(~flag), df.where(flag)

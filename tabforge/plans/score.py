@@ -131,5 +131,5 @@ def batch_summary_frame(spark: SparkSession, summary: dict) -> DataFrame:
     """I8: run-log row for a batch result."""
     import datetime as _dt
     return spark.createDataFrame([(summary["result_id"], summary["path"], int(summary["num_rows"]),
-                                   _dt.datetime.utcnow())],
+                                   _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))],
                                  "result_id string, path string, num_rows bigint, created_at timestamp_ntz")
