@@ -67,15 +67,17 @@ def exact_holdout_flag(df: DataFrame, keys: list[str], seed: int = DEFAULT_SEED,
     v = kth_values(tmp, {"__h60": [k - 1]}, {"__h60": n}, **kw)["__h60"][k - 1]
     v = int(v)
     below = tmp.where(F.col("__h60") < F.lit(v)).count()
-    need = k - below  # rows to take from the (tiny) group sharing the threshold prefix
-    tie = (
-        tmp.where(F.col("__h60") == F.lit(v))
-        .orderBy("__md5", *keys)
-        .limit(need)
-        .select(F.struct("__md5", *[qcol(c) for c in keys]).alias("t"))
-        .collect()
-    )
-    last = tie[-1]["t"]
+    need = k - below  # rows to take from the group sharing the threshold prefix
+    # distinct (md5, keys) tuples of that group with their row counts: identical keys stay together,
+    # so this is one row per distinct key tuple (a 60-bit prefix collision of distinct keys is rare)
+    tie = (tmp.where(F.col("__h60") == F.lit(v)).groupBy("__md5", *keys).agg(F.count(F.lit(1)).alias("__n"))
+           .orderBy("__md5", *keys).collect())
+    last, taken = tie[0], 0
+    for row in tie:
+        if taken >= need:
+            break
+        last, taken = row, taken + row["__n"]
+    last = [last["__md5"]] + [last[c] for c in keys]
     thr = F.struct(F.lit(last[0]).alias("__md5"), *[F.lit(last[i + 1]).alias(c) for i, c in enumerate(keys)])
     cur = F.struct(h.alias("__md5"), *[qcol(c).alias(c) for c in keys])
     hc = _hash60(h)

@@ -4,8 +4,11 @@ held-out evaluation, ranking and model persistence.
 Models train data-parallel on executors; only model parameters / trees return to
 the driver.  The prepared training rows are persisted (memory and disk) while the
 three estimators fit and released afterwards.  Forests depend on partitioning
-even with a seed, so with ``keys`` the training rows are hash-partitioned and
-sorted by key first (same rows -> same model).
+even with a seed: with the same input files and settings the layout, and so the
+model, repeats.  ``key_layout=True`` re-partitions the training rows by key and
+sorts them (same rows -> same model under any input layout) at the cost of one
+shuffle; a key holding a large share of rows then loads one task, so it is off
+by default.
 """
 
 from __future__ import annotations
@@ -164,7 +167,7 @@ def prepare_xy(prep: FittedPrep, df: DataFrame, target: str, labels: list | None
 def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features: list[str], target: str,
               problem_type: str, *, keys: list[str] | None = None, params: TrainParams | None = None,
               artifacts: str | None = None, run_id: int | str = 0, algorithms: list[str] | None = None,
-              prep_kw: dict | None = None) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
+              prep_kw: dict | None = None, key_layout: bool = False) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
     """G7 + G8: fit preparation on ``train``, fit each model, score ``test``, evaluate, save, rank.
 
     Returns (prep, labels, leaderboard DataFrame, trained models)."""
@@ -175,7 +178,7 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     labels = label_index(train, target) if problem_type == "classification" else None
     keep = list(keys or [])
     tr = prepare_xy(prep, train, target, labels, keep, True)
-    if keys:
+    if keys and key_layout:
         tr = tr.repartition(max(1, spark.sparkContext.defaultParallelism), *[qcol(k) for k in keys]) \
                .sortWithinPartitions(*[qcol(k) for k in keys])
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
