@@ -111,7 +111,7 @@ class FittedPrep:
     def fit(cls, df: DataFrame, features: list[str], target: str, *, median: str = "exact",
             map_max: int = DEFAULT_MAP_MAX, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
             hot_share: float = DEFAULT_HOT_SHARE, salt_buckets: int = DEFAULT_SALT_BUCKETS,
-            accuracy: int = 10_000) -> FittedPrep:
+            accuracy: int = 10_000, max_bracket: int | None = None) -> FittedPrep:
         """Fit on the training rows (target already non-null)."""
         missing = [c for c in features + [target] if c not in df.columns]
         if missing:
@@ -147,7 +147,8 @@ class FittedPrep:
             med = {}
         elif median == "exact":
             sel = df.select(*[qcol(c).cast("double").alias(c) for c in num])
-            med = exact_medians(sel, num_counts, accuracy=accuracy)
+            kw = {"max_bracket": max_bracket} if max_bracket else {}
+            med = exact_medians(sel, num_counts, accuracy=accuracy, **kw)
         else:
             row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy).alias(c) for c in num]).first()
             med = {c: row[c] for c in num if row[c] is not None}

@@ -90,7 +90,12 @@ class ScoringBundle:
             return F.map_from_arrays(keys, F.col("__proba"))
         return F.create_map(F.col("__label").cast("string"), F.lit(1.0))
 
-    def predict_proba(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    def predict_proba(self, df: DataFrame, keep: list[str] | None = None, allow_regression: bool = False
+                      ) -> DataFrame:
+        """Probabilities only make sense for classification; a regression bundle is rejected
+        unless ``allow_regression`` (then each row gets the degenerate map {prediction: 1.0}, I3)."""
+        if not self.has_probabilities and not allow_regression:
+            raise ValueError("probabilities are only available for classification models")
         s = self.scored(df)
         return s.select(*[qcol(c) for c in (keep if keep is not None else df.columns)],
                         self.proba_map().alias("probabilities"))
