@@ -1,7 +1,8 @@
 """Column profile (C1-C8): row/column counts, distinct and null counts, null share,
 first non-null values in key order, dtype labels and the numeric/categorical tally.
 
-All columns are unpivoted once to ``(column, value-as-text)``.  Distinct and
+Columns are unpivoted to ``(column, value)`` once per type family (integral,
+floating, text) so values are grouped in their own type.  Distinct and
 null counts use a two-level aggregation: ``groupBy(column, value)`` (partial
 aggregation map-side, so a value holding a third of the rows is combined before
 the shuffle), then ``groupBy(column)`` over the distinct pairs.  There is no
@@ -40,17 +41,39 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("num_rows")).select("num_rows", F.lit(len(df.columns)).alias("num_columns"))
 
 
+def _families(df: DataFrame) -> dict[str, list[str]]:
+    """Columns by the type their values are grouped as: integral/bool as bigint, float as double,
+    everything else as text (so -0.0 and 0.0 are one value, as in pandas ``nunique``)."""
+    from pyspark.sql import types as T
+
+    fam: dict[str, list[str]] = {"bigint": [], "double": [], "string": []}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+            fam["bigint"].append(f.name)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            fam["double"].append(f.name)
+        else:
+            fam["string"].append(f.name)
+    return {k: v for k, v in fam.items() if v}
+
+
 def counts(df: DataFrame, approx: bool = False, key: list[str] | None = None) -> DataFrame:
-    """Per column unique_count (nulls excluded), null_count, null_percentage."""
-    long = _values(df)
-    if approx:
-        per = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
-                                         F.approx_count_distinct("value").alias("unique_count"))
-    else:
-        pairs = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        per = pairs.groupBy("column").agg(F.sum("cnt").alias("n"),
-                                          F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")).otherwise(0)).alias("nn"),
-                                          F.count("value").alias("unique_count"))
+    """Per column unique_count (nulls excluded), null_count, null_percentage.
+
+    One unpivot per type family (each reads only its own columns); values are grouped in their
+    own type, which is cheaper than grouping text."""
+    per = None
+    for typ, cols in _families(df).items():
+        long = df.select(*[qcol(c).cast(typ).alias(c) for c in cols]).unpivot([], cols, "column", "value")
+        if approx:
+            part = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
+                                              F.approx_count_distinct("value").alias("unique_count"))
+        else:
+            pairs = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            part = pairs.groupBy("column").agg(
+                F.sum("cnt").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")).otherwise(0)).alias("nn"),
+                F.count("value").alias("unique_count"))
+        per = part if per is None else per.unionByName(part)
     null_count = (F.col("n") - F.col("nn")).cast("bigint")
     pct = F.when(F.col("n") > 0, null_count / F.col("n") * 100.0).otherwise(F.lit(0.0))
     return per.select("column", F.col("unique_count").cast("bigint").alias("unique_count"),
