@@ -111,21 +111,25 @@ def _prf(tp, fp, fn):
     return p, r, f
 
 
-def precision_recall_f1(df: DataFrame, label: str, prediction: str, positive_label=1.0,
-                        group: list[str] = ()) -> DataFrame:
-    """H5-H7: two classes among the labels -> binary with ``positive_label``; otherwise
-    support-weighted over classes.  Binary with a third class among the predictions, or
-    without the positive label, gives 0, 0, 0 (the reference falls back on the error)."""
+def confusion_summary(df: DataFrame, label: str, prediction: str, positive_label=1.0,
+                      group: list[str] = ()) -> DataFrame:
+    """One pass over the rows (a k x k confusion table per group) gives accuracy, the number of
+    label classes and precision / recall / F1 (H1, H5-H7).
+
+    Two classes among the labels -> binary with ``positive_label``; otherwise support-weighted
+    over classes.  Binary with a third class among the predictions, or without the positive
+    label, gives 0, 0, 0 (the reference falls back on the error)."""
     conf = confusion(df, label, prediction, group)
     gc = [qcol(x) for x in group]
     pos = F.lit(positive_label).cast(df.schema[label].dataType)
     tp, fp, fn = F.col("tp").cast("double"), F.col("fp").cast("double"), F.col("fn").cast("double")
     p, r, f = _prf(tp, fp, fn)
-    per = conf.select(*gc, "cls", "support", p.alias("p"), r.alias("r"), f.alias("f"),
+    per = conf.select(*gc, "cls", "tp", "support", p.alias("p"), r.alias("r"), f.alias("f"),
                       (F.col("cls") == pos).alias("is_pos"))
     agg = per.groupBy(*gc).agg(
         F.sum(F.when(F.col("support") > 0, 1).otherwise(0)).alias("n_label_classes"),
         F.count(F.lit(1)).alias("n_classes"),
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
         F.max(F.col("is_pos")).alias("has_pos"),
         F.max(F.when(F.col("is_pos"), F.col("p"))).alias("bp"), F.max(F.when(F.col("is_pos"), F.col("r"))).alias("br"),
         F.max(F.when(F.col("is_pos"), F.col("f"))).alias("bf"),
@@ -135,8 +139,15 @@ def precision_recall_f1(df: DataFrame, label: str, prediction: str, positive_lab
     binary = F.col("n_label_classes") == 2
     bad = binary & ((F.col("n_classes") > 2) | ~F.coalesce(F.col("has_pos"), F.lit(False)))
     pick = lambda b, w: F.when(bad, 0.0).when(binary, F.coalesce(F.col(b), F.lit(0.0))).otherwise(F.col(w))
-    return agg.select(*gc, pick("bp", "wp").alias("precision"), pick("br", "wr").alias("recall"),
-                      pick("bf", "wf").alias("f1"))
+    return agg.select(*gc, "accuracy", "n_label_classes", pick("bp", "wp").alias("precision"),
+                      pick("br", "wr").alias("recall"), pick("bf", "wf").alias("f1"))
+
+
+def precision_recall_f1(df: DataFrame, label: str, prediction: str, positive_label=1.0,
+                        group: list[str] = ()) -> DataFrame:
+    """H5-H7 (see ``confusion_summary``)."""
+    return confusion_summary(df, label, prediction, positive_label, group).select(
+        *[qcol(x) for x in group], "precision", "recall", "f1")
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, group: list[str] = ()) -> DataFrame:
@@ -166,10 +177,7 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, score: st
         df = df.withColumn("__all", F.lit(0))
         group = ["__all"]
     gl = list(group)
-    acc = accuracy(df, label, prediction, gl)
-    prf = precision_recall_f1(df, label, prediction, positive_label, gl)
-    nlab = df.groupBy(*[qcol(x) for x in gl]).agg(F.countDistinct(qcol(label)).alias("__k"))
-    m = acc.join(prf, gl).join(nlab, gl)
+    m = confusion_summary(df, label, prediction, positive_label, gl).withColumnRenamed("n_label_classes", "__k")
     if score is not None:
         pos = model_classes[-1] if model_classes else None
         a = auc_binary(df, label, score, positive=pos, group=gl).select(*gl, "auc")

@@ -191,7 +191,13 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
                 continue
             model = est.fit(tr)
             scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
-            m = evaluate(scored, target, problem_type, labels).first().asDict()
+            # model inference runs once: the narrow scored rows are kept while the metrics read them
+            cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])
+            scored = scored.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                m = evaluate(scored, target, problem_type, labels).first().asDict()
+            finally:
+                scored.unpersist()
             m = {k: (float(v) if v is not None else None) for k, v in m.items()}
             path = None
             if artifacts:
