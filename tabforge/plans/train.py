@@ -8,7 +8,7 @@ even with a seed: with the same input files and settings the layout, and so the
 model, repeats.  ``key_layout=True`` re-partitions the training rows by key and
 sorts them (same rows -> same model under any input layout) at the cost of one
 shuffle; a key holding a large share of rows then loads one task, so it is off
-by default.
+by default.  Inputs with fewer partitions than task slots are spread round-robin.
 """
 
 from __future__ import annotations
@@ -178,9 +178,14 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     labels = label_index(train, target) if problem_type == "classification" else None
     keep = list(keys or [])
     tr = prepare_xy(prep, train, target, labels, keep, True)
+    par = spark.sparkContext.defaultParallelism
     if keys and key_layout:
         tr = tr.repartition(max(1, spark.sparkContext.defaultParallelism), *[qcol(k) for k in keys]) \
                .sortWithinPartitions(*[qcol(k) for k in keys])
+    elif tr.rdd.getNumPartitions() < par:
+        # few input splits (small files): spread rows round-robin over the cluster's task slots;
+        # an even split, so no key can load one task.  Large inputs keep their scan partitions.
+        tr = tr.repartition(par)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     te = prepare_xy(prep, test, target, labels, keep, False).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = tr.count()
