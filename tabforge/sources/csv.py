@@ -18,8 +18,11 @@ from tabforge.functions.exprs import na_string_to_null, qcol
 BOOL_TEXT = ("True", "False", "TRUE", "FALSE", "true", "false")  # fixed values: pandas bool literals
 
 
-def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+def read_csv_text(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Quoted fields may hold newlines (``multi_line=True``, the reference reader's behaviour); such a
+    file cannot be split, so each file is one task.  For very large files without embedded newlines
+    pass ``multi_line=False`` (splittable), or convert to Parquet once."""
+    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
             .option("escape", '"').option("sep", sep).option("nullValue", None)
             .option("emptyValue", "").csv(path))
 
@@ -54,8 +57,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return infer_types(read_csv_text(spark, path, sep))
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    return infer_types(read_csv_text(spark, path, sep, multi_line))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
