@@ -479,8 +479,9 @@ SELECT column_name, rn, value FROM (
   SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY k) AS INTEGER) AS rn FROM l)
 WHERE rn <= 5""")
 def q_profile_samples(spark, sf):
-    return prof.samples_long(_profile_input(spark, sf), key=["o_orderkey"]).select(
-        F.col("column").alias("column_name"), "rn", "value")
+    s = prof.samples(_profile_input(spark, sf), key=["o_orderkey"])
+    return s.select(F.col("column").alias("column_name"), F.posexplode("sample_values").alias("pos", "value")).select(
+        "column_name", (F.col("pos") + 1).cast("int").alias("rn"), "value")
 
 
 _PROFILE_TABLE_SQL = f"WITH {_PROFILE_SQL},\nl AS (" + "\nUNION ALL ".join(

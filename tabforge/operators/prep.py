@@ -38,7 +38,7 @@ from tabforge.session import cut_lineage
 
 UNKNOWN_CATEGORY = "UNKNOWN"  # fixed value: mode of a column with no values
 DEFAULT_MAP_MAX = 10_000  # encodings up to this many categories become a map literal
-DEFAULT_BROADCAST_BYTES = 64 << 20  # larger encoding tables are joined by shuffle
+DEFAULT_BROADCAST_BYTES = 32 << 20  # estimated bytes; larger encoding tables are joined by shuffle
 DEFAULT_HOT_SHARE = 0.01  # a category with this share of training rows is salted
 DEFAULT_SALT_BUCKETS = 32
 
