@@ -28,22 +28,25 @@ def accuracy(df: DataFrame, label: str, prediction: str, group: list[str] = ())
 
 
 def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
-        max_scores_per_task: int = MAX_SCORES_PER_TASK) -> DataFrame:
-    """H2: exact ROC AUC per group; ``y`` is 1 for the positive class, 0 otherwise.
+        max_scores_per_task: int = MAX_SCORES_PER_TASK, weight: Column | None = None) -> DataFrame:
+    """H2: exact ROC AUC per group; ``y`` is 1 for the positive class, 0 otherwise; ``weight`` is an
+    optional row multiplicity (for pre-aggregated input).
 
     Returns ``group..., auc, pos, neg``; ``auc`` is null when a group lacks a class.
     """
     gcols = [qcol(g) for g in group]
-    base = df.select(*gcols, y.cast("bigint").alias("__y"), score.cast("double").alias("__s"))
+    w = weight.cast("bigint") if weight is not None else F.lit(1).cast("bigint")
+    base = df.select(*gcols, y.cast("bigint").alias("__y"), score.cast("double").alias("__s"), w.alias("__w"))
     st = base.agg(F.approx_count_distinct("__s").alias("d")).first()
     buckets = max(1, min(4096, int(math.ceil((st["d"] or 0) / max_scores_per_task))))
-    g = base.groupBy(*group, "__s").agg(F.sum("__y").alias("p"), F.sum(1 - F.col("__y")).alias("n"))
+    g = base.groupBy(*group, "__s").agg(F.sum(F.col("__y") * F.col("__w")).alias("p"),
+                                        F.sum((1 - F.col("__y")) * F.col("__w")).alias("n"))
     if buckets == 1:
         w = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         g = g.withColumn("nb", F.coalesce(F.sum("n").over(w), F.lit(0)))
     else:
         probs = [i / buckets for i in range(1, buckets)]
-        cuts = base.agg(F.percentile_approx("__s", probs, 10_000).alias("q")).first()["q"]
+        cuts = g.agg(F.percentile_approx("__s", probs, 10_000).alias("q")).first()["q"]  # over distinct scores
         cuts = sorted(set(float(c) for c in cuts))
         b = F.lit(0)
         for c in cuts:  # bucket index = number of cut points below the score
@@ -52,7 +55,7 @@ def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
         tot = g.groupBy(*group, "__b").agg(F.sum("n").alias("bn"))
         wb = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         off = tot.withColumn("off", F.coalesce(F.sum("bn").over(wb), F.lit(0))).drop("bn")  # groups x B rows
-        g = g.join(F.broadcast(off), [*group, "__b"], "left")
+        g = g.join(off, [*group, "__b"], "left")  # groups x B rows; AQE broadcasts it when small
         w = Window.partitionBy(*group, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         g = g.withColumn("nb", F.col("off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     r = g.groupBy(*group).agg(
@@ -67,9 +70,14 @@ def auc_binary(df: DataFrame, label: str, score: str, positive=None, group: list
     """H2 with a label column: positive = ``positive`` or the larger label of each group."""
     if positive is None:
         if group:
-            mx = df.groupBy(*[qcol(g) for g in group]).agg(F.max(qcol(label)).alias("__pos"))
-            df = df.join(F.broadcast(mx), list(group))  # one row per group
-            y = (qcol(label) == F.col("__pos")).cast("int")
+            # aggregate first, then attach each group's larger label to the (group, score, label) counts
+            gc = [qcol(g) for g in group]
+            agg = df.groupBy(*gc, qcol(score).alias("__sc"), qcol(label).alias("__lab")).agg(
+                F.count(F.lit(1)).alias("__cnt"))
+            mx = agg.groupBy(*gc).agg(F.max("__lab").alias("__pos"))  # one row per group
+            agg = agg.join(mx, list(group))
+            return auc(agg, (F.col("__lab") == F.col("__pos")).cast("int"), F.col("__sc"), group,
+                       weight=F.col("__cnt"))
         else:
             y = (qcol(label) == F.lit(df.agg(F.max(qcol(label))).first()[0])).cast("int")
     else:
