@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabforge.plans import fixtures as fx
@@ -981,10 +981,12 @@ def q_score_passthrough(spark, sf):
                               "1 AS size FROM pt")
 def q_proba_degenerate(spark, sf):
     df, test, b, lb = _fit(spark, sf, "ols_1f", "Linear Regression")
-    out = b.predict(fx.table(spark, sf, "part"), keep=["p_partkey"])
-    m = b.scored(fx.table(spark, sf, "part")).select("p_partkey", "__label", b.proba_map().alias("m"))
-    return m.select("p_partkey", (F.map_keys("m")[0] == F.col("__label").cast("string")).alias("key_is_prediction"),
-                    F.map_values("m")[0].alias("value"), F.size("m").alias("size")) if out is not None else out
+    # a model without class probabilities answers {str(prediction): 1.0} per row
+    m = b.predict_proba(fx.table(spark, sf, "part"), keep=["p_partkey"], allow_regression=True)
+    pred = b.predict(fx.table(spark, sf, "part"), keep=["p_partkey"])
+    return m.join(pred, "p_partkey").select(
+        "p_partkey", (F.map_keys("probabilities")[0] == F.col("prediction").cast("string")).alias("key_is_prediction"),
+        F.map_values("probabilities")[0].alias("value"), F.size("probabilities").alias("size"))
 
 
 @register("label_index", f"""WITH {LINEITEM_ML_SQL}
@@ -1043,7 +1045,7 @@ def q_train_and_rank(spark, sf):
     res = res.withColumn("algo_ordinal", F.array_position(
         F.array(*[F.lit(a) for a in TR.CLASSIFICATION_ALGORITHMS]), F.col("algorithm_name")).cast("int"))
     lb = leaderboard(res.drop("rank", "primary_metric_value"), run="run_id", ordinal="algo_ordinal")
-    ranks = F.collect_set("rank").over(__import__("pyspark.sql").sql.Window.partitionBy("run_id"))
+    ranks = F.collect_set("rank").over(Window.partitionBy("run_id"))  # three rows per run
     return lb.select("algorithm_name",
                      (F.array_sort(ranks) == F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank_valid"),
                      F.col("primary_metric_value").between(0, 1).alias("auc_in_01"))
