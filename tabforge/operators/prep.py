@@ -285,10 +285,14 @@ class FittedPrep:
             hot = self.hot_categories.get(c, [])
             s = self.salt_buckets if hot else 1
             scol = f"__s_{out}"
-            df = df.withColumn(scol, F.when(F.col(kcol).isin(hot), F.pmod(F.xxhash64(*[qcol(x) for x in df.columns]), F.lit(s)))
-                               .otherwise(F.lit(0)))
-            enc = enc.withColumn(f"__t_{out}", F.when(F.col(f"__k_{out}").isin(hot), F.sequence(F.lit(0), F.lit(s - 1)))
-                                 .otherwise(F.array(F.lit(0))))
+            # Any salt is correct (a hot category's encoding is replicated for every salt), so a per-row
+            # random salt spreads the hot rows - exact copies included - over ``s`` tasks.  Spark marks the
+            # stage indeterminate and re-runs its consumers if a map task is retried.
+            df = df.withColumn(scol, F.when(F.col(kcol).isin(hot), F.floor(F.rand(17) * s).cast("bigint"))
+                               .otherwise(F.lit(0).cast("bigint")))
+            enc = enc.withColumn(f"__t_{out}", F.when(F.col(f"__k_{out}").isin(hot),
+                                                      F.sequence(F.lit(0).cast("bigint"), F.lit(s - 1).cast("bigint")))
+                                 .otherwise(F.array(F.lit(0).cast("bigint"))))
             enc = enc.select("*", F.explode(f"__t_{out}").alias(f"__ts_{out}")).drop(f"__t_{out}")
             j = df.join(enc, (F.col(kcol) == F.col(f"__k_{out}")) & (F.col(scol) == F.col(f"__ts_{out}")), "left")
             j = j.drop(scol, f"__ts_{out}")
