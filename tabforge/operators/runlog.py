@@ -130,6 +130,38 @@ def current_status(events: DataFrame) -> DataFrame:
                        F.col("last.message").alias("message"), "n_events")
 
 
+def promote_event(spark: SparkSession, experiment_id: int, model_id: int, deploy_api: bool, deploy_batch: bool,
+                  seq: int) -> DataFrame:
+    """J5 writer: one promotion (both flags of the chosen model as given; the others lose the flags switched on)."""
+    import datetime as _dt
+
+    row = (experiment_id, model_id, "promote", None, bool(deploy_api), bool(deploy_batch), None,
+           _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq)
+    return spark.createDataFrame([row], EVENTS)
+
+
+def check_deployed(state: DataFrame, model_id: int, flag: str = "is_deployed_batch") -> None:
+    """Gate before scoring: the model must carry the deploy flag (reads one row of the state)."""
+    row = state.where(F.col("model_id") == F.lit(model_id)).select(flag).first()
+    if row is None:
+        raise LookupError(f"model {model_id} not found")
+    if not row[flag]:
+        raise PermissionError(f"model {model_id} is not deployed for {flag.replace('is_deployed_', '')}")
+
+
+BATCH_RESULTS = T.StructType([
+    T.StructField("result_id", T.StringType()), T.StructField("path", T.StringType()),
+    T.StructField("num_rows", T.LongType()), T.StructField("created_at", T.TimestampNTZType())])
+
+
+def batch_result(spark: SparkSession, log_dir: str, result_id: str):
+    """I8 lookup: the run-log row of a batch result and its rows (the preview is ``.limit(10)`` of them)."""
+    row = spark.read.parquet(f"{log_dir}/batch_results").where(F.col("result_id") == F.lit(result_id)).first()
+    if row is None:
+        return None, None
+    return row, spark.read.parquet(row["path"])
+
+
 def status_event(spark: SparkSession, experiment_id: int, status: str, seq: int, message: str | None = None):
     if status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")

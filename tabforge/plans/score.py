@@ -116,9 +116,10 @@ class ScoringBundle:
 
 
 def batch_job(spark: SparkSession, bundle: ScoringBundle, df: DataFrame, out_path: str, fmt: str = "parquet",
-              threshold: float = 0.5) -> dict:
+              threshold: float = 0.5, log_dir: str | None = None) -> dict:
     """Compatibility gate (B6) -> score -> sink -> summary row (I8).  The input is read once by the sink
-    job; the count and preview come from the written result, never from the driver."""
+    job; the count and preview come from the written result, never from the driver.  With ``log_dir`` the
+    summary row is appended to ``{log_dir}/batch_results`` (lookup by id survives restarts, Q14)."""
     check_schema(df.columns, bundle.prep.features, threshold)
     scored = bundle.predict_batch(df)
     writer = scored.write.mode("errorifexists")
@@ -128,8 +129,11 @@ def batch_job(spark: SparkSession, bundle: ScoringBundle, df: DataFrame, out_pat
     else:
         writer.parquet(out_path)
         result = spark.read.parquet(out_path)
-    return {"result_id": str(uuid.uuid4()), "path": out_path, "num_rows": result.count(), "result": result,
-            "preview": result.limit(10)}
+    summary = {"result_id": str(uuid.uuid4()), "path": out_path, "num_rows": result.count(), "result": result,
+               "preview": result.limit(10)}
+    if log_dir:
+        batch_summary_frame(spark, summary).write.mode("append").parquet(f"{log_dir}/batch_results")
+    return summary
 
 
 def batch_summary_frame(spark: SparkSession, summary: dict) -> DataFrame:

@@ -48,3 +48,23 @@ def test_cascade_and_status(spark):
                                 (1, None, "status", "training", None, None, None, t0, 1)], RL.EVENTS)
     r = RL.current_status(ev).first()
     assert (r["status"], r["message"], r["n_events"]) == ("failed", "boom", 3)
+
+
+def test_promote_gate_and_batch_lookup(spark, tmp_path):
+    from tabforge.plans.score import batch_summary_frame
+    import pytest
+    models = spark.createDataFrame([(1, 10), (2, 10)], "model_id bigint, experiment_id bigint")
+    ev = RL.promote_event(spark, 10, 1, True, False, 1).unionByName(RL.promote_event(spark, 10, 2, False, True, 2))
+    state = RL.promotion_state(models, ev)
+    RL.check_deployed(state, 2, "is_deployed_batch")
+    with pytest.raises(PermissionError):
+        RL.check_deployed(state, 1, "is_deployed_batch")
+    with pytest.raises(LookupError):
+        RL.check_deployed(state, 3)
+    log = str(tmp_path / "log")
+    data = str(tmp_path / "res")
+    spark.range(12).write.parquet(data)
+    batch_summary_frame(spark, {"result_id": "r1", "path": data, "num_rows": 12}).write.parquet(f"{log}/batch_results")
+    row, rows = RL.batch_result(spark, log, "r1")
+    assert row["num_rows"] == 12 and rows.limit(10).count() == 10
+    assert RL.batch_result(spark, log, "nope") == (None, None)

@@ -99,3 +99,12 @@ def test_run_experiment_writes_log(spark, separable, tmp_path):
     assert sorted(r["rank"] for r in models.collect()) == [1, 2, 3]
     b = ScoringBundle.load(spark, models.where("rank = 1").first()["model_path"] + "_bundle")
     assert b.predict(separable.limit(5), keep=["k"]).count() == 5
+
+
+def test_run_experiment_failure_is_logged(spark, separable, tmp_path):
+    log = str(tmp_path / "log")
+    with pytest.raises(Exception):
+        run_experiment(spark, separable.drop("is_test"), ["a", "missing_col"], "y", "classification", keys=["k"],
+                       log_dir=log, experiment_id=8, params=FAST)
+    st = RL.current_status(spark.read.parquet(f"{log}/run_events")).first()
+    assert st["status"] == "failed" and "missing_col" in st["message"]
