@@ -204,28 +204,37 @@ class FittedPrep:
         grouped = long.groupBy("column", "category").agg(
             F.count(F.lit(1)).alias("n"), F.sum("__y").alias("s"))
         grouped = grouped.persist()
-        # modes: highest count, smallest value on ties (one row per column)
-        mrows = (grouped.where(F.col("category").isNotNull()).groupBy("column")
-                 .agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("category"))).alias("best"))
-                 .collect())
-        modes = {r["column"]: r["best"]["category"] for r in mrows}
+        # one aggregation per column over the cached (column, category) table: mode (highest count,
+        # smallest value on ties), number of categories and their byte size
+        nn = F.col("category").isNotNull()
+        srow = grouped.groupBy("column").agg(
+            F.min(F.when(nn, F.struct((-F.col("n")).alias("neg"), F.col("category")))).alias("best"),
+            F.count("category").alias("k"), F.max(F.when(~nn, 1).otherwise(0)).alias("has_null"),
+            F.sum(F.when(nn, F.length("category") + 16).otherwise(0)).alias("bytes")).collect()
+        info = {r["column"]: r for r in srow}
         for c in cat:
-            self.imputation[c] = modes.get(c, UNKNOWN_CATEGORY)
+            best = info[c]["best"]
+            self.imputation[c] = best["category"] if best is not None else UNKNOWN_CATEGORY
+            k = int(info[c]["k"])
+            self.n_categories[c] = k if k > 0 else 1  # an all-null column has the one category UNKNOWN
+            self.category_bytes[c] = int(info[c]["bytes"]) + (len(UNKNOWN_CATEGORY) + 16 if k == 0 else 0)
         mode_map = F.create_map(*[x for c in cat for x in (F.lit(c), F.lit(self.imputation[c]))])
         filled = (grouped.withColumn("category", F.coalesce(F.col("category"), mode_map[F.col("column")]))
                   .groupBy("column", "category").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
         enc = (F.col("s") / F.col("n")) if self.target_numeric else (F.col("n") / F.lit(float(n)))
         table = filled.select("column", "category", F.col("n").cast("bigint").alias("n"), enc.alias("enc"))
-        # size of each column's table, proven before anything is collected or broadcast
-        sizes = table.groupBy("column").agg(
-            F.count(F.lit(1)).alias("k"), F.sum(F.length("category") + 16).alias("bytes")).collect()
-        self.n_categories = {r["column"]: int(r["k"]) for r in sizes}
-        self.category_bytes = {r["column"]: int(r["bytes"]) for r in sizes}
         small = [c for c in cat if self.n_categories.get(c, 0) <= self.map_max]
         large = [c for c in cat if c not in small]
         if small:
-            for r in table.where(F.col("column").isin(small)).collect():
-                self.small_encodings.setdefault(r["column"], {})[r["category"]] = (float(r["enc"]), int(r["n"]))
+            # proven small: at most map_max + 1 rows per column; the null group joins its mode here
+            merged: dict = {}
+            for r in grouped.where(F.col("column").isin(small)).collect():
+                key = (r["column"], r["category"] if r["category"] is not None else self.imputation[r["column"]])
+                n0, s0 = merged.get(key, (0, 0.0))
+                merged[key] = (n0 + int(r["n"]), s0 + float(r["s"] or 0.0))
+            for (c, k), (cnt, tot_y) in merged.items():
+                e = tot_y / cnt if self.target_numeric else cnt / float(n)
+                self.small_encodings.setdefault(c, {})[k] = (e, cnt)
         for c in small:
             items = self.small_encodings.get(c, {})
             encs = [e for e, _ in items.values()]
@@ -237,21 +246,22 @@ class FittedPrep:
             self.n_by_cat.update({(c, k): cnt for k, (_, cnt) in items.items()})
             self.small_encodings[c] = {k: e for k, (e, _) in items.items()}
         if large:
-            big = table.where(F.col("column").isin(large))
+            # cut lineage into the shared checkpoint folder once; statistics and transforms reuse it
+            self.encodings = cut_lineage(table)
+            big = self.encodings.where(F.col("column").isin(large))
+            hot_n = max(1, int(math.ceil(hot_share * n)))
             s1 = {r["column"]: r for r in big.groupBy("column").agg(
                 F.avg("enc").alias("u"), F.sum("n").alias("tot"),
-                (F.sum(F.col("n") * F.col("enc")) / F.sum("n")).alias("mean")).collect()}
+                (F.sum(F.col("n") * F.col("enc")) / F.sum("n")).alias("mean"),
+                # at most 1/hot_share categories per column can reach hot_n rows
+                F.collect_list(F.when(F.col("n") >= F.lit(hot_n), F.col("category"))).alias("hot")).collect()}
             mean_map = F.create_map(*[x for c in large for x in (F.lit(c), F.lit(float(s1[c]["mean"])))])
             s2 = {r["column"]: r["m2"] for r in big.groupBy("column").agg(
                 F.sum(F.col("n") * F.pow(F.col("enc") - mean_map[F.col("column")], 2)).alias("m2")).collect()}
-            hot_n = max(1, int(math.ceil(hot_share * n)))
-            hot = big.where(F.col("n") >= F.lit(hot_n)).select("column", "category").collect()  # <= 1/hot_share per column
             for c in large:
                 self.enc_default[c] = float(s1[c]["u"])
                 self._set_encoded_stats(c, float(s1[c]["mean"]), float(s2[c]), int(s1[c]["tot"]))
-                self.hot_categories[c] = sorted(r["category"] for r in hot if r["column"] == c)
-        if large:  # cut lineage into the shared checkpoint folder; transforms reuse it
-            self.encodings = cut_lineage(table)
+                self.hot_categories[c] = sorted(s1[c]["hot"])
         else:  # proven small (<= map_max rows per column): keep it as local rows
             rows = [(c, k, int(self.n_by_cat.get((c, k), 0)), float(e))
                     for c, items in self.small_encodings.items() for k, e in items.items()]

@@ -131,8 +131,17 @@ def median_ranks(n: int) -> list[int]:
 
 
 def exact_medians(df: DataFrame, counts: dict[str, int], **kw) -> dict[str, float]:
-    """Median with two-middle interpolation (pandas / DuckDB ``median``), all columns at once."""
-    ks = {c: median_ranks(n) for c, n in counts.items() if n > 0}
+    """Median with two-middle interpolation (pandas / DuckDB ``median``), all columns at once.
+
+    When every column has at most ``max_bracket`` values the exact ``median`` aggregate is used
+    directly (its per-column buffer is bounded by that proven count); otherwise the bracketed
+    selection narrows each column first."""
+    limit = kw.get("max_bracket", DEFAULT_MAX_BRACKET)
+    live = {c: n for c, n in counts.items() if n > 0}
+    if live and max(live.values()) <= limit:
+        row = df.agg(*[F.median(qcol(c)).alias(c) for c in live]).first()
+        return {c: float(row[c]) for c in live}
+    ks = {c: median_ranks(n) for c, n in live.items()}
     vals = kth_values(df, ks, counts, **kw)
     out = {}
     for c, rs in ks.items():
