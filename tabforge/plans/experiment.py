@@ -27,7 +27,8 @@ def _status(spark: SparkSession, log_dir: str, experiment_id: int, status: str,
 
 def run_experiment(spark: SparkSession, df: DataFrame, features: list[str], target: str, problem_type: str, *,
                    keys: list[str], log_dir: str, experiment_id: int, name: str = "", dataset_id: int | None = None,
-                   params: TrainParams | None = None, seed: int = 42, test_fraction: float = 0.2) -> DataFrame:
+                   params: TrainParams | None = None, seed: int = 42, test_fraction: float = 0.2,
+                   parallel: bool = True) -> DataFrame:
     """Runs one experiment and returns its leaderboard (model rows as appended to ``trained_models``)."""
     check_features(features, target, problem_type)
     exp = spark.createDataFrame(
@@ -43,7 +44,7 @@ def run_experiment(spark: SparkSession, df: DataFrame, features: list[str], targ
         _status(spark, log_dir, experiment_id, "training", 2)
         artifacts = f"{log_dir}/artifacts"
         prep, labels, lb, res = train_all(spark, train, test, features, target, problem_type, keys=keys,
-                                          params=params, artifacts=artifacts, run_id=experiment_id)
+                                          params=params, artifacts=artifacts, run_id=experiment_id, parallel=parallel)
         prep.save(f"{artifacts}/pipeline_{experiment_id}")
         for r in res:
             ScoringBundle(prep, r.model, problem_type, r.algorithm_name, labels,

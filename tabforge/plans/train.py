@@ -94,7 +94,9 @@ def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams)
             ("Random Forest", RandomForestClassifier(numTrees=p.rf_trees, featureSubsetStrategy="sqrt",
                                                      maxDepth=p.rf_max_depth, seed=p.seed, labelCol=lab,
                                                      featuresCol=feat)),
-            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, labelCol=lab, featuresCol=feat)),
+            # one booster per class, fitted as concurrent Spark jobs
+            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, labelCol=lab, featuresCol=feat,
+                                                                        parallelism=min(n_classes, 4))),
         ]
     return [
         ("Linear Regression", LinearRegression(solver="normal", regParam=0.0, labelCol=lab, featuresCol=feat)),
@@ -167,7 +169,7 @@ def prepare_xy(prep: FittedPrep, df: DataFrame, target: str, labels: list | None
 def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features: list[str], target: str,
               problem_type: str, *, keys: list[str] | None = None, params: TrainParams | None = None,
               artifacts: str | None = None, run_id: int | str = 0, algorithms: list[str] | None = None,
-              prep_kw: dict | None = None, key_layout: bool = False) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
+              prep_kw: dict | None = None, key_layout: bool = False, parallel: bool = False) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
     """G7 + G8: fit preparation on ``train``, fit each model, score ``test``, evaluate, save, rank.
 
     Returns (prep, labels, leaderboard DataFrame, trained models)."""
@@ -190,26 +192,38 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     te = prepare_xy(prep, test, target, labels, keep, False).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = tr.count()
     results, rows = [], []
+
+    def fit_one(i: int, name: str, est) -> tuple:
+        model = est.fit(tr)
+        scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
+        # model inference runs once: the narrow scored rows are kept while the metrics read them
+        cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])
+        scored = scored.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            m = evaluate(scored, target, problem_type, labels).first().asDict()
+        finally:
+            scored.unpersist()
+        m = {k: (float(v) if v is not None else None) for k, v in m.items()}
+        path = None
+        if artifacts:
+            path = f"{artifacts.rstrip('/')}/model_{run_id}_{snake(name)}"
+            model.write().overwrite().save(path)
+        return (TrainedModel(name, i, model, path, m),
+                (str(run_id), name, i, path, m, m.get("auc"), m.get("rmse"), problem_type == "classification"))
+
+    todo = [(i, name, est) for i, (name, est) in enumerate(estimators(problem_type, len(labels or []), n_train, p))
+            if not algorithms or name in algorithms]
     try:
-        for i, (name, est) in enumerate(estimators(problem_type, len(labels or []), n_train, p)):
-            if algorithms and name not in algorithms:
-                continue
-            model = est.fit(tr)
-            scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
-            # model inference runs once: the narrow scored rows are kept while the metrics read them
-            cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])
-            scored = scored.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                m = evaluate(scored, target, problem_type, labels).first().asDict()
-            finally:
-                scored.unpersist()
-            m = {k: (float(v) if v is not None else None) for k, v in m.items()}
-            path = None
-            if artifacts:
-                path = f"{artifacts.rstrip('/')}/model_{run_id}_{snake(name)}"
-                model.write().overwrite().save(path)
-            results.append(TrainedModel(name, i, model, path, m))
-            rows.append((str(run_id), name, i, path, m, m.get("auc"), m.get("rmse"), problem_type == "classification"))
+        if parallel and len(todo) > 1:
+            # the estimators are independent: submit their Spark jobs concurrently from driver threads
+            from concurrent.futures import ThreadPoolExecutor
+            with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+                done = list(pool.map(lambda t: fit_one(*t), todo))
+        else:
+            done = [fit_one(*t) for t in todo]
+        for res, row in done:
+            results.append(res)
+            rows.append(row)
     finally:
         tr.unpersist()
         te.unpersist()
