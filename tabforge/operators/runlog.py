@@ -80,16 +80,14 @@ def promotion_state(models: DataFrame, events: DataFrame) -> DataFrame:
     """
     ev = events.where(F.col("kind") == "promote")
     own = ev.groupBy("model_id").agg(F.max_by(F.struct("seq", "deploy_api", "deploy_batch"), "seq").alias("own"))
-    on = {}
-    for flag in ("deploy_api", "deploy_batch"):
-        on[flag] = (ev.where(F.col(flag)).groupBy("experiment_id")
-                    .agg(F.max_by(F.struct("seq", "model_id"), "seq").alias(f"on_{flag}")))
-    m = models.join(own, "model_id", "left")
-    for flag in on:
-        m = m.join(on[flag], "experiment_id", "left")
+    # per experiment, the latest promotion that switched each flag on (max_by skips null orderings)
+    on = ev.groupBy("experiment_id").agg(*[
+        F.max_by(F.struct("seq", "model_id"), F.when(F.col(flag), F.col("seq"))).alias(f"on_{flag}")
+        for flag in ("deploy_api", "deploy_batch")])
+    m = models.join(own, "model_id", "left").join(on, "experiment_id", "left")
     out = []
     for flag in ("deploy_api", "deploy_batch"):
-        o = F.col(f"on_{flag}")
+        o = F.col(f"on_{flag}")  # null struct when no promotion switched the flag on
         own_seq, own_val = F.col("own.seq"), F.col(f"own.{flag}")
         val = (F.when(o.isNull(), F.coalesce(own_val, F.lit(False)))
                .when(o["model_id"] == F.col("model_id"), own_val)
