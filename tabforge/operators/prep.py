@@ -310,7 +310,7 @@ class FittedPrep:
         return j, F.coalesce(F.col(f"__e_{out}"), default)
 
     def _apply(self, df: DataFrame, keep: list[str], num_value, cat_value, zero_fit: bool,
-               prefix: str = "") -> DataFrame:
+               prefix: str = "", vector_col: str | None = None) -> DataFrame:
         feats = self.features
         enc_cols: dict[str, Column] = {}
         for c in self.categorical_columns:
@@ -324,6 +324,11 @@ class FittedPrep:
             else:
                 z = (x - F.lit(float(mean))) / F.lit(float(std))
             out.append(z.alias(prefix + c))
+        if vector_col:
+            # one vector column instead of one column per feature: a plan with hundreds of features keeps
+            # whole-stage codegen (which stops above spark.sql.codegen.maxFields output fields)
+            from pyspark.ml.functions import array_to_vector
+            return df.select(*[qcol(k) for k in keep], array_to_vector(F.array(*out)).alias(vector_col))
         return df.select(*[qcol(k) for k in keep], *out)
 
     def impute(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -332,16 +337,18 @@ class FittedPrep:
                for c in self.features]
         return df.select(*[qcol(k) for k in keep], *out)
 
-    def transform_fit(self, df: DataFrame, keep: list[str] = (), prefix: str = "") -> DataFrame:
+    def transform_fit(self, df: DataFrame, keep: list[str] = (), prefix: str = "",
+                      vector_col: str | None = None) -> DataFrame:
         """Training rows as fit_transform leaves them (constant columns become 0)."""
-        return self._apply(df, list(keep), self._num_fitted, self._cat_fitted, True, prefix)
+        return self._apply(df, list(keep), self._num_fitted, self._cat_fitted, True, prefix, vector_col)
 
-    def transform_test(self, df: DataFrame, keep: list[str] = (), prefix: str = "") -> DataFrame:
+    def transform_test(self, df: DataFrame, keep: list[str] = (), prefix: str = "",
+                       vector_col: str | None = None) -> DataFrame:
         """Held-out rows: train medians/modes, encodings and statistics (F1)."""
-        return self._apply(df, list(keep), self._num_fitted, self._cat_fitted, False, prefix)
+        return self._apply(df, list(keep), self._num_fitted, self._cat_fitted, False, prefix, vector_col)
 
     def transform_serving(self, df: DataFrame, keep: list[str] | None = None, fill: str = "reference",
-                          prefix: str = "") -> DataFrame:
+                          prefix: str = "", vector_col: str | None = None) -> DataFrame:
         """New rows (F2): match names by lower/strip (last duplicate wins), missing numeric -> raw 0.0,
         numeric nulls -> 0 (``fill='reference'``) or train medians/modes (``fill='fitted'``); then
         encode (null, missing and unseen categories take the unweighted mean) and z-score."""
@@ -359,7 +366,7 @@ class FittedPrep:
         else:
             num = lambda c: F.coalesce(try_double(src(c)), F.lit(0.0))
             cat = lambda c: src(c).cast("string")
-        return self._apply(df, keep, num, cat, False, prefix)
+        return self._apply(df, keep, num, cat, False, prefix, vector_col)
 
     # value expressions per path
     def _num_fitted(self, c: str) -> Column:

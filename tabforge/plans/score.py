@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.exprs import qcol
 from tabforge.operators.prep import FittedPrep
 from tabforge.operators.schema import attach_prediction, check_schema
-from tabforge.plans.train import FEATURE_PREFIX, assemble, index_to_label, model_class, probability_array
+from tabforge.plans.train import index_to_label, model_class, probability_array
 
 
 _MODEL_COLUMNS = ("features", "prediction", "rawPrediction", "probability")
@@ -63,8 +63,8 @@ class ScoringBundle:
         """All input columns plus ``__label`` (class or number) and ``__proba`` (array, classification)."""
         clash = [c for c in df.columns if c in _MODEL_COLUMNS]
         src = df.select(*[qcol(c).alias("__in_" + c) if c in clash else qcol(c) for c in df.columns])
-        x = self.prep.transform_serving(src, keep=list(src.columns), fill=fill, prefix=FEATURE_PREFIX)
-        out = self.model.transform(assemble(x, self.prep.features, "features"))
+        x = self.prep.transform_serving(src, keep=list(src.columns), fill=fill, vector_col="features")
+        out = self.model.transform(x)
         if self.has_probabilities:
             out = out.withColumn("__proba", probability_array(out, self.model))
             out = out.withColumn("__label", index_to_label(F.col("prediction"), self.labels, self._label_dt()))

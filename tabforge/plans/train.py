@@ -160,10 +160,10 @@ def evaluate(scored: DataFrame, target: str, problem_type: str, labels: list | N
 def prepare_xy(prep: FittedPrep, df: DataFrame, target: str, labels: list | None, keep: list[str],
                fit_rows: bool) -> DataFrame:
     t = prep.transform_fit if fit_rows else prep.transform_test
-    x = t(df, keep=list(dict.fromkeys(keep + [target])), prefix=FEATURE_PREFIX)
+    x = t(df, keep=list(dict.fromkeys(keep + [target])), vector_col="features")
     dt = df.schema[target].dataType
     y = label_to_index(qcol(target), labels, dt) if labels is not None else qcol(target).cast("double")
-    return assemble(x.withColumn("label_idx", y), prep.features)
+    return x.withColumn("label_idx", y)
 
 
 def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features: list[str], target: str,
