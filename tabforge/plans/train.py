@@ -20,7 +20,6 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +33,6 @@ from tabforge.operators.prep import FittedPrep
 # fixed values: algorithm names and order per problem type
 CLASSIFICATION_ALGORITHMS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 REGRESSION_ALGORITHMS = ("Linear Regression", "Random Forest", "Gradient Boosting")
-FEATURE_PREFIX = "__x_"
 MAX_CLASSES = 1000
 
 
@@ -76,11 +74,6 @@ def index_to_label(idx: Column, labels: list, dtype: T.DataType | None = None) -
     return F.element_at(F.array(*_lits(labels, dtype)), idx.cast("int") + 1)
 
 
-def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    cols = [FEATURE_PREFIX + c for c in features]
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df).drop(*cols)
-
-
 def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams) -> list[tuple[str, object]]:
     lab, feat = "label_idx", "features"
     if problem_type == "classification":
