@@ -23,7 +23,7 @@ def test_approx_options_stay_close(spark):
     assert exact.imputation["x"] == want
     assert approx.imputation["x"] == pytest.approx(want, abs=5)
     a = {r["column"]: r["unique_count"] for r in prof.counts(df, approx=True).collect()}
-    assert a["x"] == pytest.approx(997, rel=0.05)
+    assert a["x"] == pytest.approx(997, rel=0.15)  # rsd 0.05 is one standard deviation
 
 
 def test_pandas_dtype_names(spark):
