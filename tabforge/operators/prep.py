@@ -377,7 +377,8 @@ class FittedPrep:
 
     # -------------------------------------------------------------- persist
     def _state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("encodings", "n_by_cat")}
+        # encodings (small ones included) live in Parquet next to the state, not in the JSON row
+        return {k: v for k, v in self.__dict__.items() if k not in ("encodings", "n_by_cat", "small_encodings")}
 
     def save(self, path: str) -> None:
         """Scalars as one JSON text row, encodings as Parquet; both through Spark (shared storage)."""
@@ -393,6 +394,10 @@ class FittedPrep:
         prep = cls(**state)
         if prep.categorical_columns:
             prep.encodings = spark.read.parquet(f"{path}/encodings")
+            small = [c for c in prep.categorical_columns if prep.n_categories.get(c, 0) <= prep.map_max]
+            if small:  # proven small at fit: at most map_max rows per column
+                for r in prep.encodings.where(F.col("column").isin(small)).collect():
+                    prep.small_encodings.setdefault(r["column"], {})[r["category"]] = float(r["enc"])
         return prep
 
 
