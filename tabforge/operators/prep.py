@@ -111,8 +111,12 @@ class FittedPrep:
     def fit(cls, df: DataFrame, features: list[str], target: str, *, median: str = "exact",
             map_max: int = DEFAULT_MAP_MAX, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
             hot_share: float = DEFAULT_HOT_SHARE, salt_buckets: int = DEFAULT_SALT_BUCKETS,
-            accuracy: int = 10_000, max_bracket: int | None = None) -> FittedPrep:
-        """Fit on the training rows (target already non-null)."""
+            accuracy: int = 10_000, max_bracket: int | None = None,
+            kind_source: DataFrame | None = None) -> FittedPrep:
+        """Fit on the training rows (target already non-null).
+
+        ``kind_source`` (e.g. the whole table before the split) decides whether a bool column has
+        nulls - and so is categorical - as a file-level dtype would; by default the training rows do."""
         missing = [c for c in features + [target] if c not in df.columns]
         if missing:
             raise KeyError(f"columns not found: {missing}")
@@ -139,7 +143,11 @@ class FittedPrep:
         n = int(a["__n"])
         nn = {c: int(a[f"c{i}"]) for i, c in enumerate(features)}
         nulls = {c: n - nn[c] for c in features}
-        num, cat = column_kinds(df, features, nulls)
+        kind_nulls = dict(nulls)
+        if kind_source is not None and bools:
+            kr = kind_source.agg(*[(F.count(F.lit(1)) - F.count(qcol(c))).alias(c) for c in bools]).first()
+            kind_nulls.update({c: int(kr[c]) for c in bools})
+        num, cat = column_kinds(df, features, kind_nulls)
 
         # pass B: medians of numeric columns
         num_counts = {c: nn[c] for c in num}

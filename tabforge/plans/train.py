@@ -169,7 +169,10 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     from tabforge.operators.rank import leaderboard
 
     p = params or TrainParams()
-    prep = FittedPrep.fit(train, features, target, **(prep_kw or {}))
+    kw = dict(prep_kw or {})
+    if any(train.schema[c].dataType.simpleString() == "boolean" for c in features):
+        kw.setdefault("kind_source", train.unionByName(test))  # bool kind is a whole-table property
+    prep = FittedPrep.fit(train, features, target, **kw)
     labels = label_index(train, target) if problem_type == "classification" else None
     keep = list(keys or [])
     tr = prepare_xy(prep, train, target, labels, keep, True)

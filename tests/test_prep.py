@@ -136,3 +136,11 @@ def test_frequency_encoding_for_text_target(spark, orders):
     for k, v in prep.small_encodings["c"].items():
         assert v == pytest.approx(share[k], rel=1e-12)
     assert not math.isnan(prep.stats["c"][0])
+
+
+def test_bool_kind_follows_the_whole_table(spark):
+    rows = [(i, (i % 2 == 0) if i % 10 != 3 else None, float(i % 2)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, b boolean, y double")
+    train = df.where("k % 10 <> 3")  # the nulls are all on the held-out side
+    assert FittedPrep.fit(train, ["b"], "y").numeric_columns == ["b"]
+    assert FittedPrep.fit(train, ["b"], "y", kind_source=df).categorical_columns == ["b"]
