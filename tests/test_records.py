@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from tabforge.operators.prep import FittedPrep
 from tabforge.sources.records import explode_payload

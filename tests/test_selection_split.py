@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tabforge.operators.selection import exact_medians, kth_values, median_ranks
 from tabforge.operators.split import exact_holdout_flag, split_hash, holdout_flag
