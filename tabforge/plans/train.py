@@ -176,11 +176,14 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     labels = label_index(train, target) if problem_type == "classification" else None
     keep = list(keys or [])
     tr = prepare_xy(prep, train, target, labels, keep, True)
-    par = spark.sparkContext.defaultParallelism
+    try:
+        par = spark.sparkContext.defaultParallelism
+        parts = tr.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (Connect session: leave the layout to the server)
+        par, parts = 0, 0
     if keys and key_layout:
-        tr = tr.repartition(max(1, spark.sparkContext.defaultParallelism), *[qcol(k) for k in keys]) \
-               .sortWithinPartitions(*[qcol(k) for k in keys])
-    elif tr.rdd.getNumPartitions() < par:
+        tr = tr.repartition(max(1, par), *[qcol(k) for k in keys]).sortWithinPartitions(*[qcol(k) for k in keys])
+    elif parts < par:
         # few input splits (small files): spread rows round-robin over the cluster's task slots;
         # an even split, so no key can load one task.  Large inputs keep their scan partitions.
         tr = tr.repartition(par)
