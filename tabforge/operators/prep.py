@@ -38,6 +38,7 @@ from tabforge.session import cut_lineage
 
 UNKNOWN_CATEGORY = "UNKNOWN"  # fixed value: mode of a column with no values
 DEFAULT_MAP_MAX = 10_000  # encodings up to this many categories become a map literal
+DEFAULT_MAP_TOTAL_MAX = 200_000  # ...while all map literals together stay under this many entries
 DEFAULT_BROADCAST_BYTES = 32 << 20  # estimated bytes; larger encoding tables are joined by shuffle
 DEFAULT_HOT_SHARE = 0.01  # a category with this share of training rows is salted
 DEFAULT_SALT_BUCKETS = 32
@@ -102,6 +103,7 @@ class FittedPrep:
     report: dict = field(default_factory=dict)
     input_schema: str = ""
     map_max: int = DEFAULT_MAP_MAX
+    map_total_max: int = DEFAULT_MAP_TOTAL_MAX
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES
     salt_buckets: int = DEFAULT_SALT_BUCKETS
     encodings: DataFrame | None = None  # (column, category, n, enc) for every categorical column
@@ -109,7 +111,8 @@ class FittedPrep:
     # ------------------------------------------------------------------ fit
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], target: str, *, median: str = "exact",
-            map_max: int = DEFAULT_MAP_MAX, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+            map_max: int = DEFAULT_MAP_MAX, map_total_max: int = DEFAULT_MAP_TOTAL_MAX,
+            broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
             hot_share: float = DEFAULT_HOT_SHARE, salt_buckets: int = DEFAULT_SALT_BUCKETS,
             accuracy: int = 10_000, max_bracket: int | None = None,
             kind_source: DataFrame | None = None) -> FittedPrep:
@@ -178,7 +181,8 @@ class FittedPrep:
 
         prep = cls(features=list(features), numeric_columns=num, categorical_columns=cat,
                    imputation=imputation, stats=stats, fit_zero=fit_zero,
-                   target_numeric=target_numeric, map_max=map_max, broadcast_bytes=broadcast_bytes,
+                   target_numeric=target_numeric, map_max=map_max, map_total_max=map_total_max,
+                   broadcast_bytes=broadcast_bytes,
                    salt_buckets=salt_buckets, input_schema=df.select(*[qcol(c) for c in features]).schema.json())
         ysum = float(a["__ysum"] or 0.0) if target_numeric else 0.0
         prep.target_mean = ysum / n if (target_numeric and n) else 0.0
@@ -231,7 +235,14 @@ class FittedPrep:
                   .groupBy("column", "category").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
         enc = (F.col("s") / F.col("n")) if self.target_numeric else (F.col("n") / F.lit(float(n)))
         table = filled.select("column", "category", F.col("n").cast("bigint").alias("n"), enc.alias("enc"))
-        small = [c for c in cat if self.n_categories.get(c, 0) <= self.map_max]
+        # map literals for the smallest columns first, within a per-column and a total budget (driver
+        # memory and plan size stay bounded however many categorical columns there are)
+        small, budget = [], self.map_total_max
+        for c in sorted(cat, key=lambda c: self.n_categories.get(c, 0)):
+            k = self.n_categories.get(c, 0)
+            if k <= self.map_max and k <= budget:
+                small.append(c)
+                budget -= k
         large = [c for c in cat if c not in small]
         if small:
             # proven small: at most map_max + 1 rows per column; the null group joins its mode here
@@ -402,7 +413,7 @@ class FittedPrep:
         prep = cls(**state)
         if prep.categorical_columns:
             prep.encodings = spark.read.parquet(f"{path}/encodings")
-            small = [c for c in prep.categorical_columns if prep.n_categories.get(c, 0) <= prep.map_max]
+            small = [c for c in prep.categorical_columns if c not in prep.hot_categories]
             if small:  # proven small at fit: at most map_max rows per column
                 for r in prep.encodings.where(F.col("column").isin(small)).collect():
                     prep.small_encodings.setdefault(r["column"], {})[r["category"]] = float(r["enc"])

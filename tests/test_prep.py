@@ -144,3 +144,21 @@ def test_bool_kind_follows_the_whole_table(spark):
     train = df.where("k % 10 <> 3")  # the nulls are all on the held-out side
     assert FittedPrep.fit(train, ["b"], "y").numeric_columns == ["b"]
     assert FittedPrep.fit(train, ["b"], "y", kind_source=df).categorical_columns == ["b"]
+
+
+def test_map_budget_splits_columns_and_survives_save(spark, orders, tmp_path):
+    o, _ = orders
+    train, test = o.where(~F.col("is_test")), o.where(F.col("is_test"))
+    base = FittedPrep.fit(train, ["x", "c", "hc"], "y").transform_test(test, keep=["o_orderkey"])
+    p = FittedPrep.fit(train, ["x", "c", "hc"], "y", map_total_max=5)
+    assert list(p.small_encodings) == ["c"] and "hc" in p.hot_categories
+    path = str(tmp_path / "mixed")
+    p.save(path)
+    back = FittedPrep.load(spark, path)
+    assert list(back.small_encodings) == ["c"]
+    for q in (p, back):
+        other = q.transform_test(test, keep=["o_orderkey"]).select(
+            "o_orderkey", *[F.col(c).alias(c + "2") for c in ("x", "c", "hc")])
+        j = base.join(other, "o_orderkey")
+        assert j.count() == base.count()
+        assert j.where(sum(F.abs(F.col(c) - F.col(c + "2")) for c in ("x", "c", "hc")) > 1e-12).count() == 0
