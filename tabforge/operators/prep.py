@@ -40,6 +40,7 @@ UNKNOWN_CATEGORY = "UNKNOWN"  # fixed value: mode of a column with no values
 DEFAULT_MAP_MAX = 10_000  # encodings up to this many categories become a map literal
 DEFAULT_MAP_TOTAL_MAX = 200_000  # ...while all map literals together stay under this many entries
 DEFAULT_BROADCAST_BYTES = 32 << 20  # estimated bytes; larger encoding tables are joined by shuffle
+DEFAULT_BROADCAST_TOTAL_BYTES = 256 << 20  # all broadcast encoding tables of one transform together
 DEFAULT_HOT_SHARE = 0.01  # a category with this share of training rows is salted
 DEFAULT_SALT_BUCKETS = 32
 
@@ -105,6 +106,7 @@ class FittedPrep:
     map_max: int = DEFAULT_MAP_MAX
     map_total_max: int = DEFAULT_MAP_TOTAL_MAX
     broadcast_bytes: int = DEFAULT_BROADCAST_BYTES
+    broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES
     salt_buckets: int = DEFAULT_SALT_BUCKETS
     encodings: DataFrame | None = None  # (column, category, n, enc) for every categorical column
 
@@ -295,7 +297,20 @@ class FittedPrep:
             self.fit_zero.append(c)
 
     # ------------------------------------------------------------ transform
-    def _encode(self, df: DataFrame, c: str, value: Column, out: str) -> tuple[DataFrame, Column]:
+    def _broadcast_columns(self) -> set:
+        """Join-path columns whose encoding table is broadcast: each under ``broadcast_bytes`` and,
+        smallest first, all of them together under ``broadcast_total_bytes``."""
+        chosen, budget = set(), self.broadcast_total_bytes
+        joined = [c for c in self.categorical_columns if c not in self.small_encodings]
+        for c in sorted(joined, key=lambda c: self.category_bytes.get(c, 1 << 62)):
+            b = self.category_bytes.get(c, 1 << 62)
+            if b <= self.broadcast_bytes and b <= budget:
+                chosen.add(c)
+                budget -= b
+        return chosen
+
+    def _encode(self, df: DataFrame, c: str, value: Column, out: str,
+                broadcast: bool = False) -> tuple[DataFrame, Column]:
         """Returns (df', encoded column); unseen / null categories take the unweighted mean."""
         default = F.lit(self.enc_default.get(c, 0.0))
         if c in self.small_encodings:
@@ -308,7 +323,7 @@ class FittedPrep:
             F.col("category").alias(f"__k_{out}"), F.col("enc").alias(f"__e_{out}"))
         kcol = f"__v_{out}"
         df = df.withColumn(kcol, value)
-        if self.category_bytes.get(c, 1 << 62) <= self.broadcast_bytes:
+        if broadcast:
             j = df.join(F.broadcast(enc), F.col(kcol) == F.col(f"__k_{out}"), "left")
         else:
             hot = self.hot_categories.get(c, [])
@@ -332,8 +347,9 @@ class FittedPrep:
                prefix: str = "", vector_col: str | None = None) -> DataFrame:
         feats = self.features
         enc_cols: dict[str, Column] = {}
+        bc = self._broadcast_columns()
         for c in self.categorical_columns:
-            df, enc_cols[c] = self._encode(df, c, cat_value(c), f"f{feats.index(c)}")
+            df, enc_cols[c] = self._encode(df, c, cat_value(c), f"f{feats.index(c)}", c in bc)
         out = []
         for c in feats:
             x = num_value(c) if c in self.numeric_columns else enc_cols[c]
