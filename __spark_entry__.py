@@ -860,22 +860,30 @@ _PROBLEMS = {
                    _LI_KEYS),
     "ols_1f": (fx.part_ml, ["p_size"], "p_retailprice", "regression", ["p_partkey"]),
 }
+_ALGOS = {  # estimators the registered queries use per problem
+    "binary": list(TR.CLASSIFICATION_ALGORITHMS),
+    "multiclass": ["Logistic Regression", "Gradient Boosting"],
+    "regression": list(TR.REGRESSION_ALGORITHMS),
+    "ols_1f": ["Linear Regression"],
+}
 _FITS: dict = {}
 
 
 def _fit(spark, sf, problem, algorithm):
-    """Trains once per (tables, problem, algorithm) in this process; later queries reuse the fit."""
-    key = (sf, problem, algorithm, id(spark))
+    """One preparation fit and all of a problem's estimators (trained concurrently) per process; the
+    queries of that problem share them."""
+    key = (sf, problem, id(spark))
     if key not in _FITS:
         load, feats, target, ptype, keys = _PROBLEMS[problem]
         df = load(spark, sf)
         train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
         prep, labels, lb, res = TR.train_all(spark, train, test, feats, target, ptype, keys=keys,
-                                             algorithms=[algorithm])
-        bundle = ScoringBundle(prep, res[0].model, ptype, algorithm, labels,
-                               df.schema[target].dataType.simpleString())
-        _FITS[key] = (df, test, bundle, lb)
-    return _FITS[key]
+                                             algorithms=_ALGOS[problem], parallel=True)
+        lb = spark.createDataFrame(lb.collect(), lb.schema)  # three rows, kept local
+        ltype = df.schema[target].dataType.simpleString()
+        _FITS[key] = {r.algorithm_name: (df, test, ScoringBundle(prep, r.model, ptype, r.algorithm_name, labels, ltype),
+                                         lb.where(F.col("algorithm_name") == r.algorithm_name)) for r in res}
+    return _FITS[key][algorithm]
 
 
 _BIN_TEST_SQL = f"WITH {ORDERS_ML_SQL} SELECT o_orderkey, true AS prob_in_01, true AS label_known FROM o WHERE is_test"
@@ -1157,8 +1165,11 @@ def q_prep_stream(spark, sf):
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: split -> leak-free fit on train -> logistic regression -> held-out
-    metrics and rank (the leaderboard row)."""
-    df, test, b, lb = _fit(spark, "/root/testdata/sf0.001", "binary", "Logistic Regression")
+    metrics -> leaderboard row (the full three-model run is the ``train_and_rank`` query)."""
+    o = fx.orders_ml(spark, "/root/testdata/sf0.001")
+    prep, labels, lb, res = TR.train_all(spark, o.where(~F.col("is_test")), o.where(F.col("is_test")), ["x", "c"],
+                                         "y", "classification", keys=["o_orderkey"],
+                                         algorithms=["Logistic Regression"])
     return lb.select("run_id", "algorithm_name", "rank", "primary_metric_value", "metrics")
 
 

@@ -21,7 +21,7 @@ def test_contract_keys():
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 1 and rows[0]["rank"] == 1
+    assert len(rows) == 1 and rows[0]["rank"] == 1 and rows[0]["metrics"]["auc"] is not None
 
 
 @pytest.fixture(scope="module")
