@@ -108,3 +108,26 @@ def test_run_experiment_failure_is_logged(spark, separable, tmp_path):
                        log_dir=log, experiment_id=8, params=FAST)
     st = RL.current_status(spark.read.parquet(f"{log}/run_events")).first()
     assert st["status"] == "failed" and "missing_col" in st["message"]
+
+
+def test_json_records_stream_equals_batch(spark, separable, tmp_path):
+    import json
+
+    from tabforge.sources.records import read_records, text_schema
+    tr, te = separable.where(~F.col("is_test")), separable.where(F.col("is_test"))
+    prep, labels, lb, res = train_all(spark, tr, te, ["a", "g"], "y", "classification", params=FAST,
+                                      algorithms=["Logistic Regression"])
+    b = ScoringBundle(prep, res[0].model, "classification", "Logistic Regression", labels, "double")
+    src = tmp_path / "records"
+    src.mkdir()
+    recs = [{"k": str(r["k"]), "A": r["a"], "g": r["g"]} for r in te.limit(50).collect()]  # other spelling of a
+    recs[0]["A"] = " 1.5 "  # number as text
+    del recs[1]["g"]       # missing key
+    (src / "part-0.json").write_text("\n".join(json.dumps(r) for r in recs))
+    fields = ["k", "A", "g"]
+    stream = SS.read_stream(spark, str(src), text_schema(fields), fmt="json")
+    got = SS.stream_to_table(SS.score_stream(b, stream, keep=["k"], probabilities=True))
+    want = b.predict(read_records(spark, str(src), fields), keep=["k"], return_probabilities=True)
+    assert got.count() == want.count() == 50
+    j = got.join(want.withColumnRenamed("prediction", "p2").withColumnRenamed("probabilities", "q2"), "k")
+    assert j.where((F.col("prediction") != F.col("p2")) | (F.col("probabilities")["1.0"] != F.col("q2")["1.0"])).count() == 0
