@@ -9,11 +9,14 @@ smallest value is found by narrowing a bracket:
    bounds ``[lo, hi]`` around the wanted rank, with a margin larger than its
    rank error ``n / accuracy``;
 2. one counting pass checks the bracket (values below ``lo`` and inside it);
-3. repeat on the bracket until it holds at most ``max_bracket`` rows, then rank
-   the bracket exactly with a grouped count + running sum per column.
+3. repeat on the bracket until it holds at most ``max_bracket`` rows or (by an
+   HLL estimate with a 2x margin) distinct values, then rank the bracket exactly
+   with a grouped count + running sum per column.
 
 Every pass is a bounded-memory aggregation, and the final window sees at most
-``max_bracket`` distinct values per column.  Small inputs skip straight to step 3.
+about ``max_bracket`` distinct values per column (ties collapse in the grouping,
+so heavily repeated values end the narrowing early).  Small inputs skip straight
+to step 3.
 """
 
 from __future__ import annotations
@@ -56,42 +59,55 @@ def kth_values(
         n = counts.get(c, 0)
         rs = sorted({r for r in rs if 0 <= r < n})
         if rs:
-            state[c] = {"lo": None, "hi": None, "below": 0, "inside": n, "ranks": rs, "acc": accuracy}
+            state[c] = {"lo": None, "hi": None, "below": 0, "inside": n, "ranks": rs, "acc": accuracy,
+                        "distinct": None}
+    # The final step groups the bracket by value before its running sum, so its cost is the number of
+    # distinct values: a bracket is small enough once its rows, or its (HLL-estimated, with a 2x margin)
+    # distinct values, are at most max_bracket.  Heavily repeated values therefore end the narrowing.
+    def small(s):
+        return s["inside"] <= max_bracket or (s["distinct"] is not None and s["distinct"] * 2 <= max_bracket)
+
     rounds = 0
     while rounds < max_rounds:
-        active = [c for c, s in state.items() if s["inside"] > max_bracket]
-        if not active:
+        asked = [c for c, st in state.items() if not small(st)]
+        if not asked:
             break
         rounds += 1
-        # Pass 1: approximate bounds inside the current bracket.
+        # Pass 1: approximate bounds inside the current bracket, and its distinct count.
         aggs = []
-        for i, c in enumerate(active):
-            s = state[c]
-            m = 2.0 / s["acc"] + 1.0 / s["inside"]
-            p_lo = max(0.0, (s["ranks"][0] - s["below"]) / s["inside"] - m)
-            p_hi = min(1.0, (s["ranks"][-1] - s["below"] + 1) / s["inside"] + m)
-            v = F.when(_in_bracket(qcol(c), s["lo"], s["hi"]), qcol(c))
-            aggs.append(F.percentile_approx(v, [p_lo, p_hi], s["acc"]).alias(f"q{i}"))
+        for i, c in enumerate(asked):
+            st = state[c]
+            m = 2.0 / st["acc"] + 1.0 / st["inside"]
+            p_lo = max(0.0, (st["ranks"][0] - st["below"]) / st["inside"] - m)
+            p_hi = min(1.0, (st["ranks"][-1] - st["below"] + 1) / st["inside"] + m)
+            v = F.when(_in_bracket(qcol(c), st["lo"], st["hi"]), qcol(c))
+            aggs.append(F.percentile_approx(v, [p_lo, p_hi], st["acc"]).alias(f"q{i}"))
+            aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
         qrow = df.agg(*aggs).first()
-        # Pass 2: exact counts for the proposed bracket.
+        prop = {}
+        for i, c in enumerate(asked):
+            state[c]["distinct"] = qrow[f"d{i}"]
+            prop[c] = qrow[f"q{i}"]
+        narrow = [c for c in asked if not small(state[c])]
+        if not narrow:
+            break
+        # Pass 2: exact counts below and inside the proposed bracket.
         aggs = []
-        for i, c in enumerate(active):
-            s = state[c]
-            q = qrow[f"q{i}"]
-            s["prop"] = (q[0], q[1])
-            inb = _in_bracket(qcol(c), s["lo"], s["hi"])
-            aggs.append(F.count_if(inb & (qcol(c) < F.lit(q[0]))).alias(f"b{i}"))
-            aggs.append(F.count_if(inb & (qcol(c) >= F.lit(q[0])) & (qcol(c) <= F.lit(q[1]))).alias(f"n{i}"))
+        for i, c in enumerate(narrow):
+            st, (q0, q1) = state[c], prop[c]
+            inb = _in_bracket(qcol(c), st["lo"], st["hi"])
+            aggs.append(F.count_if(inb & (qcol(c) < F.lit(q0))).alias(f"b{i}"))
+            aggs.append(F.count_if(inb & (qcol(c) >= F.lit(q0)) & (qcol(c) <= F.lit(q1))).alias(f"n{i}"))
         crow = df.agg(*aggs).first()
-        for i, c in enumerate(active):
-            s = state[c]
-            below = s["below"] + crow[f"b{i}"]
+        for i, c in enumerate(narrow):
+            st = state[c]
+            below = st["below"] + crow[f"b{i}"]
             inside = crow[f"n{i}"]
-            if below <= s["ranks"][0] and below + inside > s["ranks"][-1] and inside < s["inside"]:
-                s["lo"], s["hi"] = s["prop"]
-                s["below"], s["inside"] = below, inside
+            if below <= st["ranks"][0] and below + inside > st["ranks"][-1] and inside < st["inside"]:
+                st["lo"], st["hi"] = prop[c]
+                st["below"], st["inside"], st["distinct"] = below, inside, None
             else:  # sketch bound missed (or no progress): sharpen and retry
-                s["acc"] = s["acc"] * 10
+                st["acc"] = st["acc"] * 10
     # Final: exact ranks inside each bracket with a grouped count and a running sum.
     if not state:
         return {}

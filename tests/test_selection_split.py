@@ -43,3 +43,27 @@ def test_exact_split_size(spark):
     train, test = split_hash(o, ["o_orderkey"])
     assert train.count() + test.count() == n
     assert o.where(holdout_flag(o, ["o_orderkey"])).count() == test.count()
+
+
+def test_kth_values_two_columns_narrow_together(spark):
+    rng = np.random.default_rng(9)
+    a = rng.exponential(3.0, 15000).round(4)
+    b = rng.integers(0, 50, 15000).astype(float)  # few distinct values, heavy ties
+    b_null = np.arange(15000) % 4 == 0
+    rows = [(float(x), None if m else float(y)) for x, y, m in zip(a, b, b_null)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    nb = int((~b_null).sum())
+    med = exact_medians(df, {"a": 15000, "b": nb}, accuracy=50, max_bracket=300)
+    assert med["a"] == float(np.median(a)) and med["b"] == float(np.median(b[~b_null]))
+    got = kth_values(df, {"a": [0, 14999], "b": [nb - 1]}, {"a": 15000, "b": nb}, accuracy=50, max_bracket=300)
+    assert got["a"] == {0: float(a.min()), 14999: float(a.max())}
+    assert got["b"] == {nb - 1: float(b[~b_null].max())}
+
+
+def test_kth_values_stops_on_few_distinct_values(spark):
+    # 40k rows but only 3 distinct values: the bracket cannot shrink below max_bracket rows, the
+    # distinct estimate ends the narrowing and the grouped final step answers exactly
+    rows = [(float(i % 3),) for i in range(40000)]
+    df = spark.createDataFrame(rows, "v double")
+    got = kth_values(df, {"v": [0, 20000, 39999]}, {"v": 40000}, accuracy=50, max_bracket=100)
+    assert got["v"] == {0: 0.0, 20000: 1.0, 39999: 2.0}
