@@ -45,6 +45,8 @@ def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
         w = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         g = g.withColumn("nb", F.coalesce(F.sum("n").over(w), F.lit(0)))
     else:
+        from tabforge.session import cut_lineage
+        g = cut_lineage(g)  # the grouped scores feed the cut sketch and the sums: shuffle them once
         probs = [i / buckets for i in range(1, buckets)]
         cuts = g.agg(F.percentile_approx("__s", probs, 10_000).alias("q")).first()["q"]  # over distinct scores
         cuts = sorted(set(float(c) for c in cuts))
