@@ -392,14 +392,23 @@ class FittedPrep:
         keep = list(df.columns) if keep is None else list(keep)
         mapping = align_mapping(df.columns, self.features)
 
+        types = {f.name: f.dataType for f in df.schema.fields}
+
         def src(c: str) -> Column:
             return qcol(mapping[c]) if mapping.get(c) is not None else F.lit(None)
 
+        def number(c: str) -> Column:
+            # numbers are cast directly; only text inputs go through trim + try_cast
+            dt = types.get(mapping.get(c)) if mapping.get(c) is not None else None
+            if isinstance(dt, (T.NumericType, T.BooleanType)):
+                return src(c).cast("double")
+            return try_double(src(c))
+
         if fill == "fitted":
-            num = lambda c: F.coalesce(try_double(src(c)), F.lit(self.imputation[c]))
+            num = lambda c: F.coalesce(number(c), F.lit(self.imputation[c]))
             cat = lambda c: F.coalesce(src(c).cast("string"), F.lit(self.imputation[c]))
         else:
-            num = lambda c: F.coalesce(try_double(src(c)), F.lit(0.0))
+            num = lambda c: F.coalesce(number(c), F.lit(0.0))
             cat = lambda c: src(c).cast("string")
         return self._apply(df, keep, num, cat, False, prefix, vector_col)
 
