@@ -76,3 +76,29 @@ def with_nan_as_null(df: DataFrame) -> DataFrame:
     if not fc:
         return df
     return df.select(*[nan_to_null(qcol(c)).alias(c) if c in fc else qcol(c) for c in df.columns])
+
+
+def py_float_text(c: Column) -> Column:
+    """Double as text laid out like Python's ``str(float)`` (profile samples), from Spark's
+    shortest round-trip digits: plain notation for exponents -4..15, else ``d.ddde+XX``."""
+    s = c.cast("double").cast("string")  # e.g. 123.45, 1.23456789E7, 1.0E-4, Infinity
+    sci = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    sign = F.regexp_extract(s, sci, 1)
+    lead = F.regexp_extract(s, sci, 2)
+    frac = F.regexp_replace(F.regexp_extract(s, sci, 3), "0+$", "")
+    digits = F.concat(lead, frac)
+    e = F.regexp_extract(s, sci, 4).cast("int")
+    zeros = F.repeat(F.lit("0"), F.greatest(e + 1 - F.length(digits), F.lit(0)))
+    int_part = F.concat(digits.substr(F.lit(1), e + 1), zeros)
+    rest = digits.substr(e + 2, F.lit(64))
+    big = F.concat(sign, int_part, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))  # 7 <= e <= 15
+    small = F.concat(sign, F.lit("0.000"), digits)  # e == -4
+    mant = F.concat(lead, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+    expo = F.concat(F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    scientific = F.concat(sign, mant, F.lit("e"), expo)
+    return (F.when(s.isNull(), F.lit(None).cast("string"))
+            .when(s == "Infinity", F.lit("inf")).when(s == "-Infinity", F.lit("-inf"))
+            .when(~s.rlike(sci), s)
+            .when((e >= 7) & (e <= 15), big)
+            .when(e == -4, small)
+            .otherwise(scientific))

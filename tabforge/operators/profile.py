@@ -19,15 +19,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.functions.exprs import qcol
+from tabforge.functions.exprs import py_float_text, qcol
 
 SAMPLE_SIZE = 5
 
 
+def _as_text(df: DataFrame, c: str):
+    """Sample text of a value: doubles laid out like Python's ``str`` (1e7 -> '10000000.0')."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[c].dataType, T.DoubleType):
+        return py_float_text(qcol(c))
+    return qcol(c).cast("string")
+
+
 def _long(df: DataFrame, key: list[str] | None) -> DataFrame:
     cols = df.columns
     k = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
-    base = df.select(k.alias("__key"), *[qcol(c).cast("string").alias(c) for c in cols])
+    base = df.select(k.alias("__key"), *[_as_text(df, c).alias(c) for c in cols])
     return base.unpivot("__key", cols, "column", "value")
 
 
@@ -100,7 +108,7 @@ def sample_rows(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZ
     ``head_rows + k * columns`` rows reach the driver."""
     cols = df.columns
     kcol = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
-    base = df.select(kcol.alias("__key"), *[qcol(c).cast("string").alias(c) for c in cols])
+    base = df.select(kcol.alias("__key"), *[_as_text(df, c).alias(c) for c in cols])
     head = base.orderBy("__key").limit(head_rows).collect()
     out = {c: [r[c] for r in head if r[c] is not None][:k] for c in cols}
     short = [c for c in cols if len(out[c]) < k and len(head) == head_rows]

@@ -30,3 +30,10 @@ def test_pandas_dtype_names(spark):
     df = spark.createDataFrame([(1, None, True), (2, 3, False)], "a bigint, b int, c boolean")
     k = {r["name"]: (r["kind"], r["pandas_dtype"]) for r in kinds_frame(df).collect()}
     assert k == {"a": ("numeric", "int64"), "b": ("numeric", "float64"), "c": ("numeric", "bool")}
+
+
+def test_sample_text_of_doubles_matches_python_str(spark):
+    vals = [12345678.9, 1e7, 0.0001, 1e-5, 1e16, 123.45, -2.5e-9]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, v double")
+    got = prof.sample_rows(df, key=["k"], k=10)["v"]
+    assert got == [str(v) for v in vals]
