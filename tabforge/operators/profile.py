@@ -108,12 +108,15 @@ def sample_rows(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZ
     ``head_rows + k * columns`` rows reach the driver."""
     cols = df.columns
     kcol = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
-    base = df.select(kcol.alias("__key"), *[_as_text(df, c).alias(c) for c in cols])
-    head = base.orderBy("__key").limit(head_rows).collect()
+    keyed = df.withColumn("__key", kcol) if "__key" not in cols else df
+    # top-k on the raw rows first; only the selected rows are rendered as text
+    head = (keyed.orderBy("__key").limit(head_rows)
+            .select(*[_as_text(df, c).alias(c) for c in cols]).collect())
     out = {c: [r[c] for r in head if r[c] is not None][:k] for c in cols}
     short = [c for c in cols if len(out[c]) < k and len(head) == head_rows]
     for c in short:
-        rows = base.where(F.col(c).isNotNull()).select("__key", c).orderBy("__key").limit(k).collect()
+        rows = (keyed.where(qcol(c).isNotNull()).orderBy("__key").limit(k)
+                .select(_as_text(df, c).alias(c)).collect())
         out[c] = [r[c] for r in rows]
     return out
 
