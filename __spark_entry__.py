@@ -1162,6 +1162,20 @@ def q_prep_stream(spark, sf):
     return out.select("o_orderkey", r6(F.col("x")).alias("x"), r6(F.col("c")).alias("c"))
 
 
+# --------------------------------------------------------------------------- training-data operators
+try:  # the subpackage is optional: the queries above don't need it
+    import corpus_pipeline
+    from tabforge.llm import queries as _llm
+except ImportError:
+    pass
+else:
+    _Q.update(_llm.QUERIES)
+    _SQL.update(_llm.ORACLES)
+    _Q["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship on sf0.001: split -> leak-free fit on train -> logistic regression -> held-out
