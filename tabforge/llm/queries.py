@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, line_dedup, mixing, quality, simhash, token_count
+from tabforge.llm import ann, bpe, chat, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity
 from tabforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,50 @@ def op3(spark, sf):
         "doc_id", "n_lines", "n_dropped", "text")
 
 
+@register("op4_nearest_neighbours")
+def op4(spark, sf):
+    return ann.search(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+@register("op5_quality_rules")
+def op5(spark, sf):
+    return repetition.repetition_rules(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+
+
+@register("op6_toxicity")
+def op6(spark, sf):
+    d, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    return toxicity.classify(d, labels).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+_SHOWN = "'<|im_start|>' || {0}.role || chr(10) || {0}.text || '<|im_end|>' || chr(10)"
+
+
+@register("op7_preference_format", f"""WITH t AS (SELECT conv_id AS pair, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, text
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+l AS (SELECT pair, max(pos) FILTER (role = 'assistant') AS last, max(text) FILTER (pos = 0) AS echo FROM t GROUP BY pair),
+r AS (SELECT pair, pos, role, CASE WHEN pos = last THEN echo ELSE text END AS text FROM t JOIN l USING (pair) WHERE last IS NULL OR pos <= last),
+b AS (SELECT pair, pos, c, r FROM (SELECT pair, pos, t AS c FROM t) FULL JOIN (SELECT pair, pos, r FROM r) USING (pair, pos)),
+s AS (SELECT pair, min(pos) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) AS cut_at FROM b GROUP BY pair),
+x AS (SELECT b.*, cut_at IS NULL OR pos < cut_at AS same, length({_SHOWN.format('c')}) AS nc, length({_SHOWN.format('r')}) AS nr FROM b JOIN s USING (pair)),
+y AS (SELECT *, coalesce(sum(nc) OVER w, 0) - coalesce(nc, 0) AS ac, coalesce(sum(nr) OVER w, 0) - coalesce(nr, 0) AS ar FROM x WINDOW w AS (PARTITION BY pair, same ORDER BY pos))
+SELECT pair AS conv_id, count(*) FILTER (same) AS n_common,
+  coalesce(string_agg({_SHOWN.format('c')}, '' ORDER BY pos) FILTER (same), '') AS prompt,
+  coalesce(string_agg({_SHOWN.format('c')}, '' ORDER BY pos) FILTER (NOT same AND c IS NOT NULL), '') AS chosen,
+  coalesce(string_agg({_SHOWN.format('r')}, '' ORDER BY pos) FILTER (NOT same AND r IS NOT NULL), '') AS rejected,
+  coalesce(string_agg((ac + 13 + length(c.role))::BIGINT || '-' || (ac + nc - 1)::BIGINT, ' ' ORDER BY pos) FILTER (NOT same AND c.role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((ar + 13 + length(r.role))::BIGINT || '-' || (ar + nr - 1)::BIGINT, ' ' ORDER BY pos) FILTER (NOT same AND r.role = 'assistant'), '') AS rejected_mask,
+  count(*) FILTER (NOT same AND c.role = 'assistant') > 0 AND
+  coalesce(string_agg({_SHOWN.format('c')}, '' ORDER BY pos) FILTER (NOT same AND c IS NOT NULL), '') <> coalesce(string_agg({_SHOWN.format('r')}, '' ORDER BY pos) FILTER (NOT same AND r IS NOT NULL), '') AS trains
+FROM y GROUP BY pair""")
+def op7(spark, sf):
+    t = chat.turns(table(spark, sf, "conversations"))
+    p = chat.preference_pairs(t, chat.corrupted(t))
+    shown = {c: F.expr(f"array_join(transform({c}, x -> concat(x.first, '-', x.end)), ' ')") for c in ("chosen_mask", "rejected_mask")}
+    return p.withColumns(shown).withColumnRenamed("pair", "conv_id")
+
+
 @register("op8_byte_bpe")
 def op8(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
