@@ -58,6 +58,8 @@ def exponent(sources: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repea
             sums = powers.groupBy("k", "a").agg(F.sum(F.pow("p", F.col("a"))).alias("z"), F.sum(F.pow("p", F.col("a")) * F.ln("p")).alias("l")).collect()
             held = [r["k"] for r in sorted(sums, key=lambda r: r["k"]) if accept(r["a"], r["z"], r["l"])]
             low, width = low + step * (max(held) if held else 0), step
+            if low >= GRID ** ROUNDS:
+                return GRID ** ROUNDS
         return low
 
     by_entropy = search(lambda a, z, l: math.log(z) - a * l / z >= target)
@@ -140,7 +142,7 @@ s AS (SELECT site, sum(n_tokens)::BIGINT AS total FROM d GROUP BY site),
 ext AS (SELECT max(total) AS hi, min(total) AS lo, sum(total)::DOUBLE AS every FROM s WHERE total > 0),
 shares AS (SELECT total / every AS p FROM s, ext WHERE total > 0),
 {', '.join(rounds)},
-expo AS (SELECT greatest((SELECT lo FROM e{ROUNDS - 1}), (SELECT CASE WHEN hi <= {max_repeat!r} * lo THEN 0 ELSE least({n}, (SELECT lo FROM r{ROUNDS - 1}) + 1) END FROM ext)) / {float(n)!r}::DOUBLE AS a),
+expo AS (SELECT least({n}, greatest((SELECT lo FROM e{ROUNDS - 1}), (SELECT CASE WHEN hi <= {max_repeat!r} * lo THEN 0 ELSE least({n}, (SELECT lo FROM r{ROUNDS - 1}) + 1) END FROM ext))) / {float(n)!r}::DOUBLE AS a),
 powered AS (SELECT site, total, CASE WHEN total > 0 THEN pow(total / every, a) ELSE 0.0 END AS q FROM s, ext, expo),
 weighed AS (SELECT site, total, round(q / (SELECT sum(q) FROM powered), 9) AS weight FROM powered),
 b AS (SELECT max(ceil(total / weight))::DOUBLE AS budget FROM weighed WHERE weight > 0),

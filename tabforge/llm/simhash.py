@@ -88,6 +88,7 @@ def _masks(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
 def forest(fps) -> list[dict[str, int]]:
     """For a bucket of distinct fingerprints, a forest of links within the radius that spans each of its components."""
     x = np.sort(np.asarray(fps, np.int64))
+    bits = x.view(np.uint64)  # bitwise_count takes a negative number's absolute value
     left, edges = np.ones(len(x), bool), []
     for k in range(len(x)):
         if not left[k]:
@@ -95,7 +96,7 @@ def forest(fps) -> list[dict[str, int]]:
         left[k], frontier = False, [k]
         while frontier:
             at = frontier.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(x ^ x[at]) <= RADIUS))
+            near = np.flatnonzero(left & (np.bitwise_count(bits ^ bits[at]) <= RADIUS))
             left[near] = False
             frontier += near.tolist()
             edges += [{"a": int(x[at]), "b": int(x[m])} for m in near]
@@ -118,9 +119,12 @@ def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
             keyed = keyed.distinct()
         counted = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = cut_lineage(keyed.join(counted, ["mask", "key"]))
-        gathered = met.where(F.col("n") <= BUCKET).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
+        last = level == 2  # at most 2 ** 8 nodes differ in the positions that its tables leave out
+        gathered = met.where((F.col("n") <= BUCKET) | F.lit(last)).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         edges = gathered.select(F.explode(forests("fps")).alias("e")).select("e.a", "e.b")
         found = edges if found is None else found.unionByName(edges)
+        if last:
+            break
         members = met.where(F.col("n") > BUCKET).select(F.col("mask").alias("above"), "fp").distinct()
         if members.isEmpty():
             break
