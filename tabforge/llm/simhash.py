@@ -111,12 +111,14 @@ def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
     def forests(buckets: pd.Series) -> pd.Series:
         return pd.Series([forest(fps) for fps in buckets], dtype=object)
 
-    members = nodes.select(F.lit(0).cast("long").alias("above"), F.col(fp).alias("fp"))
+    members = nodes.select(F.col(fp).alias("fp"))
     found = None
     for level, pairs in enumerate(mask_levels()):
-        keyed = members.join(F.broadcast(_masks(spark, pairs)), "above").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        if level:
-            keyed = keyed.distinct()
+        if level == 0:
+            keyed = members.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for _, m in pairs])))
+        else:
+            keyed = members.join(F.broadcast(_masks(spark, pairs)), "above").drop("above").distinct()
+        keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         counted = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = cut_lineage(keyed.join(counted, ["mask", "key"]))
         last = level == 2  # at most 2 ** 8 nodes differ in the positions that its tables leave out
