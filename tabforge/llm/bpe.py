@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import ship, whole
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: Words whose ids a worker keeps before it starts anew, and the bytes of words sent to one recursive query.
-KEEP_WORDS, QUERY_BYTES = 600_000, 1_500_000
+KEEP_WORDS, QUERY_BYTES = 300_000, 300_000
 #: A word longer than this is cut by contracting every occurrence of its smallest pair in one step.
 LONG_WORD = 512
 
@@ -88,7 +88,7 @@ class Codec:
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(tok): int(rank) for tok, rank in map(bytes.split, f)}
         self.pa, self.find = pa, regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         #: a pair of tokens merges if its joined bytes are a token; the smaller that token's id, the earlier
         pairs = [((left << 32) | right, rank) for tok, rank in self.ranks.items() for cut in range(1, len(tok))
                  if (left := self.ranks.get(tok[:cut])) is not None and (right := self.ranks.get(tok[cut:])) is not None]
