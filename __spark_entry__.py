@@ -862,7 +862,7 @@ _PROBLEMS = {
 }
 _ALGOS = {  # estimators the registered queries use per problem
     "binary": list(TR.CLASSIFICATION_ALGORITHMS),
-    "multiclass": ["Logistic Regression", "Gradient Boosting"],
+    "multiclass": list(TR.CLASSIFICATION_ALGORITHMS),
     "regression": list(TR.REGRESSION_ALGORITHMS),
     "ols_1f": ["Linear Regression"],
 }
@@ -878,7 +878,8 @@ def _fit(spark, sf, problem, algorithm):
         df = load(spark, sf)
         train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
         prep, labels, lb, res = TR.train_all(spark, train, test, feats, target, ptype, keys=keys,
-                                             algorithms=_ALGOS[problem], parallel=True)
+                                             algorithms=_ALGOS[problem], parallel=True,
+                                             params=TR.TrainParams(rf_max_depth=10))
         lb = spark.createDataFrame(lb.collect(), lb.schema)  # three rows, kept local
         ltype = df.schema[target].dataType.simpleString()
         _FITS[key] = {r.algorithm_name: (df, test, ScoringBundle(prep, r.model, ptype, r.algorithm_name, labels, ltype),
@@ -1017,9 +1018,9 @@ def q_label_index(spark, sf):
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "label string, idx int")
 
 
-@register("score_labels", _BIN_TEST_SQL)
-def q_score_labels(spark, sf):
-    return _binary_props(spark, sf, "Logistic Regression")
+@register("train_rf_multiclass", _MULTI_TEST_SQL)
+def q_train_rf_multiclass(spark, sf):
+    return _multi_props(spark, sf, "Random Forest")
 
 
 @register("score_proba_map", f"""WITH {ORDERS_ML_SQL}
@@ -1162,6 +1163,88 @@ def q_prep_stream(spark, sf):
     return out.select("o_orderkey", r6(F.col("x")).alias("x"), r6(F.col("c")).alias("c"))
 
 
+# --------------------------------------------------------------------------- missing values, names and texts
+def _nan_orders(spark, sf):
+    """orders with NaN, not null, as the missing number."""
+    return fx.orders_ml(spark, sf).withColumn("x", F.coalesce(F.col("x"), F.lit(float("nan"))))
+
+
+@register("prep_fit_nan", f"""WITH {ORDERS_ML_SQL}, t AS (SELECT * FROM o WHERE NOT is_test), m AS (SELECT median(x) AS med FROM t)
+SELECT round(med, 6) AS median, round(avg(coalesce(x, med)), 4) AS mean, round(stddev_samp(coalesce(x, med)), 4) AS std,
+       CAST(count(*) FILTER (x IS NULL) AS BIGINT) AS nulls_filled FROM t, m GROUP BY med""")
+def q_prep_fit_nan(spark, sf):
+    p = FittedPrep.fit(_nan_orders(spark, sf).where(~F.col("is_test")), ["x"], "y")
+    row = (round(p.imputation["x"], 6), round(p.stats["x"][0], 4), round(p.stats["x"][1], 4), int(p.report["nulls_filled"]))
+    return spark.createDataFrame([row], "median double, mean double, std double, nulls_filled bigint")
+
+
+@register("prep_serving_nan", f"""WITH {ORDERS_ML_SQL}, t AS (SELECT * FROM o WHERE NOT is_test), m AS (SELECT median(x) AS med FROM t),
+s AS (SELECT avg(coalesce(x, med)) AS mean, stddev_samp(coalesce(x, med)) AS std FROM t, m)
+SELECT o_orderkey, round((coalesce(x, 0) - mean) / std, 6) AS x FROM o, s""")
+def q_prep_serving_nan(spark, sf):
+    o = _nan_orders(spark, sf)
+    p = FittedPrep.fit(o.where(~F.col("is_test")), ["x"], "y")
+    return p.transform_serving(o.select("o_orderkey", F.col("x").alias("X")), keep=["o_orderkey"]).select("o_orderkey", r6(F.col("x")).alias("x"))
+
+
+@register("profile_nan", f"""WITH {ORDERS_ML_SQL}
+SELECT 'x' AS "column", count(DISTINCT x) AS unique_count, CAST(count(*) - count(x) AS BIGINT) AS null_count,
+       round((count(*) - count(x)) / count(*) * 100.0, 6) AS null_percentage FROM o""")
+def q_profile_nan(spark, sf):
+    return prof.counts(_nan_orders(spark, sf).select("x")).withColumn("null_percentage", r6(F.col("null_percentage")))
+
+
+@register("csv_codes_stay_text", """SELECT l_linenumber || CASE WHEN l_orderkey % 2 = 0 THEN 'F' ELSE 'D' END AS seat,
+count(*) AS n, 'string' AS kind FROM lineitem GROUP BY ALL""")
+def q_csv_codes_stay_text(spark, sf):
+    code = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_orderkey") % 2 == 0, "F").otherwise("D"))
+    path = csvsrc.write_csv(fx.table(spark, sf, "lineitem").select(code.alias("seat")), scratch_path(spark, "codes"))
+    back = csvsrc.read_csv(spark, path)
+    return back.groupBy("seat").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(back.schema["seat"].dataType.simpleString()))
+
+
+@register("batch_csv_multiline", f"""WITH {_PART_SQL}
+SELECT p_partkey, p_name || chr(10) || 'second "line", of it' AS p_name, round(intercept + slope * p_size, 6) AS prediction,
+       (SELECT count(*) FROM pt) AS num_rows FROM pt, ols""")
+def q_batch_csv_multiline(spark, sf):
+    df, test, b, lb = _fit(spark, sf, "ols_1f", "Linear Regression")
+    part = fx.table(spark, sf, "part").select("p_partkey", "p_size", F.concat("p_name", F.lit('\nsecond "line", of it')).alias("p_name"))
+    done = batch_job(spark, b, part, scratch_path(spark, "multiline"), fmt="csv")
+    return done["result"].select("p_partkey", "p_name", r6(F.col("prediction")).alias("prediction"),
+                                 F.lit(done["num_rows"]).cast("bigint").alias("num_rows"))
+
+
+@register("score_json_payload", f"""WITH {_PART_SQL}, k AS (SELECT unnest([0, 1]) AS record_index)
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, record_index,
+       round(intercept + slope * CASE WHEN record_index = 0 THEN p_size ELSE 0 END, 6) AS prediction FROM pt, ols, k""")
+def q_score_json_payload(spark, sf):
+    from tabforge.sources.records import explode_payload
+    df, test, b, lb = _fit(spark, sf, "ols_1f", "Linear Regression")
+    record = lambda size: F.struct(F.col("p_partkey").cast("string").alias("p_partkey"), size.alias("p_size"))
+    payload = F.to_json(F.struct(F.array(record(F.col("p_size").cast("string")), record(F.lit("n/a"))).alias("data"),
+                                 F.lit(False).alias("return_probabilities")))
+    sent = fx.table(spark, sf, "part").select(payload.alias("payload"))
+    out = b.predict(explode_payload(sent, "payload", ["p_partkey", "p_size"]), keep=["p_partkey", "record_index"])
+    return out.select("p_partkey", "record_index", r6(F.col("prediction")).alias("prediction"))
+
+
+@register("rescore_overwrites", f"""WITH {LINEITEM_ML_SQL}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, true AS probs_sum_to_1, 1 AS n_prob_a FROM li WHERE is_test""")
+def q_rescore_overwrites(spark, sf):
+    df, test, b, lb = _fit(spark, sf, "multiclass", "Logistic Regression")
+    once = b.predict_batch(test.select(*_LI_KEYS, "l_quantity", "l_discount", "l_tax", F.lit(-1.0).alias("PROB_A"), F.lit("x").alias("Prediction")))
+    out = b.predict_batch(once)
+    return out.select(*_LI_KEYS, (F.abs(F.col("prob_A") + F.col("prob_N") + F.col("prob_R") - 1) < 1e-9).alias("probs_sum_to_1"),
+                      F.lit(sum(c.lower() == "prob_a" for c in out.columns)).alias("n_prob_a"))
+
+
+@register("align_case_duplicates", "SELECT o_orderkey, o_totalprice AS price, o_orderpriority AS kind FROM orders")
+def q_align_case_duplicates(spark, sf):
+    o = fx.table(spark, sf, "orders").select("o_orderkey", F.lit(0.0).alias("PRICE"), F.lit("?").alias("Kind"),
+                                             F.col("o_orderpriority").alias("KIND"), F.col("o_totalprice").alias("price"))
+    return schema_ops.align_columns(o, ["o_orderkey", "price", "kind"], numeric=["o_orderkey", "price"])
+
+
 # --------------------------------------------------------------------------- training-data operators
 try:  # the subpackage is optional: the queries above don't need it
     import corpus_pipeline

@@ -35,22 +35,45 @@ def na_string_to_null(c: Column) -> Column:
     return F.when(c.isin(*NA_STRINGS), F.lit(None).cast("string")).otherwise(c)
 
 
+# The spellings of numbers that pandas reads (a cast alone would also take 12F, 12D and 0x1p3).
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+INTEGER = r"^[+-]?\d+$"
+INFINITE = r"(?i)^[+-]?inf(inity)?$"
+
+
 def try_double(c: Column) -> Column:
-    """Text to double when it parses (after trim), else null; never raises under ANSI."""
-    return F.trim(c.cast("string")).try_cast(T.DoubleType())
+    """Text to double when it is a decimal number or an infinity (after trim), else null, as is NaN; never raises under ANSI."""
+    t = F.trim(c.cast("string"))
+    return F.when(t.rlike(NUMBER) | t.rlike(INFINITE), t.try_cast(T.DoubleType()))
+
+
+def number(c: Column, dtype: T.DataType | None, fitted_bool: bool = False) -> Column:
+    """A column as double, NaN as null: numbers and booleans are cast, text is parsed; for a feature that was boolean
+    at fit the texts true and false (in any case) are 1 and 0."""
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return nan_to_null(c.cast("double"))
+    if not fitted_bool:
+        return try_double(c)
+    t = F.lower(F.trim(c.cast("string")))
+    return F.when(t == "true", 1.0).when(t == "false", 0.0).otherwise(try_double(c))
+
+
+def last_of_each_name(df: DataFrame) -> DataFrame:
+    """Of columns whose names differ only in case the last one: Spark resolves names without case, so they can't
+    stand side by side.  Selected by position, so duplicates are no ambiguity."""
+    last = {c.lower(): i for i, c in enumerate(df.columns)}
+    if len(last) == len(df.columns):
+        return df
+    by_place = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns) if last[c.lower()] == i])
 
 
 def hash_hex(seed: int, keys: list[str]) -> Column:
-    """md5 hex of ``seed|k1|k2|...`` (keys rendered as text, null as empty)."""
+    """md5 hex of ``seed|k1|k2|...`` (keys rendered as text, nulls left out)."""
     parts = [F.lit(str(seed))] + [qcol(k).cast("string") for k in keys]
     return F.md5(F.concat_ws("|", *parts))
 
 
-def is_test_row(seed: int, keys: list[str], threshold_hex: str = TEST_HEX_THRESHOLD_20PCT) -> Column:
-    """Stateless, partition-independent held-out flag from a key hash."""
-    return F.substring(hash_hex(seed, keys), 1, len(threshold_hex)) < F.lit(threshold_hex)
-
-
 def hex_threshold(test_fraction: float, width: int = 8) -> str:
     """Hex prefix whose value / 16^width equals ``test_fraction`` (rounded down)."""
     v = int(test_fraction * (16 ** width))
@@ -58,14 +81,6 @@ def hex_threshold(test_fraction: float, width: int = 8) -> str:
     return format(v, f"0{width}x")
 
 
-def is_numeric_type(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.NumericType, T.BooleanType))
-
-
-def is_nested_type(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
-
-
 def float_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
 

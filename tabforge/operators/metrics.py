@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
     w = weight.cast("bigint") if weight is not None else F.lit(1).cast("bigint")
     base = df.select(*gcols, y.cast("bigint").alias("__y"), score.cast("double").alias("__s"), w.alias("__w"))
     st = base.agg(F.approx_count_distinct("__s").alias("d")).first()
-    buckets = max(1, min(4096, int(math.ceil((st["d"] or 0) / max_scores_per_task))))
+    buckets = max(1, int(math.ceil((st["d"] or 0) / max_scores_per_task)))
     g = base.groupBy(*group, "__s").agg(F.sum(F.col("__y") * F.col("__w")).alias("p"),
                                         F.sum((1 - F.col("__y")) * F.col("__w")).alias("n"))
     if buckets == 1:
@@ -48,12 +49,11 @@ def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
         from tabforge.session import cut_lineage
         g = cut_lineage(g)  # the grouped scores feed the cut sketch and the sums: shuffle them once
         probs = [i / buckets for i in range(1, buckets)]
-        cuts = g.agg(F.percentile_approx("__s", probs, 10_000).alias("q")).first()["q"]  # over distinct scores
-        cuts = sorted(set(float(c) for c in cuts))
-        b = F.lit(0)
-        for c in cuts:  # bucket index = number of cut points below the score
-            b = b + (F.col("__s") > F.lit(c)).cast("int")
-        g = g.withColumn("__b", b)
+        cuts = g.agg(F.percentile_approx("__s", probs, max(10_000, 10 * buckets)).alias("q")).first()["q"]  # over distinct scores
+        cuts = sorted({float(c) for c in cuts or [] if math.isfinite(c)})
+        # a binary search in the JVM, whatever the number of cuts
+        find = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="__s", outputCol="__b", handleInvalid="keep")
+        g = find.transform(g)
         tot = g.groupBy(*group, "__b").agg(F.sum("n").alias("bn"))
         wb = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         off = tot.withColumn("off", F.coalesce(F.sum("bn").over(wb), F.lit(0))).drop("bn")  # groups x B rows
@@ -61,9 +61,9 @@ def auc(df: DataFrame, y: Column, score: Column, group: list[str] = (),
         w = Window.partitionBy(*group, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         g = g.withColumn("nb", F.col("off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     r = g.groupBy(*group).agg(
-        F.sum(F.col("p") * (F.col("nb") + F.col("n") / 2.0)).alias("__num"),
+        F.sum(F.col("p").cast("double") * (F.col("nb") + F.col("n") / 2.0)).alias("__num"),
         F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    val = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("__num") / (F.col("pos") * F.col("neg")))
+    val = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("__num") / (F.col("pos").cast("double") * F.col("neg").cast("double")))
     return r.select(*[qcol(x) for x in group], val.alias("auc"), F.col("pos").cast("bigint").alias("pos"),
                     F.col("neg").cast("bigint").alias("neg"))
 

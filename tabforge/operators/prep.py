@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.functions.exprs import norm_name, qcol, try_double
+from tabforge.functions.exprs import last_of_each_name, nan_to_null, norm_name, number, qcol, with_nan_as_null
 from tabforge.operators.selection import exact_medians
 from tabforge.session import cut_lineage
 
 UNKNOWN_CATEGORY = "UNKNOWN"  # fixed value: mode of a column with no values
-DEFAULT_MAP_MAX = 10_000  # encodings up to this many categories become a map literal
-DEFAULT_MAP_TOTAL_MAX = 200_000  # ...while all map literals together stay under this many entries
+DEFAULT_MAP_MAX = 200  # encodings up to this many categories become a map literal (a lookup scans it)
+DEFAULT_MAP_TOTAL_MAX = 4_000  # ...while all map literals together stay under this many entries
 DEFAULT_BROADCAST_BYTES = 32 << 20  # estimated bytes; larger encoding tables are joined by shuffle
 DEFAULT_BROADCAST_TOTAL_BYTES = 256 << 20  # all broadcast encoding tables of one transform together
 DEFAULT_HOT_SHARE = 0.01  # a category with this share of training rows is salted
@@ -127,6 +127,7 @@ class FittedPrep:
             raise KeyError(f"columns not found: {missing}")
         if target in features:
             raise ValueError("the target cannot be a feature")
+        df = with_nan_as_null(df)
         types = {f.name: f.dataType for f in df.schema.fields}
         tdt = types[target]
         target_numeric = isinstance(tdt, (T.NumericType, T.BooleanType))
@@ -224,7 +225,7 @@ class FittedPrep:
         srow = grouped.groupBy("column").agg(
             F.min(F.when(nn, F.struct((-F.col("n")).alias("neg"), F.col("category")))).alias("best"),
             F.count("category").alias("k"), F.max(F.when(~nn, 1).otherwise(0)).alias("has_null"),
-            F.sum(F.when(nn, F.length("category") + 16).otherwise(0)).alias("bytes")).collect()
+            F.sum(F.when(nn, F.octet_length("category") + 64).otherwise(0)).alias("bytes")).collect()
         info = {r["column"]: r for r in srow}
         for c in cat:
             best = info[c]["best"]
@@ -329,10 +330,10 @@ class FittedPrep:
             hot = self.hot_categories.get(c, [])
             s = self.salt_buckets if hot else 1
             scol = f"__s_{out}"
-            # Any salt is correct (a hot category's encoding is replicated for every salt), so a per-row
-            # random salt spreads the hot rows - exact copies included - over ``s`` tasks.  Spark marks the
-            # stage indeterminate and re-runs its consumers if a map task is retried.
-            df = df.withColumn(scol, F.when(F.col(kcol).isin(hot), F.floor(F.rand(17) * s).cast("bigint"))
+            # Any salt is correct (a hot category's encoding is replicated for every salt).  It is a hash of the whole
+            # row, so a retried map task deals its rows out as before; rows equal in every column share a salt.
+            row = F.xxhash64(*[qcol(x) for x in df.columns if "map" not in df.schema[x].dataType.simpleString()])
+            df = df.withColumn(scol, F.when(F.col(kcol).isin(hot), F.pmod(row, F.lit(s)).cast("bigint"))
                                .otherwise(F.lit(0).cast("bigint")))
             enc = enc.withColumn(f"__t_{out}", F.when(F.col(f"__k_{out}").isin(hot),
                                                       F.sequence(F.lit(0).cast("bigint"), F.lit(s - 1).cast("bigint")))
@@ -389,32 +390,31 @@ class FittedPrep:
         encode (null, missing and unseen categories take the unweighted mean) and z-score."""
         from tabforge.operators.schema import align_mapping
 
+        df = last_of_each_name(df)
         keep = list(df.columns) if keep is None else list(keep)
         mapping = align_mapping(df.columns, self.features)
+        fitted = {f["name"]: f["type"] for f in json.loads(self.input_schema)["fields"]} if self.input_schema else {}
 
         types = {f.name: f.dataType for f in df.schema.fields}
 
         def src(c: str) -> Column:
             return qcol(mapping[c]) if mapping.get(c) is not None else F.lit(None)
 
-        def number(c: str) -> Column:
-            # numbers are cast directly; only text inputs go through trim + try_cast
-            dt = types.get(mapping.get(c)) if mapping.get(c) is not None else None
-            if isinstance(dt, (T.NumericType, T.BooleanType)):
-                return src(c).cast("double")
-            return try_double(src(c))
+        def parsed(c: str) -> Column:
+            # numbers are cast directly; only text inputs are parsed (B9), true/false for features fitted as boolean
+            return number(src(c), types.get(mapping.get(c)), fitted.get(c) == "boolean")
 
         if fill == "fitted":
-            num = lambda c: F.coalesce(number(c), F.lit(self.imputation[c]))
+            num = lambda c: F.coalesce(parsed(c), F.lit(self.imputation[c]))
             cat = lambda c: F.coalesce(src(c).cast("string"), F.lit(self.imputation[c]))
         else:
-            num = lambda c: F.coalesce(number(c), F.lit(0.0))
+            num = lambda c: F.coalesce(parsed(c), F.lit(0.0))
             cat = lambda c: src(c).cast("string")
         return self._apply(df, keep, num, cat, False, prefix, vector_col)
 
     # value expressions per path
     def _num_fitted(self, c: str) -> Column:
-        return F.coalesce(qcol(c).cast("double"), F.lit(self.imputation[c]))
+        return F.coalesce(nan_to_null(qcol(c).cast("double")), F.lit(self.imputation[c]))
 
     def _cat_fitted(self, c: str) -> Column:
         return F.coalesce(qcol(c).cast("string"), F.lit(self.imputation[c]))
@@ -445,10 +445,6 @@ class FittedPrep:
         return prep
 
 
-def encodings_frame(prep: FittedPrep) -> DataFrame:
-    return prep.encodings
-
-
 def stats_frame(spark: SparkSession, prep: FittedPrep) -> DataFrame:
     rows = [(c, "numeric" if c in prep.numeric_columns else "categorical", float(m), float(s))
             for c, (m, s) in prep.stats.items()]
@@ -490,4 +486,4 @@ def prep_full_table(df: DataFrame, features: list[str], target: str, keep: list[
 
 
 __all__ = ["FittedPrep", "column_kinds", "fit_transform", "prep_full_table", "stats_frame",
-           "imputation_frame", "report_frame", "encodings_frame", "norm_name"]
+           "imputation_frame", "report_frame", "norm_name"]

@@ -9,9 +9,9 @@ the shuffle), then ``groupBy(column)`` over the distinct pairs.  There is no
 ``countDistinct`` per column in one ``agg`` (that expands every row N times).
 Samples (first ``k`` non-null values per column in key order) come from
 TakeOrderedAndProject heaps, not from sorting the table: the first rows by key
-for all columns at once, and a per-column ``limit`` only for columns with many
-nulls.  A ``row_number`` window variant (partial WindowGroupLimit) is kept as
-``samples_long``; at sf0.1 it sorts 6.6M unpivoted rows and is ~10x slower.
+for all columns at once, and one more job for all columns with many nulls together
+(their few non-null values ranked by key, with Spark's partial group limit before the shuffle).
+NaN counts as missing throughout.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.functions.exprs import py_float_text, qcol
+from tabforge.functions.exprs import py_float_text, qcol, with_nan_as_null
 
 SAMPLE_SIZE = 5
 
@@ -32,18 +32,6 @@ def _as_text(df: DataFrame, c: str):
     return qcol(c).cast("string")
 
 
-def _long(df: DataFrame, key: list[str] | None) -> DataFrame:
-    cols = df.columns
-    k = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
-    base = df.select(k.alias("__key"), *[_as_text(df, c).alias(c) for c in cols])
-    return base.unpivot("__key", cols, "column", "value")
-
-
-def _values(df: DataFrame) -> DataFrame:
-    cols = df.columns
-    return df.select(*[qcol(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-
-
 def shape(df: DataFrame) -> DataFrame:
     """num_rows, num_columns."""
     return df.agg(F.count(F.lit(1)).alias("num_rows")).select("num_rows", F.lit(len(df.columns)).alias("num_columns"))
@@ -70,6 +58,7 @@ def counts(df: DataFrame, approx: bool = False, key: list[str] | None = None) ->
 
     One unpivot per type family (each reads only its own columns); values are grouped in their
     own type, which is cheaper than grouping text."""
+    df = with_nan_as_null(df)
     per = None
     for typ, cols in _families(df).items():
         long = df.select(*[qcol(c).cast(typ).alias(c) for c in cols]).unpivot([], cols, "column", "value")
@@ -88,25 +77,15 @@ def counts(df: DataFrame, approx: bool = False, key: list[str] | None = None) ->
                       null_count.alias("null_count"), pct.alias("null_percentage"))
 
 
-def samples_long(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZE) -> DataFrame:
-    """C5 in long form with a window: (column, rn, value) for the first k non-null values by key.
-
-    Plans as a partial WindowGroupLimit before the exchange; kept for streaming-free SQL parity.
-    ``sample_rows`` is the faster path used by the profile."""
-    long = _long(df, key).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy("__key")
-    return long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("column", "rn", "value")
-
-
 def sample_rows(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZE, head_rows: int = 64
                 ) -> dict[str, list[str]]:
     """First k non-null values per column in key order, without sorting the table.
 
     The first ``head_rows`` rows by key come from one TakeOrderedAndProject (a bounded heap per
-    partition); a column still short of k values (many nulls) gets its own
-    ``where(c is not null).orderBy(key).limit(k)``, again a heap, never a full sort.  At most
+    partition); the columns still short of k values (many nulls) share one ranked job over their
+    non-null values, cut to k per column before the shuffle.  At most
     ``head_rows + k * columns`` rows reach the driver."""
-    cols = df.columns
+    cols, df = df.columns, with_nan_as_null(df)
     kcol = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
     keyed = df.withColumn("__key", kcol) if "__key" not in cols else df
     # top-k on the raw rows first; only the selected rows are rendered as text
@@ -114,10 +93,13 @@ def sample_rows(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZ
             .select(*[_as_text(df, c).alias(c) for c in cols]).collect())
     out = {c: [r[c] for r in head if r[c] is not None][:k] for c in cols}
     short = [c for c in cols if len(out[c]) < k and len(head) == head_rows]
-    for c in short:
-        rows = (keyed.where(qcol(c).isNotNull()).orderBy("__key").limit(k)
-                .select(_as_text(df, c).alias(c)).collect())
-        out[c] = [r[c] for r in rows]
+    if short:  # one job whatever their number; at most k rows a column come back
+        long = keyed.select("__key", *[_as_text(df, c).alias(c) for c in short]).unpivot("__key", short, "column", "value")
+        w = Window.partitionBy("column").orderBy("__key")
+        ranked = long.where("value IS NOT NULL").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+        found = ranked.select("column", "rn", "value").collect()
+        for c in short:
+            out[c] = [r["value"] for r in sorted((r for r in found if r["column"] == c), key=lambda r: r["rn"])]
     return out
 
 
@@ -171,12 +153,6 @@ def tally(profile: DataFrame) -> DataFrame:
     )
 
 
-def null_flags(profile: DataFrame) -> DataFrame:
-    flag = (F.when(F.col("null_percentage") > 20, "high").when(F.col("null_percentage") > 0, "some")
-            .otherwise("none"))
-    return profile.select("name", flag.alias("null_flag"))
-
-
 def leak_warnings(profile: DataFrame, num_rows: int, threshold: float = 0.5) -> DataFrame:
     """Q5: categorical columns whose distinct share exceeds ``threshold`` (target encoding would leak)."""
     return profile.where((F.col("kind") == "categorical") & (F.col("unique_count") > F.lit(threshold * num_rows))) \

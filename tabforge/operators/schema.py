@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.functions.exprs import nan_to_null, norm_name, qcol, try_double, with_nan_as_null
+from tabforge.functions.exprs import last_of_each_name, nan_to_null, norm_name, qcol, try_double, with_nan_as_null
 
 PANDAS_DTYPE = {  # fixed values: pandas dtype names for Spark types
     "tinyint": "int64", "smallint": "int64", "int": "int64", "bigint": "int64",
@@ -27,8 +27,18 @@ def project_features(df: DataFrame, features: list[str], target: str | None = No
 
 def drop_null_target(df: DataFrame, target: str) -> tuple[DataFrame, int, int]:
     """B2: (rows with a target, original row count, removed count) - counts from one aggregation."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(qcol(target)).alias("k")).first()
-    return df.where(qcol(target).isNotNull()), int(row["n"]), int(row["n"] - row["k"])
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(known_target(df, target)).alias("k")).first()
+    return with_target(df, target), int(row["n"]), int(row["n"] - row["k"])
+
+
+def known_target(df: DataFrame, target: str) -> Column:
+    """The target, NaN as null."""
+    return nan_to_null(qcol(target)) if isinstance(df.schema[target].dataType, (T.FloatType, T.DoubleType)) else qcol(target)
+
+
+def with_target(df: DataFrame, target: str) -> DataFrame:
+    """The rows that have a target, without counting them."""
+    return df.where(known_target(df, target).isNotNull())
 
 
 def kinds_frame(df: DataFrame) -> DataFrame:
@@ -38,6 +48,7 @@ def kinds_frame(df: DataFrame) -> DataFrame:
     One aggregation gives the null counts.
     """
     spark = df.sparkSession
+    df = with_nan_as_null(df)
     row = df.agg(*[(F.count(F.lit(1)) - F.count(qcol(c))).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     rows = []
     for i, f in enumerate(df.schema.fields):
@@ -67,6 +78,7 @@ def align_mapping(columns: list[str], expected: list[str]) -> dict[str, str | No
 def align_columns(df: DataFrame, expected: list[str], numeric: list[str] | None = None) -> DataFrame:
     """B4 + B5: rename to expected names, keep expected order, drop extras; a missing expected column
     becomes raw 0.0 (numeric, or when kinds are unknown) or null (categorical)."""
+    df = last_of_each_name(df)
     m = align_mapping(df.columns, expected)
     out = []
     for e in expected:
@@ -101,8 +113,8 @@ def nan_to_null_all(df: DataFrame) -> DataFrame:
 
 
 def attach_prediction(df: DataFrame, prediction: Column, name: str = "prediction") -> DataFrame:
-    """All original columns, plus the prediction; an existing column of that name is replaced."""
-    return df.select(*[qcol(c) for c in df.columns if c != name], prediction.alias(name))
+    """All original columns, plus the prediction; an existing column of that name (in any case) is replaced."""
+    return df.select(*[qcol(c) for c in df.columns if c.lower() != name.lower()], prediction.alias(name))
 
 
 def coerce_numeric_text(df: DataFrame, columns: list[str]) -> DataFrame:

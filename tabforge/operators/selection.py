@@ -47,7 +47,7 @@ def kth_values(
     counts: dict[str, int],
     accuracy: int = DEFAULT_ACCURACY,
     max_bracket: int = DEFAULT_MAX_BRACKET,
-    max_rounds: int = 8,
+    max_rounds: int = 64,
 ) -> dict[str, dict[int, object]]:
     """Values at the given 0-based ranks among non-null values of each column.
 
@@ -113,13 +113,11 @@ def kth_values(
         return {}
     cols = list(state)
     long = None
-    for c in cols:
-        s = state[c]
-        part = (
-            df.select(qcol(c).alias("v"))
-            .where(_in_bracket(F.col("v"), s["lo"], s["hi"]))
-            .select(F.lit(c).alias("column"), "v")
-        )
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
+    for kind in sorted(set(types.values())):  # one scan for all columns of a type
+        inside = [F.when(_in_bracket(qcol(c), state[c]["lo"], state[c]["hi"]), F.struct(F.lit(c).alias("column"), qcol(c).alias("v")))
+                  for c in cols if types[c] == kind]
+        part = df.select(F.explode(F.filter(F.array(*inside), lambda e: e.isNotNull())).alias("e")).select("e.column", "e.v")
         long = part if long is None else long.unionByName(part)
     g = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.operators import runlog as RL
-from tabforge.operators.schema import check_features, drop_null_target, project_features
+from tabforge.operators.prep import report_frame
+from tabforge.operators.schema import check_features, project_features, with_target
 from tabforge.operators.split import split_hash
 from tabforge.plans.score import ScoringBundle
 from tabforge.plans.train import TrainParams, train_all
@@ -39,12 +40,18 @@ def run_experiment(spark: SparkSession, df: DataFrame, features: list[str], targ
         _status(spark, log_dir, experiment_id, "preprocessing", 1)
         cols = list(dict.fromkeys(list(keys) + list(features) + [target]))
         data = project_features(df, cols)
-        kept, _original, _removed = drop_null_target(data, target)
-        train, test = split_hash(kept, keys, seed, test_fraction)
-        _status(spark, log_dir, experiment_id, "training", 2)
+        train, test = split_hash(with_target(data, target), keys, seed, test_fraction)
         artifacts = f"{log_dir}/artifacts"
+
+        def prepared(prep) -> None:
+            """The fit's report joins the log, and only then training begins."""
+            report = report_frame(spark, prep).withColumn("experiment_id", F.lit(experiment_id).cast("bigint"))
+            RL.append(report, f"{log_dir}/fit_reports")
+            _status(spark, log_dir, experiment_id, "training", 2)
+
         prep, labels, lb, res = train_all(spark, train, test, features, target, problem_type, keys=keys,
-                                          params=params, artifacts=artifacts, run_id=experiment_id, parallel=parallel)
+                                          params=params, artifacts=artifacts, run_id=experiment_id, parallel=parallel,
+                                          on_prepared=prepared)
         prep.save(f"{artifacts}/pipeline_{experiment_id}")
         for r in res:
             ScoringBundle(prep, r.model, problem_type, r.algorithm_name, labels,
@@ -58,5 +65,5 @@ def run_experiment(spark: SparkSession, df: DataFrame, features: list[str], targ
         _status(spark, log_dir, experiment_id, "completed", 3)
         return lb
     except Exception as e:  # noqa: BLE001
-        _status(spark, log_dir, experiment_id, "failed", 9, str(e)[:2000])
+        _status(spark, log_dir, experiment_id, "failed", 9, str(e))
         raise

@@ -16,13 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.functions.exprs import qcol
+from tabforge.functions.exprs import last_of_each_name, qcol
 from tabforge.operators.prep import FittedPrep
 from tabforge.operators.schema import attach_prediction, check_schema
 from tabforge.plans.train import index_to_label, model_class, probability_array
+from tabforge.sources.csv import read_csv, write_csv
 
 
-_MODEL_COLUMNS = ("features", "prediction", "rawPrediction", "probability")
+_MODEL_COLUMNS = ("features", "prediction", "rawprediction", "probability")
 
 
 @dataclass
@@ -61,7 +62,8 @@ class ScoringBundle:
 
     def scored(self, df: DataFrame, fill: str = "reference") -> DataFrame:
         """All input columns plus ``__label`` (class or number) and ``__proba`` (array, classification)."""
-        clash = [c for c in df.columns if c in _MODEL_COLUMNS]
+        df = last_of_each_name(df)
+        clash = [c for c in df.columns if c.lower() in _MODEL_COLUMNS]
         src = df.select(*[qcol(c).alias("__in_" + c) if c in clash else qcol(c) for c in df.columns])
         x = self.prep.transform_serving(src, keep=list(src.columns), fill=fill, vector_col="features")
         out = self.model.transform(x)
@@ -77,6 +79,7 @@ class ScoringBundle:
     def predict(self, df: DataFrame, keep: list[str] | None = None, return_probabilities: bool = False) -> DataFrame:
         """I1 (+I4): class label or number per row; with ``return_probabilities`` (classification only) a
         map class -> probability as well."""
+        df = last_of_each_name(df)
         s = self.scored(df)
         cols = [qcol(c) for c in (keep if keep is not None else df.columns)] + [F.col("__label").alias("prediction")]
         if return_probabilities and self.has_probabilities:
@@ -96,6 +99,7 @@ class ScoringBundle:
         unless ``allow_regression`` (then each row gets the degenerate map {prediction: 1.0}, I3)."""
         if not self.has_probabilities and not allow_regression:
             raise ValueError("probabilities are only available for classification models")
+        df = last_of_each_name(df)
         s = self.scored(df)
         return s.select(*[qcol(c) for c in (keep if keep is not None else df.columns)],
                         self.proba_map().alias("probabilities"))
@@ -108,7 +112,9 @@ class ScoringBundle:
             out = attach_prediction(s.drop("__label"), F.col("__proba")[1])
         elif self.has_probabilities:
             out = attach_prediction(s, F.col("__label"))
-            out = out.select(*[c for c in out.columns if c not in ("__label", "__proba")],
+            # columns of an earlier scoring are replaced
+            named = {f"prob_{lab}".lower() for lab in self.labels} | {"__label", "__proba"}
+            out = out.select(*[qcol(c) for c in out.columns if c.lower() not in named],
                              *[F.col("__proba")[i].alias(f"prob_{lab}") for i, lab in enumerate(self.labels)])
         else:
             out = attach_prediction(s, F.col("__label"))
@@ -118,16 +124,15 @@ class ScoringBundle:
 def batch_job(spark: SparkSession, bundle: ScoringBundle, df: DataFrame, out_path: str, fmt: str = "parquet",
               threshold: float = 0.5, log_dir: str | None = None) -> dict:
     """Compatibility gate (B6) -> score -> sink -> summary row (I8).  The input is read once by the sink
-    job; the count and preview come from the written result, never from the driver.  With ``log_dir`` the
+    job; the count and preview come from the written result (CSV read by the rules of A1), never from the driver.  With ``log_dir`` the
     summary row is appended to ``{log_dir}/batch_results`` (lookup by id survives restarts, Q14)."""
     check_schema(df.columns, bundle.prep.features, threshold)
     scored = bundle.predict_batch(df)
-    writer = scored.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).csv(out_path)
-        result = spark.read.option("header", True).option("inferSchema", True).csv(out_path)
+        write_csv(scored, out_path)
+        result = read_csv(spark, out_path)
     else:
-        writer.parquet(out_path)
+        scored.write.mode("errorifexists").parquet(out_path)
         result = spark.read.parquet(out_path)
     summary = {"result_id": str(uuid.uuid4()), "path": out_path, "num_rows": result.count(), "result": result,
                "preview": result.limit(10)}

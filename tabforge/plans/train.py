@@ -13,7 +13,6 @@ by default.  Inputs with fewer partitions than task slots are spread round-robin
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -33,7 +32,7 @@ from tabforge.operators.prep import FittedPrep
 # fixed values: algorithm names and order per problem type
 CLASSIFICATION_ALGORITHMS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 REGRESSION_ALGORITHMS = ("Linear Regression", "Random Forest", "Gradient Boosting")
-MAX_CLASSES = 1000
+JOIN_LABELS = 200  # more labels than this are looked up by a join, not in a map literal
 
 
 @dataclass
@@ -41,7 +40,8 @@ class TrainParams:
     """Library defaults follow the reference's estimators (scikit-learn defaults)."""
     lr_max_iter: int = 1000
     rf_trees: int = 100
-    rf_max_depth: int = 10  # scikit-learn grows unlimited depth; Spark caps at 30 and cost grows as 2^depth
+    rf_max_depth: int = 30  # the reference grows trees without limit; 30 is the most pyspark.ml allows
+    max_bins: int = 256  # split thresholds tried per feature: Spark bins a numeric feature into so many quantiles
     gbt_stages: int = 100
     gbt_max_depth: int = 3
     gbt_step: float = 0.1
@@ -52,12 +52,10 @@ def snake(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
-def label_index(train: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> list:
-    """Sorted distinct training labels in their own type (numeric order for numbers)."""
-    labels = [r[0] for r in train.select(qcol(target)).distinct().orderBy(qcol(target)).limit(max_classes + 1).collect()]
-    if len(labels) > max_classes:
-        raise ValueError(f"target {target!r} has more than {max_classes} classes; not a classification target")
-    return labels
+def label_index(train: DataFrame, target: str) -> list:
+    """Sorted distinct training labels in their own type (numeric order for numbers), however many.
+    They are on the driver as the model's own classes are (a model keeps weights for every one of them)."""
+    return sorted(r[0] for r in train.groupBy(qcol(target).alias("label")).count().select("label").collect())
 
 
 def _lits(labels: list, dtype: T.DataType | None) -> list[Column]:
@@ -78,14 +76,14 @@ def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams)
     lab, feat = "label_idx", "features"
     if problem_type == "classification":
         gbt = GBTClassifier(maxIter=p.gbt_stages, maxDepth=p.gbt_max_depth, stepSize=p.gbt_step, seed=p.seed,
-                            labelCol=lab, featuresCol=feat)
+                            maxBins=p.max_bins, labelCol=lab, featuresCol=feat)
         return [
             # C = 1 on a sum of losses is regParam = 1/n on Spark's mean loss; intercept not penalised
             ("Logistic Regression", LogisticRegression(maxIter=p.lr_max_iter, regParam=1.0 / max(n_train, 1),
                                                        elasticNetParam=0.0, standardization=False, family="auto",
                                                        labelCol=lab, featuresCol=feat)),
             ("Random Forest", RandomForestClassifier(numTrees=p.rf_trees, featureSubsetStrategy="sqrt",
-                                                     maxDepth=p.rf_max_depth, seed=p.seed, labelCol=lab,
+                                                     maxDepth=p.rf_max_depth, maxBins=p.max_bins, seed=p.seed, labelCol=lab,
                                                      featuresCol=feat)),
             # one booster per class, fitted as concurrent Spark jobs
             ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, labelCol=lab, featuresCol=feat,
@@ -94,9 +92,9 @@ def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams)
     return [
         ("Linear Regression", LinearRegression(solver="normal", regParam=0.0, labelCol=lab, featuresCol=feat)),
         ("Random Forest", RandomForestRegressor(numTrees=p.rf_trees, featureSubsetStrategy="all",
-                                                maxDepth=p.rf_max_depth, seed=p.seed, labelCol=lab, featuresCol=feat)),
+                                                maxDepth=p.rf_max_depth, maxBins=p.max_bins, seed=p.seed, labelCol=lab, featuresCol=feat)),
         ("Gradient Boosting", GBTRegressor(maxIter=p.gbt_stages, maxDepth=p.gbt_max_depth, stepSize=p.gbt_step,
-                                           lossType="squared", seed=p.seed, labelCol=lab, featuresCol=feat)),
+                                           lossType="squared", maxBins=p.max_bins, seed=p.seed, labelCol=lab, featuresCol=feat)),
     ]
 
 
@@ -155,16 +153,27 @@ def prepare_xy(prep: FittedPrep, df: DataFrame, target: str, labels: list | None
     t = prep.transform_fit if fit_rows else prep.transform_test
     x = t(df, keep=list(dict.fromkeys(keep + [target])), vector_col="features")
     dt = df.schema[target].dataType
-    y = label_to_index(qcol(target), labels, dt) if labels is not None else qcol(target).cast("double")
-    return x.withColumn("label_idx", y)
+    if labels is not None and len(labels) > JOIN_LABELS:
+        schema = T.StructType([T.StructField("__label", dt), T.StructField("label_idx", T.DoubleType())])
+        known = df.sparkSession.createDataFrame([(lab, float(i)) for i, lab in enumerate(labels)], schema)
+        x = x.join(known, qcol(target) == F.col("__label"), "left").drop("__label")
+    else:
+        x = x.withColumn("label_idx", label_to_index(qcol(target), labels, dt) if labels is not None else qcol(target).cast("double"))
+    if labels is None:
+        return x
+    # the number of classes goes with the column, so the tree learners neither look for it nor stop at 100
+    return x.withMetadata("label_idx", {"ml_attr": {"type": "nominal", "num_vals": len(labels)}})
 
 
 def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features: list[str], target: str,
               problem_type: str, *, keys: list[str] | None = None, params: TrainParams | None = None,
               artifacts: str | None = None, run_id: int | str = 0, algorithms: list[str] | None = None,
-              prep_kw: dict | None = None, key_layout: bool = False, parallel: bool = False) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
+              prep_kw: dict | None = None, key_layout: bool = False, parallel: bool = False,
+              spread: bool | None = None, on_prepared=None) -> tuple[FittedPrep, list | None, DataFrame, list[TrainedModel]]:
     """G7 + G8: fit preparation on ``train``, fit each model, score ``test``, evaluate, save, rank.
 
+    ``spread`` deals the prepared rows over all task slots (None: where the scan has fewer partitions);
+    ``on_prepared`` is called with the fitted preparation before any model is fitted.
     Returns (prep, labels, leaderboard DataFrame, trained models)."""
     from tabforge.operators.rank import leaderboard
 
@@ -173,23 +182,25 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     if any(train.schema[c].dataType.simpleString() == "boolean" for c in features):
         kw.setdefault("kind_source", train.unionByName(test))  # bool kind is a whole-table property
     prep = FittedPrep.fit(train, features, target, **kw)
+    if on_prepared:
+        on_prepared(prep)
     labels = label_index(train, target) if problem_type == "classification" else None
     keep = list(keys or [])
     tr = prepare_xy(prep, train, target, labels, keep, True)
     try:
         par = spark.sparkContext.defaultParallelism
-        parts = tr.rdd.getNumPartitions()
+        parts = train.select(target).rdd.getNumPartitions() if spread is None else 0  # of the scan: no job runs
     except Exception:  # noqa: BLE001  (Connect session: leave the layout to the server)
         par, parts = 0, 0
     if keys and key_layout:
         tr = tr.repartition(max(1, par), *[qcol(k) for k in keys]).sortWithinPartitions(*[qcol(k) for k in keys])
-    elif parts < par:
+    elif spread or (spread is None and parts < par):
         # few input splits (small files): spread rows round-robin over the cluster's task slots;
         # an even split, so no key can load one task.  Large inputs keep their scan partitions.
         tr = tr.repartition(par)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     te = prepare_xy(prep, test, target, labels, keep, False).persist(StorageLevel.MEMORY_AND_DISK)
-    n_train = tr.count()
+    n_train = prep.report["processed_rows"]
     results, rows = [], []
 
     def fit_one(i: int, name: str, est) -> tuple:
@@ -246,7 +257,3 @@ def model_class(problem_type: str, n_classes: int, algorithm: str):
                 "Gradient Boosting": GBTClassificationModel if n_classes <= 2 else OneVsRestModel}[algorithm]
     return {"Linear Regression": LinearRegressionModel, "Random Forest": RandomForestRegressionModel,
             "Gradient Boosting": GBTRegressionModel}[algorithm]
-
-
-def is_snake(name: str) -> bool:
-    return re.fullmatch(r"[a-z0-9_]+", name) is not None

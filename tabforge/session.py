@@ -38,13 +38,17 @@ def local_session(cpus: int | str = "*", app: str = "tabforge", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when unset."""
+    """Return the shared checkpoint folder.  Where it is unset, a local session gets a local one; on a cluster, where
+    a machine's own folder is not seen by the others, that is an error."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (no SparkContext on a Connect session; the server owns the setting)
         sc = None
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        master = sc.master if sc else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = _DEFAULT_LOCAL_CHECKPOINT
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.functions.exprs import na_string_to_null, qcol
+from tabforge.functions.exprs import INTEGER, na_string_to_null, qcol, try_double
 
 BOOL_TEXT = ("True", "False", "TRUE", "FALSE", "true", "false")  # fixed values: pandas bool literals
 
@@ -35,8 +35,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = na_string_to_null(qcol(c))
         t = F.trim(v)
         aggs += [F.count(v).alias(f"n{i}"),
-                 F.count(t.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(t.try_cast("double")).alias(f"d{i}"),
+                 F.count(F.when(t.rlike(INTEGER), t.try_cast("bigint"))).alias(f"i{i}"),
+                 F.count(try_double(t)).alias(f"d{i}"),
                  F.count(F.when(t.isin(*BOOL_TEXT), 1)).alias(f"b{i}")]
     r = df.agg(*aggs).first()
     out = []
@@ -48,8 +48,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         elif r[f"i{i}"] == n:
             out.append(F.trim(v).cast("bigint").alias(c))
         elif r[f"d{i}"] == n:
-            d = F.trim(v).cast("double")
-            out.append(F.when(F.isnan(d), None).otherwise(d).alias(c))
+            out.append(try_double(v).alias(c))
         elif r[f"b{i}"] == n:
             out.append(F.lower(F.trim(v)).cast("boolean").alias(c))
         else:
