@@ -81,22 +81,38 @@ class Codec:
     """A rank file, its merge table in DuckDB, and the words this worker has encoded so far."""
 
     def __init__(self, rank_file: str, pattern: str):
-        import duckdb
         import pyarrow as pa
         import regex
 
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(tok): int(rank) for tok, rank in map(bytes.split, f)}
         self.pa, self.find = pa, regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         #: a pair of tokens merges if its joined bytes are a token; the smaller that token's id, the earlier
         pairs = [((left << 32) | right, rank) for tok, rank in self.ranks.items() for cut in range(1, len(tok))
                  if (left := self.ranks.get(tok[:cut])) is not None and (right := self.ranks.get(tok[cut:])) is not None]
-        self.load("merges", pair=pa.array([p for p, _ in pairs], pa.int64()), rank=pa.array([r for _, r in pairs], pa.int32()))
-        self.load("vocab", token=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks]))
+        self.merge_table = {"pair": np.array([p for p, _ in pairs], np.int64), "rank": np.array([r for _, r in pairs], np.int32)}
+        self.opened = None
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
 
+    @property
+    def db(self):
+        """The in-memory database, opened when first needed."""
+        if self.opened is None:
+            import duckdb
+
+            self.opened = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
+            self.load("merges", **self.merge_table)
+            self.load("vocab", token=np.array(list(self.ranks.values()), np.int32), hex=self.pa.array([t.hex() for t in self.ranks]))
+        return self.opened
+
+    def rest(self) -> None:
+        """Give the database's and Arrow's memory back between tasks; the words known stay."""
+        if self.opened is not None:
+            self.opened.close()
+            self.opened = None
+        self.pa.default_memory_pool().release_unused()
+
     def load(self, name: str, **columns) -> None:
         self.db.register("incoming", self.pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
@@ -218,9 +234,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ou
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
-        c, rows = codec(rank_file, pattern), texts.tolist()
-        return pd.Series([ids for a, b in slices(rows) for ids in c.encode(rows[a:b])], dtype=object)
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = codec(rank_file, pattern)
+        try:
+            for texts in batches:
+                rows = texts.tolist()
+                yield pd.Series([ids for a, b in slices(rows) for ids in c.encode(rows[a:b])], dtype=object)
+        finally:
+            c.rest()
 
     return docs.withColumn(out, ids_of(whole(text)))
 
@@ -230,12 +251,14 @@ def decode(rows: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out:
     ship(rows.sparkSession)
 
     @F.pandas_udf("binary")
-    def bytes_of(lists: pd.Series) -> pd.Series:
-        c, many = codec(rank_file, pattern), [np.asarray([] if x is None else x, np.int64) for x in lists]
-        out = []
-        for a, b in slices(many, SLICE_CHARS // 4):
-            out += c.decode(many[a:b])
-        return pd.Series(out, dtype=object)
+    def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = codec(rank_file, pattern)
+        try:
+            for lists in batches:
+                many = [np.asarray([] if x is None else x, np.int64) for x in lists]
+                yield pd.Series([raw for a, b in slices(many, SLICE_CHARS // 4) for raw in c.decode(many[a:b])], dtype=object)
+        finally:
+            c.rest()
 
     return rows.withColumn(out, bytes_of(F.col(ids)))
 
@@ -245,13 +268,18 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
     ship(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(texts: pd.Series) -> pd.DataFrame:
-        c, rows, out = codec(rank_file, pattern), texts.tolist(), []
-        for a, b in slices(rows):
-            ids = c.encode(rows[a:b])
-            for one, raw in zip(ids, c.decode(ids), strict=True):
-                out.append((len(one), hashlib.sha256(one.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(rank_file, pattern)
+        try:
+            for texts in batches:
+                rows, out = texts.tolist(), []
+                for a, b in slices(rows):
+                    ids = c.encode(rows[a:b])
+                    for one, raw in zip(ids, c.decode(ids), strict=True):
+                        out.append((len(one), hashlib.sha256(one.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            c.rest()
 
     kept = docs.drop("n_tokens", "ids_sha256", "decoded_sha256").withColumn("_codes", digests(whole(text)))
     return kept.select(*[c for c in kept.columns if c != "_codes"], "_codes.*")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import ship, whole
 
 #: Characters of a chunk; words whose counts, and transitions that a worker keeps before it starts anew.
-CHUNK, KEEP_WORDS, KEEP_STEPS = 1 << 16, 1_000_000, 2_000_000
+CHUNK, KEEP_WORDS, KEEP_STEPS = 1 << 16, 500_000, 1_500_000
 
 
 def byte_names() -> dict[str, int]:
