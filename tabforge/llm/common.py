@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package (a few KB of source through Spark's own file service), so that
-    tasks import it by name and keep their bounded per-worker caches from task to task."""
+    tasks import it by name and keep their bounded per-worker caches from task to task.  Rows here are whole
+    documents: where the session has Spark's default of 10,000 rows a batch to Python, that becomes ``BATCH_ROWS``."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_tabforge_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
