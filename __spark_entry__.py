@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabforge.plans import fixtures as fx
-from tabforge.plans.fixtures import LINEITEM_ML_SQL, ORDERS_ML_SQL
+from tabforge.plans.fixtures import LINEITEM_ML_SQL, LINEITEM_STEPS_SQL, ORDERS_ML_SQL
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -859,13 +859,24 @@ _PROBLEMS = {
     "regression": (fx.lineitem_ml, ["l_quantity", "l_discount", "l_linestatus"], "l_extendedprice", "regression",
                    _LI_KEYS),
     "ols_1f": (fx.part_ml, ["p_size"], "p_retailprice", "regression", ["p_partkey"]),
+    # targets whose right answers follow from the table
+    "band": (fx.lineitem_steps, ["l_quantity", "l_discount"], "band", "classification", _LI_KEYS),
+    "levels": (fx.lineitem_steps, ["l_quantity", "l_discount"], "size", "classification", _LI_KEYS),
+    "step_price": (fx.lineitem_steps, ["l_quantity", "l_discount"], "price", "regression", _LI_KEYS),
+    "dear_1f": (fx.lineitem_steps, ["l_quantity"], "dear", "classification", _LI_KEYS),
+    "ols_2f": (fx.lineitem_steps, ["l_quantity", "l_discount"], "l_extendedprice", "regression", _LI_KEYS),
 }
 _ALGOS = {  # estimators the registered queries use per problem
     "binary": list(TR.CLASSIFICATION_ALGORITHMS),
     "multiclass": list(TR.CLASSIFICATION_ALGORITHMS),
     "regression": list(TR.REGRESSION_ALGORITHMS),
-    "ols_1f": ["Linear Regression"],
+    "ols_1f": ["Linear Regression"], "ols_2f": ["Linear Regression"],
+    "band": list(TR.CLASSIFICATION_ALGORITHMS),
+    "levels": ["Random Forest", "Gradient Boosting"],
+    "step_price": ["Random Forest", "Gradient Boosting"],
+    "dear_1f": ["Logistic Regression"],
 }
+_STAGES = {"levels": 30}  # boosters of the three-class problem; elsewhere the library's default
 _FITS: dict = {}
 
 
@@ -879,7 +890,7 @@ def _fit(spark, sf, problem, algorithm):
         train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
         prep, labels, lb, res = TR.train_all(spark, train, test, feats, target, ptype, keys=keys,
                                              algorithms=_ALGOS[problem], parallel=True,
-                                             params=TR.TrainParams(rf_max_depth=10))
+                                             params=TR.TrainParams(rf_max_depth=10, gbt_stages=_STAGES.get(problem, 100)))
         lb = spark.createDataFrame(lb.collect(), lb.schema)  # three rows, kept local
         ltype = df.schema[target].dataType.simpleString()
         _FITS[key] = {r.algorithm_name: (df, test, ScoringBundle(prep, r.model, ptype, r.algorithm_name, labels, ltype),
@@ -1091,6 +1102,69 @@ def q_batch_job(spark, sf):
                                     F.col("prediction").cast("double").between(0, 1).alias("prediction_in_01"))
 
 
+# --------------------------------------------------------------------------- models against answers known from the table
+def _known(problem, algorithm):
+    """Each held-out row's predicted label or value; the oracle has the true one, which trees can learn exactly."""
+    def query(spark, sf):
+        df, test, b, lb = _fit(spark, sf, problem, algorithm)
+        out = b.predict(test, keep=_LI_KEYS)
+        p = F.col("prediction")
+        return out.select(*_LI_KEYS, (r6(p) if problem == "step_price" else p).alias("prediction"))
+    return query
+
+
+for _name, _problem, _algorithm, _target in [
+        ("learn_rf_band", "band", "Random Forest", "band"), ("learn_gbt_band", "band", "Gradient Boosting", "band"),
+        ("learn_rf_levels", "levels", "Random Forest", "size"), ("learn_gbt_levels", "levels", "Gradient Boosting", "size"),
+        ("learn_rf_price", "step_price", "Random Forest", "price"), ("learn_gbt_price", "step_price", "Gradient Boosting", "price")]:
+    register(_name, f"""WITH {LINEITEM_STEPS_SQL}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_target} AS prediction FROM steps WHERE is_test""")(_known(_problem, _algorithm))
+
+
+@register("learn_linear_2f", f"""WITH {LINEITEM_STEPS_SQL},
+m AS (SELECT var_samp(l_quantity) AS s11, var_samp(l_discount) AS s22, covar_samp(l_quantity, l_discount) AS s12,
+             covar_samp(l_extendedprice, l_quantity) AS t1, covar_samp(l_extendedprice, l_discount) AS t2,
+             avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my FROM steps WHERE NOT is_test),
+w AS (SELECT (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS w1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS w2, * FROM m)
+SELECT round(w1, 4) AS quantity, round(w2, 4) AS discount, round(my - w1 * m1 - w2 * m2, 4) AS intercept FROM w""")
+def q_learn_linear_2f(spark, sf):
+    b = _fit(spark, sf, "ols_2f", "Linear Regression")[2]
+    raw = [(float(w) / b.prep.stats[c][1], b.prep.stats[c][0]) for w, c in zip(b.model.coefficients, ["l_quantity", "l_discount"])]
+    at_zero = float(b.model.intercept) - sum(w * mean for w, mean in raw)
+    return spark.createDataFrame([tuple(round(v, 4) for v in (raw[0][0], raw[1][0], at_zero))], "quantity double, discount double, intercept double")
+
+
+@register("learn_logistic_1f", f"""WITH RECURSIVE {LINEITEM_STEPS_SQL},
+st AS (SELECT avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std FROM steps WHERE NOT is_test),
+g AS MATERIALIZED (SELECT (l_quantity - mean) / std AS z, count(*) AS n, sum(dear) AS y FROM steps, st WHERE NOT is_test GROUP BY ALL),
+newton(k, w, c) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, w - (h22 * d1 - h12 * d2) / (h11 * h22 - h12 * h12), c - (h11 * d2 - h12 * d1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT k, w, c, sum(z * (n * p - y)) + w AS d1, sum(n * p - y) AS d2, sum(n * z * z * p * (1 - p)) + 1 AS h11,
+           sum(n * z * p * (1 - p)) AS h12, sum(n * p * (1 - p)) AS h22
+    FROM (SELECT k, w, c, z, n, y, 1 / (1 + exp(-(w * z + c))) AS p FROM newton, g WHERE k < 30) GROUP BY k, w, c))
+SELECT round(w, 2) AS weight, round(c, 2) AS intercept FROM newton WHERE k = 30""")
+def q_learn_logistic_1f(spark, sf):
+    # the penalised loss's only minimum, which the oracle finds by Newton steps
+    b = _fit(spark, sf, "dear_1f", "Logistic Regression")[2]
+    return spark.createDataFrame([(round(float(b.model.coefficients[0]), 2), round(float(b.model.intercept), 2))], "weight double, intercept double")
+
+
+@register("learn_and_rank", f"""WITH {LINEITEM_STEPS_SQL},
+t AS (SELECT greatest(avg(band), 1 - avg(band)) AS most FROM steps WHERE is_test)
+SELECT * FROM (SELECT 'Random Forest' AS algorithm_name, 1 AS rank, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1
+               UNION ALL SELECT 'Gradient Boosting', 2, 1.0, 1.0 UNION ALL SELECT 'Logistic Regression', 3, round(most, 6), 0.0 FROM t)""")
+def q_learn_and_rank(spark, sf):
+    # a band is beyond a straight line (every row gets the larger class) and plain to trees; ties go by the fixed order
+    from tabforge.operators.rank import leaderboard
+    parts = [_fit(spark, sf, "band", a)[3].withColumn("algo_ordinal", F.lit(i)) for i, a in enumerate(TR.CLASSIFICATION_ALGORITHMS)]
+    res = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lb = leaderboard(res.drop("rank", "primary_metric_value"), run="run_id", ordinal="algo_ordinal")
+    return lb.select("algorithm_name", F.col("rank").cast("int").alias("rank"), r6(F.col("metrics")["accuracy"]).alias("accuracy"),
+                     r6(F.col("metrics")["f1"]).alias("f1"))
+
+
 # --------------------------------------------------------------------------- sources and sinks (A)
 from tabforge.sources import csv as csvsrc  # noqa: E402
 

@@ -57,6 +57,16 @@ def lineitem_ml(spark: SparkSession, sf: str) -> DataFrame:
     return with_split(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], SEED)
 
 
+def lineitem_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem_ml with targets that follow from l_quantity: a band, three levels as text and as numbers, a high price."""
+    q = F.col("l_quantity")
+    level = F.when(q <= 16, 0).when(q <= 33, 1).otherwise(2)
+    return (lineitem_ml(spark, sf).withColumn("band", (level == 1).cast("int"))
+            .withColumn("size", F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("top")), level + 1))
+            .withColumn("price", F.element_at(F.array(F.lit(10.0), F.lit(25.0), F.lit(70.0)), level + 1))
+            .withColumn("dear", (F.col("l_extendedprice") > 40000).cast("int")))
+
+
 def part_ml(spark: SparkSession, sf: str) -> DataFrame:
     """part with a hash split on p_partkey (one-feature least squares: p_retailprice on p_size)."""
     return with_split(table(spark, sf, "part"), ["p_partkey"], SEED)
@@ -70,6 +80,12 @@ LINEITEM_ML_SQL = """li AS (
   FROM lineitem)"""
 
 
+LINEITEM_STEPS_SQL = LINEITEM_ML_SQL + """,
+steps AS (SELECT *, CASE WHEN level = 1 THEN 1 ELSE 0 END::INTEGER AS band, ['low', 'mid', 'top'][level + 1] AS size,
+                 [10.0::DOUBLE, 25.0, 70.0][level + 1] AS price, CASE WHEN l_extendedprice > 40000 THEN 1 ELSE 0 END::INTEGER AS dear
+          FROM (SELECT *, CASE WHEN l_quantity <= 16 THEN 0 WHEN l_quantity <= 33 THEN 1 ELSE 2 END AS level FROM li))"""
+
+
 def runlog_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Run-log tables derived from the driver tables: nation -> datasets, customer -> experiments,
     orders -> trained models (ranked by price within the customer) and status / promotion events."""

@@ -52,3 +52,26 @@ def test_csv_reader_rules(spark, tmp_path):
     assert rows[1]["price"] is None and rows[0]["note"] is None and rows[1]["note"] is None
     pd_df = pd.read_csv(str(p))
     assert pd_df["price"].isnull().sum() == df.where(F.col("price").isNull()).count()
+
+
+@pytest.mark.parametrize("body, spans", [
+    ('a,b\n1,"x, y"\n2,"say ""hi"""\n3,""\n', False), ('a,b\r\n1,"x"\r\n', False), ('a,b\n', False), ('a,b\n1,plain\n', False),
+    ('a,b\n1,"two\nlines"\n', True), ('a,b\n1,"ends ""quoted""\nhere"\n', True), ('a,b\nx"y,"two\nlines"\n', True), ('a,b\n1,"a"",\nb"\n', True)])
+def test_csv_lines_with_open_quotes(spark, tmp_path, body, spans):
+    p = tmp_path / "in.csv"
+    p.write_bytes(body.encode())
+    assert C.has_open_quotes(spark, str(p)) == spans
+    got = [tuple(r) for r in C.read_csv_text(spark, str(p)).collect()]
+    assert got == [tuple(r) for r in C.read_csv_text(spark, str(p), multi_line=True).collect()]
+
+
+def test_csv_without_newlines_in_fields_is_split(spark, tmp_path):
+    p = tmp_path / "in.csv"
+    p.write_text("a|b\n" + "".join(f'{k}|"text | {k}"\n' for k in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = C.read_csv(spark, str(p), sep="|")
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 2000
+        assert df.agg(F.sum("a")).first()[0] == 1999000 and df.where("b = concat('text | ', a)").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
