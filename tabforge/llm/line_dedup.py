@@ -1,7 +1,9 @@
 """Removal of lines that a site repeats from page to page (site-relative line frequency).
 
 A line belongs to a site's boilerplate if the share of the site's pages that contain it is over ``ratio`` and at least
-``min_pages`` pages do.  Lines are compared without white space around them; lines of white space only are never
+``min_pages`` pages do.  ``RATIO`` is a hundredth: templates change between a site's sections and years, so one line of them is on a few
+pages in a hundred, while pages written apart rarely agree on a whole line at all; the floor of pages holds where a
+hundredth is a page or two.  Lines are compared without white space around them; lines of white space only are never
 boilerplate.  Counting shuffles only (site, 128-bit line hash) with partial sums, so a line on a third of all rows
 is pre-summed, not gathered.  What a site drops is bounded: each such line takes over ``ratio`` of its pages, so there
 are fewer than (mean lines a page) / ratio of them however large the site.  They travel as one short array a
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import whole
 from tabforge.session import cut_lineage
 
-RATIO, MIN_PAGES, BROADCAST_LINES = 0.1, 5, 200_000
+RATIO, MIN_PAGES, BROADCAST_LINES = 0.01, 5, 200_000
 
 
 def _lines(text: str) -> str:

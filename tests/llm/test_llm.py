@@ -219,6 +219,18 @@ def test_line_dedup_by_hand(spark, nothing):
     assert cut.where("doc_id = 20").first()["text"] == ""
 
 
+def test_line_dedup_drops_a_line_on_a_few_pages_in_a_hundred(spark):
+    sites = {"small": (100, (5, 10)), "middle": (1000, (30, 100)), "hot": (6000, (180, 600))}
+    rows = [(f"{site} {k}", "\n".join([f"own {site} {k}"] + [f"planted {n}" for n in planted if k < n] + ["rare"] * (k < 4)), site)
+            for site, (pages, planted) in sites.items() for k in range(pages)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        site, k = r["doc_id"].split()
+        assert r["text"] == f"own {site} {k}" + "\nrare" * (int(k) < 4)  # four pages are no pattern
+        assert r["n_dropped"] == sum(int(k) < n for n in sites[site][1])
+
+
 def test_line_dedup_edges_and_shuffle_join(spark, edge, monkeypatch):
     a = sorted(map(repr, line_dedup.dedup_lines(edge, ratio=0.01, min_pages=1).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
