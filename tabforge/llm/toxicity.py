@@ -3,11 +3,12 @@
 Fitting uses a bounded sample of labelled rows (``MAX_ROWS`` a label, the ids of smallest hash; half for the words,
 half for the calibration).  A token is a word with its beginnings of 3 to 6 letters, so inflected forms share evidence.  The
 numbers of texts with each by label, summed in Spark, give log-odds with an informative Dirichlet prior: ``PRIOR`` of the number in both labels
-together.  Pieces whose log-odds are ``Z`` standard errors above zero are kept; a token scores its best piece's log-odds less a
-constant drift, and every other token minus the drift, so clean text drifts down.  In a text a linear scan finds all
+together.  Each piece's log-odds, of either sign, are shrunk by their standard error: at ``Z`` of them half is left, more above and less
+below, and none is cut.  A token scores its strongest piece's shrunk log-odds less a
+constant drift, and an unknown token minus the drift, so clean text drifts down.  In a text a linear scan finds all
 maximal scoring segments: each is a run whose score no extension raises and that overlaps no other.  For clean text the best
-segment follows an extreme-value law: its decay is the positive root of E exp(decay * score) = 1 over clean tokens, its
-location is fitted on the clean sample.  A segment's evidence is decay * score - ln(K * length); significant ones (over 0) are
+segment follows an extreme-value law: its decay is the positive root of E exp(decay * score) = 1 over the calibration half's clean tokens, its
+location is fitted on the same texts.  A segment's evidence is decay * score - ln(K * length); significant ones (over 0) are
 passages.  A logistic curve in the best evidence and the sum of significant evidence gives the score.
 
 Scoring is one narrow map over whole texts with a bounded word list.  Null and empty texts have no evidence; without
@@ -32,7 +33,9 @@ from tabforge.llm.common import id_bucket, one_label, ship, whole
 from tabforge.llm.quality import fit_curve
 from tabforge.session import cut_lineage
 
-MAX_ROWS, Z, PRIOR, DRIFT, KEEP_WORDS = 6000, 4.0, 0.1, 0.25, 500_000
+MAX_ROWS, Z, PRIOR, DRIFT, KEEP_WORDS = 6000, 3.0, 0.1, 0.25, 500_000
+#: pieces weaker than this are no entry in the model: they would move a token's score by less than a hundredth of the drift
+TRACE = 0.0025
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -47,14 +50,14 @@ def pieces(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Scores of words by their best piece, 0 for none; words met are kept up to a bound."""
+    """Log-odds of words by their strongest piece, 0 for none; words met are kept up to a bound."""
 
     def __init__(self, scores: dict[str, float]):
         super().__init__()
         self.scores = scores
 
     def __missing__(self, word: str) -> float:
-        s = max((self.scores.get(p, 0.0) for p in pieces(word)), default=0.0)
+        s = max((self.scores.get(p, 0.0) for p in pieces(word)), key=abs, default=0.0)
         if len(self) < KEEP_WORDS:
             self[word] = s
         return s
@@ -62,12 +65,15 @@ class Lexicon(dict):
 
 def segments(score: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text whose tokens score -drift but for the given
-    (position, score > 0) ones, in order; linear but for the list's own length (the left ends are searched on a stack)."""
+    (position, score) ones, in order; linear but for the list's own length (the left ends are searched on a stack)."""
     stack: list[list[float]] = []  # first, last, total before the segment, total with it
     total, at = 0.0, 0
     for place, gain in score:
         total -= drift * (place - at)
         at = place + 1
+        if gain <= 0:
+            total += gain
+            continue
         new = [place, place, total, total + gain]
         total += gain
         while True:
@@ -97,7 +103,7 @@ class Model:
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens; (first token, last token, evidence) of each maximal segment."""
         toks, score = tokens(text), self.lexicon
-        hits = [(k, s) for k, w in enumerate(toks) if (s := score[w])]
+        hits = [(k, s - DRIFT) for k, w in enumerate(toks) if (s := score[w])]
         cost = self.location + math.log(max(1, len(toks)))
         return len(toks), [(a, b, self.decay * s - cost) for a, b, s in segments(hits, DRIFT)]
 
@@ -169,17 +175,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     prior, mass = F.lit(PRIOR) * (F.col("yes") + F.col("no")), PRIOR * (n["yes"] + n["no"])
     odds = [F.ln((F.col(c) + prior) / (F.lit(n[c] + mass) - F.col(c) - prior)) for c in ("yes", "no")]
     spread = F.sqrt(1 / (F.col("yes") + prior) + 1 / (F.col("no") + prior))
-    scored = by_word.select("word", "yes", "no", (odds[0] - odds[1]).alias("odds"), spread.alias("spread")).where(F.col("odds") > Z * F.col("spread"))
-    # words this far above chance: at most a part of the bounded sample's words
-    found = [(r["word"], r["odds"] - DRIFT, r["no"] / n["no"]) for r in scored.orderBy("word").collect() if r["odds"] > DRIFT]
-    if not found:
+    odds = odds[0] - odds[1]
+    trust = F.pow(odds / (F.lit(Z) * spread), F.lit(6))
+    scored = by_word.select("word", (odds * trust / (trust + 1)).alias("odds")).where(F.abs("odds") >= TRACE)
+    # at most the words of the bounded sample
+    words = {r["word"]: r["odds"] for r in scored.orderBy("word").collect()}
+    top = max(words.values(), default=0.0) - DRIFT
+    if top <= 0:
         return constant(share)
-    words = {w: s for w, s, _ in found}
-    clean = np.array([max(p, 0.5 / n["no"]) for *_, p in found])
-    gains = np.array([s for _, s, _ in found])
+    raw = Model(words, 1.0, 0.0, (), 0.0)
+
+    def spent(batches):
+        for b in batches:
+            n = Counter()
+            for t in b["t"]:
+                n.update(round(raw.lexicon[w] - DRIFT, 3) for w in tokens(t))
+            yield pd.DataFrame(list(n.items()), columns=["score", "n"])
+
+    clean = rows.where((side == 1) & (F.col(label) == 0))
+    # scores in thousandths: a few thousand rows; half a token of the highest score, should clean text have none above zero
+    per_score = clean.select("t").mapInPandas(spent, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()
+    gains = np.array([top] + [r["score"] for r in per_score])
+    shares = np.array([0.5] + [r["n"] for r in per_score])
+    shares = shares / shares.sum()
 
     def excess(decay: float) -> float:
-        return (clean * np.exp(decay * gains)).sum() + (1 - clean.sum()) * math.exp(-decay * DRIFT) - 1
+        return (shares * np.exp(np.minimum(decay * gains, 700))).sum() - 1
 
     low, high = 1e-6, 1.0
     while excess(high) < 0:
@@ -194,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         return pd.Series([[float(max((e for *_, e in raw.passages(t)[1]), default=-1e9))] for t in texts], dtype=object)
 
     # at most 2 * MAX_ROWS rows of a few numbers
-    seen = [r["x"][0] for r in rows.where((side == 1) & (F.col(label) == 0)).select(best("t").alias("x")).collect()]
+    seen = [r["x"][0] for r in clean.select(best("t").alias("x")).collect()]
     hit = sorted(x for x in seen if x > -1e9)
     # a text without a scoring token has no segment; the law's location puts the rest's share at its place
     location = 0.0

@@ -341,6 +341,29 @@ def test_toxicity_on_held_out(spark, edge, nothing):
     assert toxicity.classify(nothing, labels).count() == 0
 
 
+def test_toxicity_of_a_smaller_language(spark):
+    """Recall by language on held-out labels, where one language's marks are in too few texts for four standard errors."""
+    rng = random.Random(9)
+    talk = {"en": ["river", "stone", "light", "paper"], "es": ["mesa", "calle", "libro", "verde"]}
+    marks = {"en": ["vexling", "grumthor"], "es": ["zorrupio", "malquento", "bruxardo"]}
+    docs, labels, lang = [], [], {}
+    for k in range(1600):
+        lang[k] = "es" if k % 10 == 0 else "en"
+        ws = [rng.choice(talk[lang[k]]) + rng.choice(["", "s", "ed", "ing"]) for _ in range(rng.randrange(20, 60))]
+        bad = k % 40 in (0, 10, 1, 5, 9, 13, 17, 21, 25, 29, 33, 37)
+        if bad:
+            for _ in range(2):
+                ws.insert(rng.randrange(len(ws)), rng.choice(marks[lang[k]]) + rng.choice(["", "a", "on", "ir"]))
+        docs.append((k, " ".join(ws)))
+        labels.append((k, int(bad)))
+    out = toxicity.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    for one in ("en", "es"):
+        held = [(r["predicted"], labels[r["doc_id"]][1]) for r in out if r["held_out"] and lang[r["doc_id"]] == one]
+        assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.03
+    words = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).words
+    assert words["zorrupioon"] > 0 and min(words.values()) < 0
+
+
 def plain_segments(scores):
     """All maximal scoring segments by their definition: recursively the best segment, then what is left and right of it."""
     best = None
