@@ -147,11 +147,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest id (of a group without ids, and of repeated rows, any one)."""
-    found = near_duplicates(docs, text, doc_id)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(ids.withColumnRenamed("doc_id", doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
-    nameless = found.where(F.col("component_id").isNull()).select("fp", "group_fp").distinct()
-    rest = fingerprints(docs.where(F.col(doc_id).isNull()), text, "_fp")
-    rest = rest.join(nameless.withColumnRenamed("fp", "_fp"), "_fp").dropDuplicates(["group_fp"]).select(*docs.columns)
-    return kept.select(*docs.columns).unionByName(rest)
+    """One row of each group of fingerprints: the smallest id's (null ids last); rows that share it, because ids clash, go by
+    fingerprint and hashes of the text and of the row, so a repeated task chooses alike.  Of rows equal in all, any one."""
+    ship(docs.sparkSession)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marks = {"_one_id": F.col(doc_id), "_one_text_a": F.xxhash64(whole(text)), "_one_text_b": F.xxhash64(F.lit(7), whole(text)), "_one_row": F.xxhash64(*hashed)}
+    rows = fingerprints(docs.select(F.col(text).alias("_text"), *[c.alias(n) for n, c in marks.items()]), "_text", "fp")
+    # one row a fingerprint before anything is joined: copies are summed up where they lie
+    first = cut_lineage(rows.groupBy("fp").agg(F.min(F.struct(F.col("_one_id").isNull().alias("_none"), "_one_id", "fp", "_one_text_a", "_one_text_b", "_one_row")).alias("first")))
+    groups = cut_lineage(components(links(first))).withColumnRenamed("node", "fp")
+    chosen = first.join(groups, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group_fp")).agg(F.min("first").alias("first"))
+    chosen = chosen.select(*[F.col(f"first.{n}").alias(f"{n}_kept") for n in marks])
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_kept")) for n in marks]
+    kept = docs.withColumns(marks).join(chosen, same, "left_semi")
+    return kept.dropDuplicates(list(marks)).select(*docs.columns)

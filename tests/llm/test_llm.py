@@ -193,6 +193,22 @@ def test_keep_one_and_null_ids(spark, edge, nothing):
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_keep_one_with_one_id_on_unlike_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choice("river stone light paper walk green music".split()) + str(rng.randrange(50)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a, "x"), (5, b, "x"), (9, b, "x"), (8, a, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (7, None, "x"), (7, "", "y")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3))
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] != 7), key=repr)
+        assert got == sorted([(5, a), (5, b), (None, c)], key=repr)
+        assert kept.where("doc_id = 7").count() == 1
+    # text a's group is named by id 2, and id 5 is on a row of it and on text b
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x")]
+    for order in (rows, rows[::-1]):
+        got = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string").coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(2, a), (5, b)])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(999, 999), (None, 5)]
