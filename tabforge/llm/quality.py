@@ -1,7 +1,8 @@
 """Quality scores by compression with zstandard dictionaries of good and of bad labelled text.
 
 Fitting uses a bounded sample of labelled rows, ``MAX_ROWS`` of each label (the ids of smallest hash), of whose
-texts at most ``MAX_SEGMENTS`` pieces a label (again the smallest hashes) become the two dictionaries; half of the sampled
+texts at most ``MAX_SEGMENTS`` pieces a label (again the smallest hashes) become the two dictionaries, both trained over all of
+them at every size (of up to ``DICT_BYTES``, less for less text; the pieces as they are where either label's all fit); half of the sampled
 documents feed the dictionaries and the other half the calibration.  A text is cut into blocks of ``BLOCK`` bytes
 and each block is compressed with either dictionary, so long texts do not wash the difference out.  The inputs are the difference
 of the two compressed sizes, normalised by the larger one and by the text's bytes, and the two normalised sizes it is the difference of; a
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
         f"transform(sequence(0, int((octet_length(t) - 1) / {BLOCK})), k -> substring(encode(t, 'utf-8'), k * {BLOCK} + 1, {BLOCK}))")).alias("piece"))
     pieces = pieces.select(label, "piece", F.xxhash64(F.lit("piece"), "piece").alias("h"))
     halves = {k: [bytes(r["piece"]) for r in pieces.where(F.col(label) == k).dropDuplicates(["h"]).orderBy("h").limit(MAX_SEGMENTS).collect()] for k in (0, 1)}
-    good, bad = dictionary(halves[1]), dictionary(halves[0])
+    good, bad = dictionaries(halves[1], halves[0])
     if not good or not bad:
         return constant(share)
     @F.pandas_udf("array<double>")
@@ -134,14 +135,28 @@ def constant(share: float) -> Model:
     return Model(b"", b"", (), math.log(p / (1 - p)))
 
 
-def dictionary(pieces: list[bytes]) -> bytes:
-    """A zstandard dictionary trained on the pieces; with too few of them, the pieces themselves (empty: none)."""
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """The two labels' dictionaries, made alike: the pieces themselves if all of either label's fit, else both trained."""
+    if all(sum(map(len, pieces)) <= DICT_BYTES for pieces in (good, bad)):
+        return b"".join(good), b"".join(bad)
+    return trained(good), trained(bad)
+
+
+def trained(pieces: list[bytes]) -> bytes:
+    """A zstandard dictionary trained over all of the pieces, no larger than they are (empty: none)."""
     import zstandard as zstd
 
     joined = b"".join(pieces)
-    if len(joined) < 8 * DICT_BYTES:
-        return joined[:DICT_BYTES]
-    return zstd.train_dictionary(DICT_BYTES, pieces, level=LEVEL).as_bytes()
+    if len(pieces) < 8:  # zstandard asks for a number of samples
+        step = len(joined) // 8 + 1
+        pieces = [joined[p:p + step] for p in range(0, len(joined), step)]
+    try:
+        # split_point 1: no piece is set aside for testing the dictionary only
+        return zstd.train_dictionary(min(DICT_BYTES, max(256, len(joined))), pieces, d=8, steps=4, split_point=1.0, level=LEVEL).as_bytes()
+    except zstd.ZstdError:
+        if len(joined) > DICT_BYTES:
+            raise
+        return joined  # a few words
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), threshold: float = 0.3) -> DataFrame:

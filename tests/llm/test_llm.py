@@ -340,6 +340,35 @@ def test_quality_on_held_out(spark, edge, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+@pytest.mark.parametrize("n_bad", [113_000, 283_000, 620_000, 900_000])
+def test_quality_dictionaries_read_all_pieces(n_bad):
+    """Of labels between the dictionary's size and eight times that, words past the first 112,640 bytes count too, and both are trained."""
+    rng = random.Random(3)
+
+    def pieces(n, words):
+        text = " ".join(rng.choice(words) for _ in range(n // 6)).encode()[:n]
+        return [text[p:p + quality.BLOCK] for p in range(0, len(text), quality.BLOCK)]
+
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    late = ["".join(rng.choice("uvwxyz") for _ in range(5)) for _ in range(40)]
+    head = pieces(quality.DICT_BYTES, words)
+    bad = head + pieces(n_bad - quality.DICT_BYTES, late)
+    good, found = quality.dictionaries(pieces(1_500_000, words), bad)
+    magic = b"\x37\xa4\x30\xec"
+    assert good.startswith(magic) and found.startswith(magic) and max(len(good), len(found)) <= quality.DICT_BYTES
+    if n_bad > 200_000:
+        assert sum(w.encode() in found for w in late) == len(late)
+
+
+def test_quality_dictionaries_of_little_text():
+    long = [bytes([97 + k % 7, 98 + k % 11]) * 256 for k in range(400)]
+    for few in ([b"abc"], [b"some words of a label"], [b"x" * 512, b"some words of a label" * 20], [b"ab" * 256] * 6):
+        good, bad = quality.dictionaries(long, few)
+        assert good and bad
+        assert quality.inputs(["some words", ""], good, bad).shape == (2, 4)
+    assert quality.dictionaries([b"a", b"b"], [b"c"]) == (b"ab", b"c") and quality.dictionaries(long, [])[1] == b""
+
+
 def test_toxicity_on_held_out(spark, edge, nothing):
     def mark(ws, rng):
         for _ in range(3):
