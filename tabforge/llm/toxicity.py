@@ -65,8 +65,8 @@ class Lexicon(dict):
 
 def segments(score: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text whose tokens score -drift but for the given
-    (position, score) ones, in order; linear but for the list's own length (the left ends are searched on a stack)."""
-    stack: list[list[float]] = []  # first, last, total before the segment, total with it
+    (position, score) ones, in order; linear, as each left end is found along the stack's links to smaller ones."""
+    stack: list[list[float]] = []  # first, last, total before the segment, total with it, nearest earlier one with a smaller total before
     total, at = 0.0, 0
     for place, gain in score:
         total -= drift * (place - at)
@@ -76,16 +76,17 @@ def segments(score: list[tuple[int, float]], drift: float) -> list[tuple[int, in
             continue
         new = [place, place, total, total + gain]
         total += gain
+        k = len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= new[3]:
-                stack.append(new)
+                stack.append([*new, k])
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
+            new, at_left = [stack[k][0], new[1], stack[k][2], new[3]], stack[k][4]
             del stack[k:]
-    return [(int(a), int(b), right - left) for a, b, left, right in stack]
+            k = at_left
+    return [(int(a), int(b), right - left) for a, b, left, right, _ in stack]
 
 
 @dataclass(frozen=True)

@@ -530,6 +530,33 @@ def test_probes_retrieve_the_whole_ball():
 CONV = "conv_id long, turn long, role string, text string, extra int"
 
 
+def test_segments_are_found_in_linear_time():
+    """Hits whose running total falls all the way, as drift does in clean text."""
+    class Counted(float):
+        n = 0
+
+        def __ge__(self, other):
+            Counted.n += 1
+            return float(self) >= float(other)
+
+        def __sub__(self, other):
+            return Counted(float(self) - float(other))
+
+        def __add__(self, other):
+            return Counted(float(self) + float(other))
+
+        __radd__ = __add__
+
+        def __rsub__(self, other):
+            return Counted(float(other) - float(self))
+
+    for size in (2_000, 20_000):
+        Counted.n = 0
+        hits = [(5 * k, Counted(1.0)) for k in range(size)] + [(5 * size, Counted(50.0))]
+        assert len(toxicity.segments(hits, Counted(0.45))) == size + 1
+        assert Counted.n < 20 * size
+
+
 def test_preference_pairs_by_hand(spark):
     good = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "a", 0), (1, 2, "user", "more", 0), (1, 3, "assistant", "good", 0)]
     bad = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "a", 0), (1, 2, "user", "more", 0), (1, 3, "assistant", "bad one", 0)]
