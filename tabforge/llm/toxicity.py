@@ -110,20 +110,26 @@ class Model:
 
     def inputs(self, text: str) -> tuple[float, float, float]:
         """Best evidence (kept within -20 .. 20), log of one more than the significant evidence, of the number of segments."""
+        return self.judged(text)[0]
+
+    def judged(self, text: str) -> tuple[tuple[float, float, float], int]:
+        """The curve's inputs, and the number of significant passages."""
         _, found = self.passages(text)
         best = max((e for *_, e in found), default=-20.0)
-        return min(20.0, max(-20.0, best)), math.log1p(sum(max(0.0, e) for *_, e in found)), math.log1p(len(found))
+        x = min(20.0, max(-20.0, best)), math.log1p(sum(max(0.0, e) for *_, e in found)), math.log1p(len(found))
+        return x, sum(e > 0 for *_, e in found)
 
     def score(self, docs: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
-        """``docs`` with score, predicted and passages (first token, last token, evidence of the significant ones)."""
+        """``docs`` with score, predicted and n_passages (the number of significant ones)."""
         ship(docs.sparkSession)
         model = self
 
         @F.pandas_udf("score double, n_passages int")
         def judge(texts: pd.Series) -> pd.DataFrame:
-            x = np.array([model.inputs(t) for t in texts]).reshape(-1, 3)
+            seen = [model.judged(t) for t in texts]
+            x = np.array([inputs for inputs, _ in seen]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights or (0, 0, 0)) + model.offset, -50, 50)))
-            return pd.DataFrame({"score": p, "n_passages": np.where(x[:, 1] > 0, np.rint(np.expm1(x[:, 2])), 0).astype("int32")})
+            return pd.DataFrame({"score": p, "n_passages": np.array([n for _, n in seen], "int32")})
 
         kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "n_passages")]).withColumn("_s", judge(whole(text)))
         return kept.select(*[c for c in kept.columns if c != "_s"], "_s.*").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
