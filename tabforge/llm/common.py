@@ -44,6 +44,30 @@ def ship(spark: SparkSession) -> None:
     sc._tabforge_shipped = True
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names made from the stems that no column of ``df`` has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those called like ``names``, in any case of their letters."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def whole(text: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import ann, bpe, chat, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity
+from tabforge.llm import ann, bpe, chat, decontam, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity
 from tabforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,28 @@ def op9(spark, sf):
 def op10(spark, sf):
     d, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
     return quality.classify(d, labels).select("doc_id", "held_out", F.col("score"), "predicted")
+
+
+def _words(text: str) -> str:
+    """SQL: a text's words as ``decontam`` takes them."""
+    upper, lower = decontam.LETTERS, decontam.LETTERS.lower()
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op11_benchmark_decontamination", f"""WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_words("text")} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), {decontam.SIZE}) AS m, list_slice(w, s + 1, s + least(len(w), {decontam.SIZE})) AS phrase
+  FROM (SELECT item, w, unnest(range(0, greatest(len(w) - {decontam.SIZE}, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+l AS (SELECT DISTINCT m FROM p),
+x AS (SELECT r, m, s, list_slice(w, s + 1, s + m) AS phrase FROM (SELECT r, w, m, unnest(range(0, len(w) - m + 1)) AS s FROM d, l WHERE len(w) >= m)),
+f AS (SELECT r, x.m, s, item FROM x JOIN p USING (m, phrase)),
+h AS (SELECT r, count(DISTINCT s + k) AS n FROM (SELECT r, s, unnest(range(0, m)) AS k FROM f) GROUP BY r),
+i AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM f) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""")
+def op11(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(d, table(spark, sf, "benchmark"))
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
