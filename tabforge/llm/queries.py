@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import ann, bpe, chat, decontam, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity
+from tabforge.llm import ann, bpe, chat, decontam, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity, trie
 from tabforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,27 @@ def op11(spark, sf):
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.first)")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@register("op12_conversation_trie", f"""WITH RECURSIVE bits AS (SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT c, n, c - c % {trie.GROUP} AS base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % {trie.HEADS} AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c), tab),
+r AS (SELECT c.c, t.pos, role, text FROM c JOIN t ON t.c = c.base WHERE t.pos < h
+  UNION ALL SELECT c.c, t.pos - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM c JOIN t ON t.c = c.c LEFT JOIN c b ON b.c = c.base WHERE t.pos >= c.h),
+s AS (SELECT c.c, coalesce(list([role, text] ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq FROM c LEFT JOIN r ON r.c = c.c GROUP BY c.c),
+p AS (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS depth FROM s),
+m AS (SELECT c, depth, sha256(to_json(list_slice(seq, 1, depth))::VARCHAR) AS node, CASE WHEN depth > 0 THEN sha256(to_json(list_slice(seq, 1, depth - 1))::VARCHAR) END AS up,
+  CASE WHEN depth > 0 THEN octet_length(encode(seq[depth][2])) ELSE 0 END AS nb, depth = len(seq) AS at_end FROM p),
+n AS (SELECT node, depth, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, max(nb) AS nb,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (at_end), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT m.node, x.node AS sub FROM m JOIN m x ON x.c = m.c AND x.depth >= m.depth),
+g AS (SELECT b.node, count(*) FILTER (k.up IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.nb)::BIGINT AS saved FROM below b JOIN n ON n.node = b.sub LEFT JOIN k ON k.up = b.sub GROUP BY b.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved AS saved_tokens, n.ends_sha256
+FROM n JOIN g USING (node) LEFT JOIN k ON k.up = n.node LEFT JOIN n q ON q.node = n.up""")
+def op12(spark, sf):
+    return trie.prefix_trie(*trie.rebuilt(trie.turns(table(spark, sf, "conversations"))))
