@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import ann, bpe, chat, decontam, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity, trie
+from tabforge.llm import align, ann, bpe, chat, decontam, line_dedup, mixing, quality, repetition, simhash, token_count, toxicity, trie
 from tabforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,9 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_con
 FROM n JOIN g USING (node) LEFT JOIN k ON k.up = n.node LEFT JOIN n q ON q.node = n.up""")
 def op12(spark, sf):
     return trie.prefix_trie(*trie.rebuilt(trie.turns(table(spark, sf, "conversations"))))
+
+
+@register("op13_token_alignment")
+def op13(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return align.align_tokens(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
