@@ -1,139 +1,144 @@
-"""Exact order statistics without one task holding a whole column.
+"""Exact order statistics by digit (radix) selection on a 64-bit key.
 
 ``percentile``/``median``/``mode`` in a global aggregate merge every distinct value
 of a column into one final buffer, and ``row_number`` over an un-partitioned
-window moves all rows into one task.  Both grow with the data.  Here the k-th
-smallest value is found by narrowing a bracket:
-
-1. ``percentile_approx`` (bounded sketch, partial + final aggregation) gives
-   bounds ``[lo, hi]`` around the wanted rank, with a margin larger than its
-   rank error ``n / accuracy``;
-2. one counting pass checks the bracket (values below ``lo`` and inside it);
-3. repeat on the bracket until it holds at most ``max_bracket`` rows or (by an
-   HLL estimate with a 2x margin) distinct values, then rank the bracket exactly
-   with a grouped count + running sum per column.
-
-Every pass is a bounded-memory aggregation, and the final window sees at most
-about ``max_bracket`` distinct values per column (ties collapse in the grouping,
-so heavily repeated values end the narrowing early).  Small inputs skip straight
-to step 3.
+window moves all rows into one task.  Both grow with the data.  Here a value is
+first mapped to a whole number of 64 bits in the same order (a double by its exponent and mantissa), and
+the wanted ranks are followed digit by digit from the top:
+
+1. one aggregation counts, for every wanted rank's bracket (the digits found so far), the
+   rows by their next digit; partial sums first, so a bracket costs a task at most one row a digit;
+2. a running sum over a bracket's digits names the digit that holds the rank;
+3. the digit joins the bracket, until no digit is left and the key is known.
+
+Ranks far apart have brackets of their own.  The number of passes follows from the key's width alone: four
+digits of 16 bits where few brackets can arise, six of 12 bits where many can; ties, skew and the spread of
+the values do not matter.  No sketch is involved, and only the found digits reach the driver.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import decimal
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions.exprs import qcol
 
-DEFAULT_ACCURACY = 10_000
 DEFAULT_MAX_BRACKET = 1_000_000
-
-
-def _in_bracket(c: Column, lo, hi) -> Column:
-    cond = c.isNotNull()
-    if lo is not None:
-        cond = cond & (c >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
-
-
-def kth_values(
-    df: DataFrame,
-    ranks: dict[str, list[int]],
-    counts: dict[str, int],
-    accuracy: int = DEFAULT_ACCURACY,
-    max_bracket: int = DEFAULT_MAX_BRACKET,
-    max_rounds: int = 64,
-) -> dict[str, dict[int, object]]:
+KEY_BITS, WIDE, NARROW, FEW_BRACKETS = 64, 16, 12, 16
+_SMALLEST_NORMAL, _SMALLEST = 2.0 ** -1022, 2.0 ** -1074
+_EPOCH = _dt.datetime(1970, 1, 1)
+
+
+def _double_key(x: Column) -> Column:
+    """A double's place among all doubles as a bigint: sign, exponent and mantissa as in its IEEE form, -0.0 like 0.0, NaN last."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # noqa: E731  (exact for whole exponents)
+    e = guess + F.when(a >= power(guess + 1), 1).when(a < power(guess), -1).otherwise(0)
+    # a scaled to [1, 2): both steps are exact
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((a / power(e) - 1.0) * F.lit(2.0 ** 52)).cast("long")
+    size = (F.when(F.isnan(x), F.lit((2047 << 52) + (1 << 51))).when(a == float("inf"), F.lit(2047 << 52))
+            .when(a >= _SMALLEST_NORMAL, normal).otherwise((a / F.lit(_SMALLEST)).cast("long")))
+    return F.when(x < 0.0, -size).otherwise(size)
+
+
+def order_key(c: Column, dtype: T.DataType) -> Column:
+    """A bigint in the order of the column's values (null stays null)."""
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("bigint")
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(c.isNotNull(), _double_key(c.cast("double")))
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+    if isinstance(dtype, T.DecimalType) and dtype.precision <= 18:
+        return (c.cast(T.DecimalType(dtype.precision, dtype.scale)) * F.lit(10 ** dtype.scale).cast(T.DecimalType(19, 0))).cast("bigint")
+    raise TypeError(f"no 64-bit order key for {dtype.simpleString()}")
+
+
+def key_value(key: int, dtype: T.DataType):
+    """The value that ``order_key`` maps to the key."""
+    if isinstance(dtype, T.IntegralType):
+        return key
+    if isinstance(dtype, T.BooleanType):
+        return bool(key)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        size = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+        return -size if key < 0 else size
+    if isinstance(dtype, T.DateType):
+        return (_EPOCH + _dt.timedelta(days=key)).date()
+    if isinstance(dtype, T.TimestampType):
+        return _dt.datetime.fromtimestamp(key // 1_000_000).replace(microsecond=key % 1_000_000)
+    if isinstance(dtype, T.TimestampNTZType):
+        return _EPOCH + _dt.timedelta(microseconds=key)
+    return decimal.Decimal(key).scaleb(-dtype.scale)
+
+
+def _widths(brackets: int) -> list[int]:
+    width = WIDE if brackets <= FEW_BRACKETS else NARROW
+    return [width] * (KEY_BITS // width) + ([KEY_BITS % width] if KEY_BITS % width else [])
+
+
+def kth_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], **earlier) -> dict[str, dict[int, object]]:
     """Values at the given 0-based ranks among non-null values of each column.
 
     ``counts[c]`` is the number of non-null values of ``c`` (known from an earlier pass).
-    Returns ``{column: {rank: value}}``; columns with no values are omitted.
-    """
-    state = {}
-    for c, rs in ranks.items():
-        n = counts.get(c, 0)
-        rs = sorted({r for r in rs if 0 <= r < n})
-        if rs:
-            state[c] = {"lo": None, "hi": None, "below": 0, "inside": n, "ranks": rs, "acc": accuracy,
-                        "distinct": None}
-    # The final step groups the bracket by value before its running sum, so its cost is the number of
-    # distinct values: a bracket is small enough once its rows, or its (HLL-estimated, with a 2x margin)
-    # distinct values, are at most max_bracket.  Heavily repeated values therefore end the narrowing.
-    def small(s):
-        return s["inside"] <= max_bracket or (s["distinct"] is not None and s["distinct"] * 2 <= max_bracket)
-
-    rounds = 0
-    while rounds < max_rounds:
-        asked = [c for c, st in state.items() if not small(st)]
-        if not asked:
-            break
-        rounds += 1
-        # Pass 1: approximate bounds inside the current bracket, and its distinct count.
-        aggs = []
-        for i, c in enumerate(asked):
-            st = state[c]
-            m = 2.0 / st["acc"] + 1.0 / st["inside"]
-            p_lo = max(0.0, (st["ranks"][0] - st["below"]) / st["inside"] - m)
-            p_hi = min(1.0, (st["ranks"][-1] - st["below"] + 1) / st["inside"] + m)
-            v = F.when(_in_bracket(qcol(c), st["lo"], st["hi"]), qcol(c))
-            aggs.append(F.percentile_approx(v, [p_lo, p_hi], st["acc"]).alias(f"q{i}"))
-            aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
-        qrow = df.agg(*aggs).first()
-        prop = {}
-        for i, c in enumerate(asked):
-            state[c]["distinct"] = qrow[f"d{i}"]
-            prop[c] = qrow[f"q{i}"]
-        narrow = [c for c in asked if not small(state[c])]
-        if not narrow:
-            break
-        # Pass 2: exact counts below and inside the proposed bracket.
-        aggs = []
-        for i, c in enumerate(narrow):
-            st, (q0, q1) = state[c], prop[c]
-            inb = _in_bracket(qcol(c), st["lo"], st["hi"])
-            aggs.append(F.count_if(inb & (qcol(c) < F.lit(q0))).alias(f"b{i}"))
-            aggs.append(F.count_if(inb & (qcol(c) >= F.lit(q0)) & (qcol(c) <= F.lit(q1))).alias(f"n{i}"))
-        crow = df.agg(*aggs).first()
-        for i, c in enumerate(narrow):
-            st = state[c]
-            below = st["below"] + crow[f"b{i}"]
-            inside = crow[f"n{i}"]
-            if below <= st["ranks"][0] and below + inside > st["ranks"][-1] and inside < st["inside"]:
-                st["lo"], st["hi"] = prop[c]
-                st["below"], st["inside"], st["distinct"] = below, inside, None
-            else:  # sketch bound missed (or no progress): sharpen and retry
-                st["acc"] = st["acc"] * 10
-    # Final: exact ranks inside each bracket with a grouped count and a running sum.
-    if not state:
+    Returns ``{column: {rank: value}}``; columns with no values are omitted.  NaN sorts last.
+    ``accuracy`` and ``max_bracket`` of earlier versions are accepted; nothing depends on them any more."""
+    if unknown := set(earlier) - {"accuracy", "max_bracket", "max_rounds"}:
+        raise TypeError(f"unexpected arguments {sorted(unknown)}")
+    wanted = {c: sorted({r for r in rs if 0 <= r < counts.get(c, 0)}) for c, rs in ranks.items()}
+    cols = [c for c, rs in wanted.items() if rs]
+    if not cols:
         return {}
-    cols = list(state)
-    long = None
-    types = {c: df.schema[c].dataType.simpleString() for c in cols}
-    for kind in sorted(set(types.values())):  # one scan for all columns of a type
-        inside = [F.when(_in_bracket(qcol(c), state[c]["lo"], state[c]["hi"]), F.struct(F.lit(c).alias("column"), qcol(c).alias("v")))
-                  for c in cols if types[c] == kind]
-        part = df.select(F.explode(F.filter(F.array(*inside), lambda e: e.isNotNull())).alias("e")).select("e.column", "e.v")
-        long = part if long is None else long.unionByName(part)
-    g = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("cum", F.sum("cnt").over(w))
-    below_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(state[c]["below"]))])
-    g = g.withColumn("start", F.element_at(below_map, F.col("column")) + F.col("cum") - F.col("cnt"))
-    g = g.withColumn("stop", F.col("start") + F.col("cnt"))
-    want = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(r) for r in state[c]["ranks"]]))])
-    hits = g.where(
-        F.exists(F.element_at(want, F.col("column")), lambda r: (r >= F.col("start")) & (r < F.col("stop")))
-    ).select("column", "v", "start", "stop").collect()  # at most len(ranks) rows per column
+    types = {c: df.schema[c].dataType for c in cols}
+    # unsigned digits: the sign bit turned around
+    keys = {c: order_key(qcol(c), types[c]).bitwiseXOR(F.lit(-(1 << 63))) for c in cols}
+    #: (column, digits so far) -> [(rank inside, rank wanted)]
+    brackets = {(i, 0): [(r, r) for r in wanted[c]] for i, c in enumerate(cols)}
+    left = KEY_BITS
+    for width in _widths(sum(map(len, wanted.values()))):
+        brackets = _narrowed(df, [keys[c] for c in cols], brackets, left, width)
+        left -= width
     out: dict[str, dict[int, object]] = {c: {} for c in cols}
-    for row in hits:
-        for r in state[row["column"]]["ranks"]:
-            if row["start"] <= r < row["stop"]:
-                out[row["column"]][r] = row["v"]
+    for (i, digits), found in brackets.items():
+        value = key_value(digits - (1 << 63), types[cols[i]])
+        out[cols[i]].update((r, value) for _, r in found)
+    return out
+
+
+def _narrowed(df: DataFrame, keys: list[Column], brackets: dict, left: int, width: int) -> dict:
+    """One pass: the brackets with the next ``width`` of the ``left`` bits."""
+    cells = []
+    for i, key in enumerate(keys):
+        known = [digits for col, digits in brackets if col == i]
+        above = F.shiftrightunsigned(key, left) if left < KEY_BITS else F.lit(0).cast("bigint")
+        digit = F.shiftrightunsigned(key, left - width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        inside = key.isNotNull() & (above.isin(known) if left < KEY_BITS else F.lit(True))
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("col"), above.alias("above"), digit.alias("digit"))))
+    long = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    seen = long.groupBy("col", "above", "digit").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("col", "above").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("end", F.sum("n").over(w)).withColumn("first", F.col("end") - F.col("n"))
+    # the wanted ranks are a few literals, so finding them costs no join
+    asked = [F.struct(F.lit(i).alias("col"), F.lit(digits).cast("bigint").alias("above"), F.lit(inner).cast("bigint").alias("inner"), F.lit(rank).cast("bigint").alias("rank"))
+             for (i, digits), rs in brackets.items() for inner, rank in rs]
+    held = F.filter(F.array(*asked), lambda a: (a["col"] == F.col("col")) & (a["above"] == F.col("above")) & (a["inner"] >= F.col("first")) & (a["inner"] < F.col("end")))
+    hit = seen.select("col", "above", "digit", "first", F.explode(held).alias("a")).select("col", "above", "digit", "first", "a.inner", "a.rank")
+    out: dict = {}
+    for r in hit.select("col", "above", "digit", "first", "inner", "rank").collect():  # one row a wanted rank
+        out.setdefault((r["col"], r["above"] << width | r["digit"]), []).append((r["inner"] - r["first"], r["rank"]))
     return out
 
 
@@ -144,15 +149,13 @@ def median_ranks(n: int) -> list[int]:
     return sorted({(n - 1) // 2, n // 2})
 
 
-def exact_medians(df: DataFrame, counts: dict[str, int], **kw) -> dict[str, float]:
+def exact_medians(df: DataFrame, counts: dict[str, int], max_bracket: int = DEFAULT_MAX_BRACKET, **kw) -> dict[str, float]:
     """Median with two-middle interpolation (pandas / DuckDB ``median``), all columns at once.
 
     When every column has at most ``max_bracket`` values the exact ``median`` aggregate is used
-    directly (its per-column buffer is bounded by that proven count); otherwise the bracketed
-    selection narrows each column first."""
-    limit = kw.get("max_bracket", DEFAULT_MAX_BRACKET)
+    directly (its per-column buffer is bounded by that proven count); otherwise the digit selection."""
     live = {c: n for c, n in counts.items() if n > 0}
-    if live and max(live.values()) <= limit:
+    if live and max(live.values()) <= max_bracket:
         row = df.agg(*[F.median(qcol(c)).alias(c) for c in live]).first()
         return {c: float(row[c]) for c in live}
     ks = {c: median_ranks(n) for c, n in live.items()}
