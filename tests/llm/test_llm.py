@@ -494,7 +494,7 @@ def test_neighbours_against_brute_force(spark):
     x = rng.normal(size=(1500, 24)).astype("float32")
     x[700:900] = x[650]  # one vector many times
     rows = [(int(k), [float(c) for c in v], 1) for k, v in enumerate(x)]
-    rows += [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [1.0, None] * 12, 1), (5004, [1.0], 1), (None, rows[0][1], 1), rows[100]]
+    rows += [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [1.0, None] * 12, 1), (5004, [1.0], 1), (None, rows[0][1], 1), rows[101]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = ann.search(df, F.col("id") % 50 == 0).collect()
     x = x.astype(float)
@@ -522,15 +522,44 @@ def test_neighbours_edges(spark):
     assert ann.search(few.where("vec_id = 0"), F.col("id") % 100 == 0).count() == 0
 
 
+def test_rows_of_one_id_are_candidates_each(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 0.5]), (7, [1.0, 0.5]), (7, [5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect()
+    lists = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got)
+    a = [(7, 0.5), (7, 0.5), (100, round(2 ** 0.5, 6)), (7, round(41 ** 0.5, 6))]
+    b = [(7, round(1.25 ** 0.5, 6)), (7, round(1.25 ** 0.5, 6)), (100, round(2 ** 0.5, 6)), (7, round(41 ** 0.5, 6))]
+    assert lists == sorted((100, k + 1, *x) for side in (a, b) for k, x in enumerate(side))
+
+
 def test_probes_retrieve_the_whole_ball():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 32))
     codes = ann.learn(x)
-    index, c = ann.Index(np.arange(600), x, codes), codes.of(x)
-    for q in range(0, 600, 60):
-        for radius in (0, 3, 9, 17, 25):
-            want = np.flatnonzero(np.bitwise_count(c ^ c[q]).sum(axis=1) <= radius)
-            assert index.within(c[q], radius).tolist() == want.tolist()
+    index = ann.Index(np.arange(600), np.arange(600), x, codes)
+    bits = codes.bits(x)
+    for q in range(0, 600, 120):
+        far, met = (bits != bits[q]).sum(axis=1), set()
+        for radius, found in index.shells(bits[q]):
+            assert not met & set(found.tolist())
+            met |= set(found.tolist())
+            assert set(np.flatnonzero(far <= radius).tolist()) <= met
+        assert len(met) == 600
+
+
+def test_radius_shrinks_as_neighbours_come_nearer():
+    """Few buckets are read where neighbours are near: clusters of near copies among far rows."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(2000, 32)), 12, axis=0) + rng.normal(size=(24_000, 32)) * 0.05
+    codes = ann.learn(x[::5])
+    q = np.arange(0, 24_000, 400)
+    pairs = [(np.linalg.norm(x[j] - x[i]), (codes.bits(x[j][None]) != codes.bits(x[i][None])).sum()) for i in q for j in range(i - i % 12, i - i % 12 + 12) if i != j]
+    codes = ann.under_line(codes, *np.array(pairs).T)
+    index, hit = ann.Index(np.arange(24_000), np.arange(24_000), x, codes), 0
+    for i in q.tolist():
+        best, dist = index.nearest(i, x[i], 10)
+        true = np.argsort(np.linalg.norm(x - x[i], axis=1), kind="stable")[1:11]
+        hit += len(set(best.tolist()) & set(true.tolist()))
+    assert hit / (10 * len(q)) >= 0.9 and index.probed / len(q) < 0.05 * len(x)
 
 
 # ---------------------------------------------------------------- chat
