@@ -876,7 +876,6 @@ _ALGOS = {  # estimators the registered queries use per problem
     "step_price": ["Random Forest", "Gradient Boosting"],
     "dear_1f": ["Logistic Regression"],
 }
-_STAGES = {"levels": 30}  # boosters of the three-class problem; elsewhere the library's default
 _FITS: dict = {}
 
 
@@ -890,7 +889,7 @@ def _fit(spark, sf, problem, algorithm):
         train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
         prep, labels, lb, res = TR.train_all(spark, train, test, feats, target, ptype, keys=keys,
                                              algorithms=_ALGOS[problem], parallel=True,
-                                             params=TR.TrainParams(rf_max_depth=10, gbt_stages=_STAGES.get(problem, 100)))
+                                             params=TR.TrainParams(rf_max_depth=10))
         lb = spark.createDataFrame(lb.collect(), lb.schema)  # three rows, kept local
         ltype = df.schema[target].dataType.simpleString()
         _FITS[key] = {r.algorithm_name: (df, test, ScoringBundle(prep, r.model, ptype, r.algorithm_name, labels, ltype),
@@ -933,7 +932,7 @@ def _multi_props(spark, sf, algorithm):
 
 @register("train_gbt_classifier", _MULTI_TEST_SQL)
 def q_train_gbt_classifier(spark, sf):
-    # more than two classes: one-vs-rest boosting with probabilities from the per-class margins
+    # more than two classes: boosting on the joint softmax loss
     return _multi_props(spark, sf, "Gradient Boosting")
 
 

@@ -16,9 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +26,7 @@ from pyspark.sql import types as T
 from tabforge.functions.exprs import qcol
 from tabforge.operators.metrics import classification_metrics, regression_metrics
 from tabforge.operators.prep import FittedPrep
+from tabforge.plans.boosting import SoftmaxBoosting, SoftmaxBoostModel
 
 # fixed values: algorithm names and order per problem type
 CLASSIFICATION_ALGORITHMS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
@@ -85,9 +84,9 @@ def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams)
             ("Random Forest", RandomForestClassifier(numTrees=p.rf_trees, featureSubsetStrategy="sqrt",
                                                      maxDepth=p.rf_max_depth, maxBins=p.max_bins, seed=p.seed, labelCol=lab,
                                                      featuresCol=feat)),
-            # one booster per class, fitted as concurrent Spark jobs
-            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, labelCol=lab, featuresCol=feat,
-                                                                        parallelism=min(n_classes, 4))),
+            # three classes or more: one loss for all of them together
+            ("Gradient Boosting", gbt if n_classes <= 2 else SoftmaxBoosting(n_classes, p.gbt_stages, p.gbt_max_depth, p.gbt_step,
+                                                                            p.max_bins, p.seed, lab)),
         ]
     return [
         ("Linear Regression", LinearRegression(solver="normal", regParam=0.0, labelCol=lab, featuresCol=feat)),
@@ -99,22 +98,10 @@ def estimators(problem_type: str, n_classes: int, n_train: int, p: TrainParams)
 
 
 def probability_array(pred: DataFrame, model) -> Column:
-    """Class probabilities as array<double>; for one-vs-rest boosting derived from each
-    binary model's margin as sigmoid(2 * margin), normalised to sum 1."""
-    if isinstance(model, _OVR_MODEL):
-        raw = vector_to_array("rawPrediction")
-        s = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        tot = F.aggregate(s, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(s, lambda v: v / tot)
+    """Class probabilities as array<double>."""
     return vector_to_array("probability")
 
 
-try:
-    from pyspark.ml.classification import OneVsRestModel as _OVR_MODEL
-except ImportError:  # pragma: no cover
-    _OVR_MODEL = ()
-
-
 @dataclass
 class TrainedModel:
     algorithm_name: str
@@ -249,11 +236,11 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
 def model_class(problem_type: str, n_classes: int, algorithm: str):
     """Loader class for a saved model."""
     from pyspark.ml.classification import (
-        GBTClassificationModel, LogisticRegressionModel, OneVsRestModel, RandomForestClassificationModel,
+        GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel,
     )
     from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
     if problem_type == "classification":
         return {"Logistic Regression": LogisticRegressionModel, "Random Forest": RandomForestClassificationModel,
-                "Gradient Boosting": GBTClassificationModel if n_classes <= 2 else OneVsRestModel}[algorithm]
+                "Gradient Boosting": GBTClassificationModel if n_classes <= 2 else SoftmaxBoostModel}[algorithm]
     return {"Linear Regression": LinearRegressionModel, "Random Forest": RandomForestRegressionModel,
             "Gradient Boosting": GBTRegressionModel}[algorithm]
