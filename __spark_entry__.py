@@ -427,6 +427,28 @@ def q_score_json_records(spark, sf):
     return schema_ops.coerce_numeric_text(rec, ["k"])
 
 
+@register("record_key_union", """WITH r AS (SELECT event_id, left(trim(props), -1) || ', "' || event_type || '": ' || event_id || CASE WHEN user_id % 7 = 0 THEN ', "user": null}' ELSE '}' END AS rec FROM events),
+k AS (SELECT event_id, unnest(json_keys(rec)) AS key, generate_subscripts(json_keys(rec), 1) AS pos FROM r),
+f AS (SELECT key, row_number() OVER (ORDER BY min((event_id, pos))) - 1 AS ordinal FROM k GROUP BY key)
+SELECT event_id, ordinal::INT AS ordinal, key, json_extract_string(rec, '$."' || key || '"') AS value FROM r, f""")
+def q_record_key_union(spark, sf):
+    from tabforge.sources.records import parse_all_records
+    user = F.when(F.col("user_id") % 7 == 0, ', "user": null}').otherwise("}")
+    rec = F.concat(F.expr("substring(trim(props), 1, length(trim(props)) - 1)"), F.lit(', "'), "event_type", F.lit('": '), F.col("event_id").cast("string"), user)
+    wide = parse_all_records(fx.table(spark, sf, "events").select("event_id", rec.alias("rec")), "rec", ["event_id"])
+    cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("key"), F.col(c).alias("value")) for i, c in enumerate(wide.columns[1:])]
+    return wide.select("event_id", F.inline(F.array(*cells)))
+
+
+@register("csv_quoted_newlines", """SELECT p_partkey, p_name || chr(10) || 'second "line", of' || chr(10) || '"it"' AS p_name, p_size FROM part""")
+def q_csv_quoted_newlines(spark, sf):
+    from tabforge.sources.csv import write_csv
+    from tabforge.sources.csv_ranges import read_records as read_ranges
+    part = fx.table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit('\nsecond "line", of\n"it"')).alias("p_name"), "p_size")
+    path = write_csv(part, scratch_path(spark, "ranges"))
+    return read_ranges(spark, path).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", F.col("p_size").cast(part.schema["p_size"].dataType).alias("p_size"))
+
+
 # --------------------------------------------------------------------------- profile (C)
 from tabforge.operators import profile as prof  # noqa: E402
 

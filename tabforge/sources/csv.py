@@ -14,26 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions.exprs import INTEGER, na_string_to_null, qcol, try_double
+from tabforge.sources.csv_ranges import has_open_quotes, read_records
 
 BOOL_TEXT = ("True", "False", "TRUE", "FALSE", "true", "false")  # fixed values: pandas bool literals
 
 
-def has_open_quotes(spark: SparkSession, path: str, sep: str = ",") -> bool:
-    """Whether some physical line holds a quote that does not open or close a whole field of that line: a field
-    that goes on in the next line, or a stray quote.  One splittable pass over the text, ended at the first hit."""
-    by = "[" + ("\\" if sep in "\\^]-" else "") + sep + "]"
-    doubled = F.regexp_replace("value", '""', "")
-    rest = F.regexp_replace(doubled, f'(^|{by})"[^"]*"(?={by}|$)', "$1")
-    return not spark.read.text(path).where(F.contains(rest, F.lit('"'))).isEmpty()
-
-
 def read_csv_text(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
-    """Quoted fields may hold newlines, as for the reference's reader.  A file with such fields cannot be split, so
-    each file is one task; files without any are read in splits.  ``multi_line=None`` finds out which by a
-    pass over the lines (``has_open_quotes``); True or False saves that pass."""
-    if multi_line is None:
-        multi_line = has_open_quotes(spark, path, sep)
-    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+    """Quoted fields may hold newlines, as for the reference's reader.  ``multi_line=None`` finds out by a pass over the lines
+    whether any does and reads such files in byte ranges too (``csv_ranges``); False saves that pass where none does, True
+    is Spark's own reader with one task a file."""
+    if multi_line is None and has_open_quotes(spark, path, sep):
+        return read_records(spark, path, sep)
+    return (spark.read.option("header", True).option("inferSchema", False).option("multiLine", bool(multi_line))
             .option("escape", '"').option("sep", sep).option("nullValue", None)
             .option("emptyValue", "").csv(path))
 

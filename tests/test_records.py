@@ -4,7 +4,7 @@ import json
 
 
 from tabforge.operators.prep import FittedPrep
-from tabforge.sources.records import explode_payload
+from tabforge.sources.records import explode_payload, parse_all_records, read_records
 
 
 def test_payload_variants_score_like_serving(spark):
@@ -33,3 +33,18 @@ def test_payload_variants_score_like_serving(spark):
     unseen = (d - prep.stats["Sex"][0]) / prep.stats["Sex"][1]
     assert out[3]["Sex"] == out[4]["Sex"] == unseen
     assert out[5]["Pclass"] == out[0]["Pclass"]
+
+
+def test_union_of_keys_in_order_of_first_appearance(spark, tmp_path):
+    records = [{"b": 1, "a": "x"}, {"c.d": [1, 2]}, {"a": None, "e`f": {"g": 1}}, {}, {"B": 7}]
+    path = tmp_path / "r.json"
+    path.write_text("\n".join(map(json.dumps, records)) + "\nnot json\n")
+    got = read_records(spark, str(path))
+    assert got.columns == ["b", "a", "c.d", "e`f", "B_2"]
+    assert [tuple(r) for r in got.collect()][:4] == [("1", "x", None, None, None), (None, None, "[1,2]", None, None), (None, None, None, '{"g":1}', None), (None,) * 5]
+    assert got.count() == 6
+    df = spark.createDataFrame([(9 - k, json.dumps(r), "kept") for k, r in enumerate(records)] + [(0, None, "kept")], "k int, rec string, a string")
+    wide = parse_all_records(df.repartition(3), "rec", ["k"])
+    assert wide.columns == ["k", "B", "a", "e`f", "c.d", "b_2"] and wide.where("k = 9").first()["a"] == "x"
+    none = parse_all_records(df.where("k = 0"), "rec", ["k"])
+    assert none.columns == ["k", "a"] and none.count() == 1
