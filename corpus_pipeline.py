@@ -19,8 +19,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the lines that its source repeats."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Every document, less the lines that its source repeats.  A document that would lose every line is a copy of others and
+    goes on whole: emptied, all such groups would be one to the next stage, which would keep none of their texts."""
+    return line_dedup.dedup_lines(docs, keep_whole=True).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
