@@ -68,6 +68,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def quoted_column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
 def whole(text: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

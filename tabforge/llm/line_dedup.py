@@ -8,10 +8,11 @@ boilerplate.  Counting shuffles only (site, 128-bit line hash) with partial sums
 is pre-summed, not gathered.  What a site drops is bounded: each such line takes over ``ratio`` of its pages, so there
 are fewer than (mean lines a page) / ratio of them however large the site.  They travel as one short array a
 site, which joins the pages as a broadcast if counted small enough, else by a shuffle join in which AQE splits a hot
-site's pages (its array is a single row).  Lines then go row by row, in order, without a second look at the pages' keys.
+site's pages (its array is a single row).  A page's lines meet that array in one hashed intersection, then go row by row, in order.
 
-Null sites are one site; null and empty texts stay as they are; a page every line of which is boilerplate is left
-whole (it is a copy of a page, a matter for document deduplication) unless ``keep_whole`` is off; repeated rows count as pages each.
+Null sites are one site; null and empty texts stay as they are; repeated rows count as pages each.  A page every line of which is
+boilerplate keeps its blank lines alone, and a deduplication after that sees all such pages as one text; with ``keep_whole`` such a
+page, which is the copy of a page, is left whole for it.  Columns may have any names; n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import whole
+from tabforge.llm.common import fresh, quoted, quoted_column, whole, without
 from tabforge.session import cut_lineage
 
 RATIO, MIN_PAGES, BROADCAST_LINES = 0.01, 5, 200_000
@@ -42,22 +43,23 @@ def boilerplate(pages: DataFrame, text: str = "text", site: str = "source", rati
 
 
 def dedup_lines(pages: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                keep_whole: bool = True) -> DataFrame:
+                keep_whole: bool = False) -> DataFrame:
     """``pages`` with the text less its site's boilerplate lines, and n_lines, n_dropped (of the text before)."""
     bad = cut_lineage(boilerplate(pages, text, site, ratio, min_pages))
     size = bad.agg(F.coalesce(F.sum(F.size("_bad") + F.lit(1)), F.lit(0)).alias("n")).first()["n"]
-    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    p = pages.select(*kept).withColumn("_site", F.coalesce(F.col(site).cast("string"), F.lit("")))
-    j = p.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, "_site", "left")
-    # a null hash (white space only) is in no array
-    j = j.withColumn("_keep", F.when(F.col("_bad").isNotNull() & F.col(text).isNotNull(), F.expr(
-        f"filter({_lines(f'`{text}`')}, x -> x.h IS NULL OR NOT array_contains(_bad, x.h))")))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1))).cast("long")
-    j = j.withColumn("n_lines", n_lines)
-    gone = F.when(F.col("_keep").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_keep"))
+    kept = without(pages, "n_lines", "n_dropped")
+    at, listed, t, hits, left, n, gone = fresh(pages, "site", "bad", "text", "hits", "left", "lines", "dropped")
+    p = pages.select(*[quoted(c) for c in kept], F.coalesce(F.col(site).cast("string"), F.lit("")).alias(at), F.col(text).alias(t))
+    bad = bad.select(F.col("_site").alias(at), F.col("_bad").alias(listed))
+    j = p.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, at, "left")
+    # the page's own listed lines, found by hashing; a null hash (white space only) is none
+    j = j.withColumn(hits, F.when(F.col(listed).isNotNull() & F.col(t).isNotNull(), F.expr(
+        f"array_intersect(filter(transform({_lines(t)}, x -> x.h), h -> h IS NOT NULL), {listed})"))).drop(listed)
+    j = j.withColumn(left, F.when(F.size(hits) > 0, F.expr(f"filter({_lines(t)}, x -> x.h IS NULL OR NOT array_contains({hits}, x.h))")))
+    j = j.withColumn(n, F.when(F.col(t).isNull(), 0).otherwise(F.size(F.split(F.col(t), "\n", -1))).cast("long"))
+    lost = F.when(F.col(left).isNull(), F.lit(0)).otherwise(F.col(n) - F.size(left))
     if keep_whole:
-        left = F.expr("exists(_keep, x -> x.h IS NOT NULL)")
-        gone = F.when(F.coalesce(left, F.lit(True)), gone).otherwise(F.lit(0))
-    j = j.withColumn("n_dropped", gone.cast("long"))
-    cut = F.when(F.col("n_dropped") > 0, F.expr("array_join(transform(_keep, x -> x.l), '\n')")).otherwise(F.col(text))
-    return j.withColumn(text, cut).select(*kept, "n_lines", "n_dropped")
+        lost = F.when(F.coalesce(F.expr(f"exists({left}, x -> x.h IS NOT NULL)"), F.lit(True)), lost).otherwise(F.lit(0))
+    j = j.withColumn(gone, lost.cast("long"))
+    cut = F.when(F.col(gone) > 0, F.expr(f"array_join(transform({left}, x -> x.l), '\n')")).otherwise(F.col(t))
+    return j.select(*[cut.alias(c) if c == text else quoted_column(c) for c in kept], F.col(n).alias("n_lines"), F.col(gone).alias("n_dropped"))

@@ -43,10 +43,10 @@ n AS (SELECT site, count(*) AS pages FROM d GROUP BY site),
 f AS (SELECT site, k FROM t JOIN n USING (site) WHERE k <> '' GROUP BY site, k, pages
       HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > {line_dedup.RATIO} * pages),
 m AS (SELECT t.*, f.k IS NOT NULL AS bad FROM t LEFT JOIN f USING (site, k)),
-w AS (SELECT r, count(*) FILTER (NOT bad AND k <> '') > 0 AS any_left, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
-      string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad) AS cleaned FROM m GROUP BY r)
-SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN any_left THEN n_bad ELSE 0 END)::BIGINT AS n_dropped,
-       CASE WHEN any_left AND n_bad > 0 THEN cleaned ELSE text END AS text FROM d LEFT JOIN w USING (r)""")
+w AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad,
+      coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS cleaned FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_bad, 0)::BIGINT AS n_dropped,
+       CASE WHEN n_bad > 0 THEN cleaned ELSE text END AS text FROM d LEFT JOIN w USING (r)""")
 def op3(spark, sf):
     return line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "n_lines", "n_dropped", "text")
