@@ -1,8 +1,8 @@
 """Quality scores by compression with zstandard dictionaries of good and of bad labelled text.
 
-Fitting uses a bounded sample of labelled rows, ``MAX_ROWS`` of each label (the ids of smallest hash), of whose
-texts at most ``MAX_SEGMENTS`` pieces a label (again the smallest hashes) become the two dictionaries, both trained over all of
-them at every size (of up to ``DICT_BYTES``, less for less text; the pieces as they are where either label's all fit); half of the sampled
+Fitting uses a bounded sample of labelled rows: of each label the ids of smallest hash, at most ``MAX_ROWS`` of them and as many as
+together hold at most ``MAX_BYTES`` of text (rows come whole or not at all).  Each label's dictionary is trained, in the same way at every size, over all
+pieces of its sampled texts, of up to ``DICT_BYTES`` (less for less text); half of the sampled
 documents feed the dictionaries and the other half the calibration.  A text is cut into blocks of ``BLOCK`` bytes
 and each block is compressed with either dictionary, so long texts do not wash the difference out.  The inputs are the difference
 of the two compressed sizes, normalised by the larger one and by the text's bytes, and the two normalised sizes it is the difference of; a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import id_bucket, one_label, ship, whole
 
-MAX_ROWS, MAX_SEGMENTS, BLOCK, DICT_BYTES, LEVEL = 4000, 12_000, 512, 112_640, 3
+MAX_ROWS, MAX_BYTES, BLOCK, DICT_BYTES, LEVEL = 4000, 24 << 20, 512, 112_640, 3
 
 
 @dataclass(frozen=True)
@@ -104,15 +104,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     if len(counts) < 2:
         return constant(share)
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
-    sample = known.where(F.col(label) == 0).orderBy(by_hash, "doc_id").limit(MAX_ROWS).unionByName(
+    first = known.where(F.col(label) == 0).orderBy(by_hash, "doc_id").limit(MAX_ROWS).unionByName(
         known.where(F.col(label) == 1).orderBy(by_hash, "doc_id").limit(MAX_ROWS))
     # at most 2 * MAX_ROWS ids: the side to broadcast is bounded by the parameter
-    rows = docs.select("doc_id", whole(text).alias("t")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", whole(text).alias("t"))
+    sizes_of = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", label).agg(F.sum(F.octet_length("t")).alias("n")).orderBy(by_hash, "doc_id").collect()
+    sample, room = [], {0: MAX_BYTES, 1: MAX_BYTES}
+    for r in sizes_of:
+        if r["n"] <= room[r[label]]:
+            room[r[label]] -= r["n"]
+            sample.append((r["doc_id"], r[label]))
+    sample = docs.sparkSession.createDataFrame(sample, first.schema)
+    rows = texts.join(F.broadcast(sample), "doc_id")
     side = F.pmod(F.xxhash64(F.lit("side"), "doc_id"), F.lit(2))
     pieces = rows.where((side == 0) & (F.length("t") > 0)).select(label, F.explode(F.expr(
         f"transform(sequence(0, int((octet_length(t) - 1) / {BLOCK})), k -> substring(encode(t, 'utf-8'), k * {BLOCK} + 1, {BLOCK}))")).alias("piece"))
     pieces = pieces.select(label, "piece", F.xxhash64(F.lit("piece"), "piece").alias("h"))
-    halves = {k: [bytes(r["piece"]) for r in pieces.where(F.col(label) == k).dropDuplicates(["h"]).orderBy("h").limit(MAX_SEGMENTS).collect()] for k in (0, 1)}
+    halves = {k: [bytes(r["piece"]) for r in pieces.where(F.col(label) == k).dropDuplicates(["h"]).orderBy("h").collect()] for k in (0, 1)}
     good, bad = dictionaries(halves[1], halves[0])
     if not good or not bad:
         return constant(share)
@@ -136,9 +144,7 @@ def constant(share: float) -> Model:
 
 
 def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
-    """The two labels' dictionaries, made alike: the pieces themselves if all of either label's fit, else both trained."""
-    if all(sum(map(len, pieces)) <= DICT_BYTES for pieces in (good, bad)):
-        return b"".join(good), b"".join(bad)
+    """The two labels' dictionaries, made alike."""
     return trained(good), trained(bad)
 
 
