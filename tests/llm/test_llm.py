@@ -108,6 +108,39 @@ def test_bpe_words_forgotten_and_long_words(monkeypatch):
 
 
 # ---------------------------------------------------------------- SimHash
+def test_bpe_long_texts_and_long_words(monkeypatch):
+    """Runs and windows against the library: letter runs, repeats of every period, texts over a slice."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    c = bpe.Codec(RANKS, P.PATTERN)
+    words = [rng_text(rng, n, "abcdefghijklmnopqrstuvwxyz") for n in (513, 1024, 5000, 20_000)] + [rng_text(rng, 3000, "=-#"), rng_text(rng, 4000, "aeé")]
+    words += [("abcdefghijk"[:p] * 3000)[:2000 + p] for p in range(1, 12)] + ["a" * 9000, "=" * 2500, "ab" * 700 + "c", "中" * 900, rng_text(rng, 2000, "0123456789")]
+    for w in words:
+        assert c.encode([w])[0].tolist() == lib.encode_ordinary(w), w[:20]
+    monkeypatch.setattr(bpe, "RUN_WORDS", 50)
+    monkeypatch.setattr(bpe, "RUN_IDS", 70)
+    text = "\n".join(words[:3]) + " " + rng_text(rng, 6000, "abc de fg  \n.") + " end"
+    ids = np.concatenate(list(c.runs(text)))
+    assert ids.tolist() == lib.encode_ordinary(text) and b"".join(c.spelled(ids)) == text.encode()
+    n, a, b = bpe.digest(c, text)
+    assert (n, a, b) == (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_of_a_very_long_text(spark):
+    base = " ".join(rng_text(random.Random(1), 9, "abcdefgh") for _ in range(3000)) + " "
+    text = (base + "word " * 7000) * 70  # over 4 MB a row, several slices
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").withColumn("__codes", F.lit("clash"))
+    got = {r["doc_id"]: r for r in bpe.round_trip(df, RANKS, P.PATTERN).collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[1]["__codes"] == "clash"
+    back = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN).where("doc_id = 1").first()
+    assert bytes(back["decoded"]) == text.encode() and len(back["ids"]) == got[1]["n_tokens"]
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 
@@ -225,14 +258,25 @@ def test_components_of_chains_and_stars(spark):
 def test_line_dedup_by_hand(spark, nothing):
     rows = [(k, f"menu \nonly {k}\n\n menu", "a") for k in range(8)] + [(20, "menu", "a"), (21, None, "a"), (22, "", "a")]
     rows += [(k, f"menu\nown {k}", "b") for k in range(30, 34)] + [(40, "menu\nz", None), (41, "menu\ny", None)]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=5, ratio=0.5).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=5, ratio=0.5, keep_whole=True).collect()}
     assert got[3]["text"] == "only 3\n" and (got[3]["n_lines"], got[3]["n_dropped"]) == (4, 2)
     assert got[20]["text"] == "menu" and got[20]["n_dropped"] == 0  # nothing else would be left
     assert got[21]["text"] is None and got[21]["n_lines"] == 0 and got[22]["text"] == ""
     assert got[31]["text"] == "menu\nown 31" and got[40]["text"] == "menu\nz"  # too few pages
     assert line_dedup.dedup_lines(nothing).count() == 0
-    cut = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=5, ratio=0.5, keep_whole=False)
-    assert cut.where("doc_id = 20").first()["text"] == ""
+    cut = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=5, ratio=0.5)
+    assert tuple(cut.where("doc_id = 20").select("text", "n_lines", "n_dropped").first()) == ("", 1, 1)
+
+
+def test_line_dedup_with_clashing_names_and_long_lists(spark):
+    listed = [f"menu {k}" for k in range(400)]
+    rows = [(k, "\n".join([f"own {k}", *listed[k % 3::3]]), "a") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["_site", "_bad", "_keep", "_t", "__site", "__bad", "__text", "__hits", "__left", "__lines", "__dropped", "N_Lines"]
+    got = line_dedup.dedup_lines(df.select("*", *[F.lit("clash").alias(c) for c in names]), ratio=0.05)
+    assert got.columns == ["doc_id", "text", "source", *names[:-1], "n_lines", "n_dropped"]
+    for r in got.collect():
+        assert r["text"] == f"own {r['doc_id']}" and r["n_dropped"] == r["n_lines"] - 1 and all(r[c] == "clash" for c in names[:-1])
 
 
 def test_line_dedup_drops_a_line_on_a_few_pages_in_a_hundred(spark):
