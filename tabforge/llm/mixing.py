@@ -7,13 +7,13 @@ normalised.  The exponent is bisected on a grid of 2 ** -20: the largest whose e
 candidate exponents over the table of sources; only those 33 sums come to the driver.
 
 The budget is the smallest with which every document is used at least once, so nothing is dropped: a source gets its weight's part of it,
-as whole epochs and one partial epoch.  A source's documents are dealt by hash to at most ``BLOCKS`` blocks of about
-``BLOCK_TOKENS`` tokens, and an epoch is a seeded permutation of the blocks.  The partial epoch takes blocks in its
+as whole epochs and one partial epoch.  A source's documents are dealt by hash to blocks of about
+``BLOCK_TOKENS`` tokens, at most ``BLOCKS`` of them or, for larger sources, the square root of its tokens, and an epoch is a seeded permutation of the blocks.  The partial epoch takes blocks in its
 permuted order while the budget lasts, and in the one block where it ends, documents by hash while it lasts.  A copy's place
 in its source's stream, as a fraction, gives the ``mix_block`` of the mix, so every block of the mix has the target weights.
 
 Token counts, block totals and source totals are grouped sums (pre-aggregated, a hot source is no hot task); windows run over one source's
-blocks, at most BLOCKS rows, or one block's documents.  Text goes through row by row: the tables of sources and blocks join it as broadcasts
+blocks or one block's documents, both of which grow with the square root of a large source.  Text goes through row by row: the tables of sources and blocks join it as broadcasts
 if counted small enough, else by (source, block), which splits a hot source.
 
 Tokens are words of non-space characters.  Null and empty sources are one source, ''; a source without tokens, like documents without
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import WORD, md5_long, whole
+from tabforge.llm.common import WORD, md5_long, whole, without
 from tabforge.session import cut_lineage
 
 ENTROPY_SHARE, MAX_REPEAT, BLOCK_TOKENS, BLOCKS, MIX_TOKENS, BROADCAST_ROWS = 0.9, 4.0, 16_384, 4096, 1_000_000, 100_000
@@ -72,8 +72,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         max_repeat: float = MAX_REPEAT, seed: int = 7) -> DataFrame:
     """``docs``, each row once for every epoch that reads it, with n_tokens, epoch (from 0), weight of its source, and
     mix_block, mix_order: the order of the mix."""
-    kept = [c for c in docs.columns if c not in RESULT]
-    base = docs.select(*kept).withColumn("_site", _site(source))
+    kept = without(docs, *RESULT)
+    # the documents' columns go by number, so that none can have a name used here
+    at = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*at.values())
+    text, source, doc_id = at[text], at[source], at[doc_id]
+    base = docs.select(*dict.fromkeys([*[at[c] for c in kept], text, source, doc_id])).withColumn("_site", _site(source))
     base = base.withColumn("n_tokens", F.regexp_count(whole(text), F.lit(WORD)).cast("long")).withColumn("_h", md5_long(F.lit(seed), doc_id))
     narrow = cut_lineage(base.select("_site", "_h", "n_tokens"))
     sources = cut_lineage(narrow.groupBy("_site").agg(F.sum("n_tokens").alias("_total")))
@@ -83,7 +87,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     z = sources.agg(F.sum(share)).first()[0] or 1.0
     weighed = sources.withColumn("weight", F.round(share / F.lit(z), 9))
     budget = weighed.where("weight > 0").agg(F.max(F.ceil(F.col("_total") / F.col("weight")))).first()[0] or 0
-    blocks = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("_total") / F.lit(BLOCK_TOKENS)))).cast("long")
+    most = F.greatest(F.lit(BLOCKS), F.ceil(F.sqrt(F.col("_total"))))
+    blocks = F.greatest(F.lit(1), F.least(most, F.ceil(F.col("_total") / F.lit(BLOCK_TOKENS)))).cast("long")
     mine = F.greatest(F.col("_total"), F.floor(F.lit(float(budget)) * F.col("weight")).cast("long"))
     plan = cut_lineage(weighed.withColumn("_blocks", blocks).withColumn("_budget", mine)
                        .withColumn("_epochs", F.when(F.col("_total") > 0, F.floor(F.col("_budget") / F.col("_total"))).otherwise(1).cast("long"))
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         F.least(F.lit(n_mix - 1), F.floor(share_before * F.lit(n_mix))).cast("long").alias("mix_block"))
     out = with_plan(base).drop(*[c for c in plan.columns if c != "_site"]).join(F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells, ["_site", "_block"])
     out = out.where(F.col("_upto").isNull() | (F.col("_h") <= F.col("_upto")))
-    return out.withColumn("mix_order", md5_long(F.lit(seed), "epoch", doc_id)).select(*kept, *RESULT)
+    return out.withColumn("mix_order", md5_long(F.lit(seed), "epoch", doc_id)).select(*[F.col(at[c]).alias(c) for c in kept], *RESULT)
 
 
 def oracle(entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, seed: int = 7) -> str:
@@ -146,7 +151,7 @@ expo AS (SELECT least({n}, greatest((SELECT lo FROM e{ROUNDS - 1}), (SELECT CASE
 powered AS (SELECT site, total, CASE WHEN total > 0 THEN pow(total / every, a) ELSE 0.0 END AS q FROM s, ext, expo),
 weighed AS (SELECT site, total, round(q / (SELECT sum(q) FROM powered), 9) AS weight FROM powered),
 b AS (SELECT max(ceil(total / weight))::DOUBLE AS budget FROM weighed WHERE weight > 0),
-plan1 AS (SELECT site, total, weight, greatest(1, least({BLOCKS}, ceil(total / {BLOCK_TOKENS}.0)))::BIGINT AS blocks, greatest(total, floor(budget * weight)::BIGINT) AS mine FROM weighed, b),
+plan1 AS (SELECT site, total, weight, greatest(1, least(greatest({BLOCKS}, ceil(sqrt(total))), ceil(total / {BLOCK_TOKENS}.0)))::BIGINT AS blocks, greatest(total, floor(budget * weight)::BIGINT) AS mine FROM weighed, b),
 plan AS (SELECT *, CASE WHEN total > 0 THEN mine // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN mine - (mine // total) * total ELSE 0 END AS rest FROM plan1),
 dealt AS (SELECT d.*, d.h % p.blocks AS block FROM d JOIN plan p USING (site)),
 cells AS (SELECT x.site, x.block, x.tokens, e.epoch, p.* EXCLUDE (site), sum(x.tokens) OVER (PARTITION BY x.site, e.epoch ORDER BY {md5_of(str(seed), 'x.site', 'e.epoch', 'x.block')}, x.block) - x.tokens AS before

@@ -321,6 +321,16 @@ def test_mix_uses_every_document_and_meets_the_weights(spark):
         assert len(ids) == len(set(ids))
 
 
+def test_mix_with_clashing_names(spark):
+    rows = [(k, "w " * (k % 9), f"s{k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["_site", "_total", "_h", "_block", "_left", "_upto", "_blocks", "__c0", "Epoch", "weight"]
+    plain = sorted(tuple(r) for r in mixing.mix(df).collect())
+    got = mixing.mix(df.select(*[F.lit("clash").alias(c) for c in names], "*"))
+    assert got.columns == [*names[:-2], "doc_id", "text", "source", *mixing.RESULT]
+    assert sorted(tuple(r)[8:] for r in got.collect()) == plain
+
+
 def test_mix_exponent_by_plain_bisection(spark):
     totals = {"a": 100_000, "b": 3000, "c": 700, "d": 50}
     df = spark.createDataFrame(list(totals.items()), "_site string, _total long")
