@@ -1,14 +1,16 @@
 """Toxic passages by maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Fitting uses a bounded sample of labelled rows (``MAX_ROWS`` a label, the ids of smallest hash; half for the words,
-half for the calibration).  A token is a word with its beginnings of 3 to 6 letters, so inflected forms share evidence.  The
+Fitting uses a bounded sample of labelled rows (``MAX_ROWS`` a label, the ids of smallest hash).  All of them give the words; for the
+calibration each half of them is judged by words from the other half.  ``Z`` and ``POWER`` were chosen by three-fold cross-validation
+inside fit rows alone.  A token is a word with its beginnings of 3 to 6 letters, so inflected forms share evidence.  The
 numbers of texts with each by label, summed in Spark, give log-odds with an informative Dirichlet prior: ``PRIOR`` of the number in both labels
 together.  Each piece's log-odds, of either sign, are shrunk by their standard error: at ``Z`` of them half is left, more above and less
 below, and none is cut.  A token scores its strongest piece's shrunk log-odds less a
-constant drift, and an unknown token minus the drift, so clean text drifts down.  In a text a linear scan finds all
+constant drift, and an unknown token minus the drift, so clean text drifts down; a drift of 1 keeps a language or a topic with up to e times the
+odds of others from being evidence by its own words.  In a text a linear scan finds all
 maximal scoring segments: each is a run whose score no extension raises and that overlaps no other.  For clean text the best
-segment follows an extreme-value law: its decay is the positive root of E exp(decay * score) = 1 over the calibration half's clean tokens, its
-location is fitted on the same texts.  A segment's evidence is decay * score - ln(K * length); significant ones (over 0) are
+segment follows an extreme-value law: its decay is the positive root of E exp(decay * score) = 1 over the other half's clean tokens, its
+location is fitted on the same texts; the two halves' values are averaged.  A segment's evidence is decay * score - ln(K * length); significant ones (over 0) are
 passages.  A logistic curve in the best evidence and the sum of significant evidence gives the score.
 
 Scoring is one narrow map over whole texts with a bounded word list.  Null and empty texts have no evidence; without
@@ -26,14 +28,14 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import id_bucket, one_label, ship, whole
+from tabforge.llm.common import fresh, id_bucket, one_label, quoted, ship, whole, without
 from tabforge.llm.quality import fit_curve
 from tabforge.session import cut_lineage
 
-MAX_ROWS, Z, PRIOR, DRIFT, KEEP_WORDS = 6000, 3.0, 0.1, 0.25, 500_000
+MAX_ROWS, Z, POWER, PRIOR, DRIFT, KEEP_WORDS = 6000, 2.0, 6, 0.1, 1.0, 500_000
 #: pieces weaker than this are no entry in the model: they would move a token's score by less than a hundredth of the drift
 TRACE = 0.0025
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -119,6 +121,16 @@ class Model:
         x = min(20.0, max(-20.0, best)), math.log1p(sum(max(0.0, e) for *_, e in found)), math.log1p(len(found))
         return x, sum(e > 0 for *_, e in found)
 
+    def measured(self, text: Column) -> Column:
+        """The curve's inputs of a column of texts."""
+        model = self
+
+        @F.pandas_udf("array<double>")
+        def inputs(texts: pd.Series) -> pd.Series:
+            return pd.Series([list(map(float, model.inputs(t))) for t in texts], dtype=object)
+
+        return inputs(text)
+
     def score(self, docs: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
         """``docs`` with score, predicted and n_passages (the number of significant ones)."""
         ship(docs.sparkSession)
@@ -131,8 +143,10 @@ class Model:
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights or (0, 0, 0)) + model.offset, -50, 50)))
             return pd.DataFrame({"score": p, "n_passages": np.array([n for _, n in seen], "int32")})
 
-        kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "n_passages")]).withColumn("_s", judge(whole(text)))
-        return kept.select(*[c for c in kept.columns if c != "_s"], "_s.*").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        kept = without(docs, "score", "predicted", "n_passages")
+        verdict, = fresh(docs, "verdict")
+        judged = docs.select(*[quoted(c) for c in kept], judge(whole(text)).alias(verdict))
+        return judged.select(*[quoted(c) for c in kept], f"{verdict}.*", (F.col(f"{verdict}.score") >= threshold).cast("int").alias("predicted"))
 
     def find(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with passages: the significant segments as (first token, last token, evidence)."""
@@ -169,27 +183,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 
     def tally(batches):
         for b in batches:
-            seen = {k: Counter() for k in (0, 1)}
-            for t, y in zip(b["t"], b["y"], strict=True):
-                seen[y].update({p for w in set(tokens(t)) for p in pieces(w)})
-            yield pd.DataFrame([(w, seen[1][w], seen[0][w]) for w in {*seen[0], *seen[1]}], columns=["word", "yes", "no"])
-
-    by_word = rows.where(side == 0).select("t", F.col(label).alias("y")).mapInPandas(tally, "word string, yes long, no long")
-    by_word = cut_lineage(by_word.groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
-    n = by_word.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
-    if not n["yes"] or not n["no"]:
+            seen = {(j, k): Counter() for j in (0, 1) for k in (0, 1)}
+            for t, y, j in zip(b["t"], b["y"], b["side"], strict=True):
+                seen[j, y].update({p for w in set(tokens(t)) for p in pieces(w)})
+            words = set().union(*seen.values())
+            yield pd.DataFrame([(w, *(seen[j, k][w] for j in (0, 1) for k in (0, 1))) for w in words], columns=["word", "no0", "yes0", "no1", "yes1"])
+
+    counted = rows.select("t", F.col(label).alias("y"), side.alias("side")).mapInPandas(tally, "word string, no0 long, yes0 long, no1 long, yes1 long")
+    by_word = cut_lineage(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")]))
+    halves = [lexicon(by_word, F.col(f"yes{j}"), F.col(f"no{j}")) for j in (0, 1)]
+    words = lexicon(by_word, F.col("yes0") + F.col("yes1"), F.col("no0") + F.col("no1"))
+    if not words or not all(halves):
         return constant(share)
+    # each half's texts are judged by the other half's words
+    models, seen = [], []
+    for j in (0, 1):
+        others = rows.where(side == 1 - j)
+        decay, location = law(halves[j], others.where(F.col(label) == 0))
+        models.append(Model(halves[j], decay, location, (), 0.0))
+        seen += others.select(label, models[j].measured(F.col("t")).alias("x")).collect()  # three numbers a sampled row
+    decay, location = (float(np.mean([getattr(m, c) for m in models])) for c in ("decay", "location"))
+    y = np.array([r[label] for r in seen], float)
+    if len(set(y)) < 2:
+        return constant(share)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    weights, offset = fit_curve(np.array([r["x"] for r in seen]), y, weight)
+    return Model(words, decay, location, tuple(map(float, weights)), offset)
+
+
+def shrunk(odds: Column, spread: Column) -> Column:
+    """Log-odds shrunk by their standard error: at ``Z`` of them half is left."""
+    trust = F.pow(odds / (F.lit(Z) * spread), F.lit(POWER))
+    return odds * trust / (trust + 1)
+
+
+def lexicon(by_word: DataFrame, yes: Column, no: Column) -> dict[str, float]:
+    """Shrunk log-odds of the pieces that ``yes`` and ``no`` texts hold; empty if a label has none or nothing scores above the drift."""
+    c = by_word.select("word", yes.alias("yes"), no.alias("no")).where("yes + no > 0")
+    n = c.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
+    if not n["yes"] or not n["no"]:
+        return {}
     prior, mass = F.lit(PRIOR) * (F.col("yes") + F.col("no")), PRIOR * (n["yes"] + n["no"])
-    odds = [F.ln((F.col(c) + prior) / (F.lit(n[c] + mass) - F.col(c) - prior)) for c in ("yes", "no")]
+    side = [F.ln((F.col(k) + prior) / (F.lit(n[k] + mass) - F.col(k) - prior)) for k in ("yes", "no")]
     spread = F.sqrt(1 / (F.col("yes") + prior) + 1 / (F.col("no") + prior))
-    odds = odds[0] - odds[1]
-    trust = F.pow(odds / (F.lit(Z) * spread), F.lit(6))
-    scored = by_word.select("word", (odds * trust / (trust + 1)).alias("odds")).where(F.abs("odds") >= TRACE)
+    scored = c.select("word", shrunk(side[0] - side[1], spread).alias("odds")).where(F.abs("odds") >= TRACE)
     # at most the words of the bounded sample
     words = {r["word"]: r["odds"] for r in scored.orderBy("word").collect()}
-    top = max(words.values(), default=0.0) - DRIFT
-    if top <= 0:
-        return constant(share)
+    return words if max(words.values(), default=0.0) > DRIFT else {}
+
+
+def law(words: dict[str, float], clean: DataFrame) -> tuple[float, float]:
+    """Decay and location of the extreme-value law of the best segments of clean texts ``t``."""
+    top = max(words.values()) - DRIFT
     raw = Model(words, 1.0, 0.0, (), 0.0)
 
     def spent(batches):
@@ -199,7 +244,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 n.update(round(raw.lexicon[w] - DRIFT, 3) for w in tokens(t))
             yield pd.DataFrame(list(n.items()), columns=["score", "n"])
 
-    clean = rows.where((side == 1) & (F.col(label) == 0))
     # scores in thousandths: a few thousand rows; half a token of the highest score, should clean text have none above zero
     per_score = clean.select("t").mapInPandas(spent, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()
     gains = np.array([top] + [r["score"] for r in per_score])
@@ -213,36 +257,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     while excess(high) < 0:
         high *= 2
     for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    raw = Model(words, low, 0.0, (), 0.0)
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
+    decay = (low + high) / 2
+    judge = Model(words, decay, 0.0, (), 0.0)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("double")
     def best(texts: pd.Series) -> pd.Series:
-        return pd.Series([[float(max((e for *_, e in raw.passages(t)[1]), default=-1e9))] for t in texts], dtype=object)
+        return pd.Series([max((e for *_, e in judge.passages(t)[1]), default=-1e10) for t in texts], dtype="float64")
 
-    # at most 2 * MAX_ROWS rows of a few numbers
-    seen = [r["x"][0] for r in clean.select(best("t").alias("x")).collect()]
+    seen = [r["x"] for r in clean.select(best("t").alias("x")).collect()]  # one number a sampled row
     hit = sorted(x for x in seen if x > -1e9)
     # a text without a scoring token has no segment; the law's location puts the rest's share at its place
-    location = 0.0
-    if hit:
-        k = 0.9
-        q = float(np.quantile(np.array(seen), k)) if len(hit) > (1 - k) * len(seen) else hit[-1]
-        location = q + math.log(-math.log(k))
-    model = Model(words, low, location, (), 0.0)
-
-    @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, model.inputs(t))) for t in texts], dtype=object)
-
-    cal = rows.where(side == 1).select(label, measured("t").alias("x")).collect()
-    y = np.array([r[label] for r in cal], float)
-    if len(set(y)) < 2:
-        return constant(share)
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    weights, offset = fit_curve(np.array([r["x"] for r in cal]), y, weight)
-    return Model(words, low, location, tuple(map(float, weights)), offset)
+    if not hit:
+        return decay, 0.0
+    k = 0.9
+    q = float(np.quantile(np.array(seen), k)) if len(hit) > (1 - k) * len(seen) else hit[-1]
+    return decay, q + math.log(-math.log(k))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), threshold: float = 0.3) -> DataFrame:

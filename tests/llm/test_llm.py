@@ -464,7 +464,7 @@ def test_toxicity_of_a_smaller_language(spark):
 
 
 def test_only_significant_passages_are_counted(spark):
-    model = toxicity.Model({"vexling": 4.0, "faint": 0.5}, 1.0, 0.0, (1.0, 1.0, 0.0), -3.0)
+    model = toxicity.Model({"vexling": 4.0, "faint": 1.25}, 1.0, 0.0, (1.0, 1.0, 0.0), -3.0)
     text = " ".join(["river faint stone"] * 400 + ["vexling"] * 5 + ["stone river faint"] * 400)
     got = {r["doc_id"]: r["n_passages"] for r in model.score(spark.createDataFrame([(1, text), (2, "river faint " * 9), (3, None)], "doc_id long, text string")).collect()}
     assert len(model.passages(text)[1]) > 100 and got == {1: 1, 2: 0, 3: 0}
