@@ -37,7 +37,7 @@ from tabforge.session import cut_lineage
 
 MAX_ROWS, Z, POWER, PRIOR, DRIFT, KEEP_WORDS = 6000, 2.0, 6, 0.1, 1.0, 500_000
 #: pieces weaker than this are no entry in the model: they would move a token's score by less than a hundredth of the drift
-TRACE = 0.0025
+TRACE = 0.01
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -228,7 +228,8 @@ def lexicon(by_word: DataFrame, yes: Column, no: Column) -> dict[str, float]:
     spread = F.sqrt(1 / (F.col("yes") + prior) + 1 / (F.col("no") + prior))
     scored = c.select("word", shrunk(side[0] - side[1], spread).alias("odds")).where(F.abs("odds") >= TRACE)
     # at most the words of the bounded sample
-    words = {r["word"]: r["odds"] for r in scored.orderBy("word").collect()}
+    found = scored.orderBy("word").toArrow()
+    words = dict(zip(found["word"].to_pylist(), found["odds"].to_pylist(), strict=True))
     return words if max(words.values(), default=0.0) > DRIFT else {}
 
 
