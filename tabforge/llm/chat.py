@@ -4,8 +4,8 @@ Turns are compared position by position (role and text).  A pair's first differe
 before it are rendered once as the prompt, the rest as the two completions.  A completion's loss mask lists the character
 ranges [first, end) of what an assistant says in it, its end mark included; other turns and the headers are masked.
 
-Both sides meet in one shuffle by pair and position, with equal plans on either side; a conversation is gathered only to
-be rendered, which its own text (one output row) bounds, and equal turns are one.  Built-in functions only.
+Both sides meet in one shuffle by pair and position, with equal plans on either side; the first difference is a grouped minimum
+joined back, places are counted in chunks, and a conversation is gathered only to be rendered, which its own text (one output row) bounds.  Built-in functions only.
 
 A conversation's turns are its distinct rows in order of (turn, role, text), numbered from 0, so repeated rows count once and ties have an order; null roles and
 texts are empty, rows with a null conversation or turn are left out.  Equal conversations have empty
@@ -15,9 +15,11 @@ that side empty.  Other columns than the named ones are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.trie import CHUNK, running
+
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
@@ -25,8 +27,9 @@ def turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """pair, pos, role, text from a table with a key, turn, role and text."""
     r = rows.where(F.col(key).isNotNull() & F.col("turn").isNotNull()).select(
         F.col(key).alias("pair"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    order = Window.partitionBy("pair").orderBy("turn", "role", "text")
-    return r.select("pair", (F.row_number().over(order) - 1).alias("pos"), "role", "text")
+    # places are counted in chunks of turn numbers, so a long conversation is no one task's window
+    r = running(r, "pair", F.floor(F.col("turn") / F.lit(CHUNK)), ["turn", "role", "text"], {"nth": ("sum", F.lit(1))})
+    return r.select("pair", (F.col("nth") - 1).cast("int").alias("pos"), "role", "text")
 
 
 def _rendered(side: str) -> Column:
@@ -40,13 +43,13 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         return df.select("pair", "pos", F.struct("role", "text").alias(name))
 
     both = side(chosen, "c").join(side(rejected, "r"), ["pair", "pos"], "full")
-    split = F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("pos"))).over(Window.partitionBy("pair"))
-    both = both.withColumn("same", split.isNull() | (F.col("pos") < split))
+    # the first difference is a grouped minimum, summed up before its shuffle
+    split = both.where(~F.col("c").eqNullSafe(F.col("r"))).groupBy("pair").agg(F.min("pos").alias("split"))
+    both = both.join(split, "pair", "left").withColumn("same", F.col("split").isNull() | (F.col("pos") < F.col("split")))
 
     def part(name: str, here: Column) -> Column:
         piece = F.struct("pos", _rendered(name).alias("s"), (F.col(f"{name}.role") == "assistant").alias("said"),
-                         F.length(F.concat(F.lit(OPEN), F.col(f"{name}.role"), F.lit(MIDDLE))).alias("head"),
-                         F.length(F.rtrim(F.lit(CLOSE))).alias("tail"))
+                         F.length(F.concat(F.lit(OPEN), F.col(f"{name}.role"), F.lit(MIDDLE))).alias("head"))
         return F.array_sort(F.collect_list(F.when(here & F.col(name).isNotNull(), piece)))
 
     g = both.groupBy("pair").agg(F.sum(F.col("same").cast("int")).cast("long").alias("n_common"), part("c", F.col("same")).alias("p"),
