@@ -1344,8 +1344,9 @@ def q_align_case_duplicates(spark, sf):
 try:  # the subpackage is optional: the queries above don't need it
     import corpus_pipeline
     from tabforge.llm import queries as _llm
-except ImportError:
-    pass
+except ImportError as missing:
+    import logging
+    logging.getLogger("tabforge").warning("the training-data queries are left out: %s", missing)
 else:
     _Q.update(_llm.QUERIES)
     _SQL.update(_llm.ORACLES)
