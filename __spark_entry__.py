@@ -1112,6 +1112,21 @@ def q_batch_result_summary(spark, sf):
                                  "num_rows bigint, preview_rows bigint")
 
 
+@register("batch_result_facts", f"""WITH {_PART_SQL}, pr AS (SELECT intercept + slope * p_size AS p FROM pt, ols)
+SELECT count(*) AS num_rows, CAST(0 AS DOUBLE) AS nulls, round(min(p), 6) AS least, round(max(p), 6) AS greatest, round(avg(p), 4) AS mean,
+       count(*) AS rows_read_back FROM pr""")
+def q_batch_result_facts(spark, sf):
+    from tabforge.sources.committed import read_committed
+    df, test, b, lb = _fit(spark, sf, "ols_1f", "Linear Regression")
+    path = scratch_path(spark, "facts")
+    done = batch_job(spark, b, fx.table(spark, sf, "part").select("p_partkey", "p_size"), path)
+    f = done["facts"]
+    facts = spark.createDataFrame([(done["num_rows"], f["nulls:prediction"], round(f["min:prediction"], 6), round(f["max:prediction"], 6),
+                                    round(f["mean:prediction"], 4))],
+                                  "num_rows bigint, nulls double, least double, greatest double, mean double")
+    return facts.crossJoin(read_committed(spark, path).agg(F.count(F.lit(1)).alias("rows_read_back")))  # one row each
+
+
 @register("batch_job", f"""WITH {ORDERS_ML_SQL}
 SELECT o_orderkey, true AS prediction_in_01 FROM o WHERE is_test""")
 def q_batch_job(spark, sf):

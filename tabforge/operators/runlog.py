@@ -149,15 +149,18 @@ def check_deployed(state: DataFrame, model_id: int, flag: str = "is_deployed_bat
 
 BATCH_RESULTS = T.StructType([
     T.StructField("result_id", T.StringType()), T.StructField("path", T.StringType()),
-    T.StructField("num_rows", T.LongType()), T.StructField("created_at", T.TimestampNTZType())])
+    T.StructField("num_rows", T.LongType()), T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("fmt", T.StringType())])
 
 
 def batch_result(spark: SparkSession, log_dir: str, result_id: str):
     """I8 lookup: the run-log row of a batch result and its rows (the preview is ``.limit(10)`` of them)."""
-    row = spark.read.parquet(f"{log_dir}/batch_results").where(F.col("result_id") == F.lit(result_id)).first()
+    from tabforge.sources.csv import read_csv
+    log = spark.read.schema(BATCH_RESULTS).parquet(f"{log_dir}/batch_results")
+    row = log.where(F.col("result_id") == F.lit(result_id)).first()
     if row is None:
         return None, None
-    return row, spark.read.parquet(row["path"])
+    return row, read_csv(spark, row["path"]) if row["fmt"] == "csv" else spark.read.parquet(row["path"])
 
 
 def status_event(spark: SparkSession, experiment_id: int, status: str, seq: int, message: str | None = None):

@@ -20,7 +20,7 @@ from tabforge.functions.exprs import last_of_each_name, qcol
 from tabforge.operators.prep import FittedPrep
 from tabforge.operators.schema import attach_prediction, check_schema
 from tabforge.plans.train import index_to_label, model_class, probability_array
-from tabforge.sources.csv import read_csv, write_csv
+from tabforge.sources.committed import write_committed
 
 
 _MODEL_COLUMNS = ("features", "prediction", "rawprediction", "probability")
@@ -123,19 +123,15 @@ class ScoringBundle:
 
 def batch_job(spark: SparkSession, bundle: ScoringBundle, df: DataFrame, out_path: str, fmt: str = "parquet",
               threshold: float = 0.5, log_dir: str | None = None) -> dict:
-    """Compatibility gate (B6) -> score -> sink -> summary row (I8).  The input is read once by the sink
-    job; the count and preview come from the written result (CSV read by the rules of A1), never from the driver.  With ``log_dir`` the
-    summary row is appended to ``{log_dir}/batch_results`` (lookup by id survives restarts, Q14)."""
+    """Compatibility gate (B6) -> score -> committed write -> summary row (I8).  The input is read once: row count, null
+    count and range of the predictions are observed by the tasks that write, and the result is visible only once its commit row
+    is there (``sources.committed``); rows come back in the types they were written with.  With ``log_dir`` the summary row
+    is appended to ``{log_dir}/batch_results`` (lookup by id survives restarts, Q14)."""
     check_schema(df.columns, bundle.prep.features, threshold)
-    scored = bundle.predict_batch(df)
-    if fmt == "csv":
-        write_csv(scored, out_path)
-        result = read_csv(spark, out_path)
-    else:
-        scored.write.mode("errorifexists").parquet(out_path)
-        result = spark.read.parquet(out_path)
-    summary = {"result_id": str(uuid.uuid4()), "path": out_path, "num_rows": result.count(), "result": result,
-               "preview": result.limit(10)}
+    done = write_committed(bundle.predict_batch(df), out_path, fmt, ["prediction"])
+    result = done.rows(spark)
+    summary = {"result_id": str(uuid.uuid4()), "path": done.path, "fmt": fmt, "num_rows": done.num_rows, "facts": done.facts,
+               "result": result, "preview": result.limit(10)}
     if log_dir:
         batch_summary_frame(spark, summary).write.mode("append").parquet(f"{log_dir}/batch_results")
     return summary
@@ -145,5 +141,5 @@ def batch_summary_frame(spark: SparkSession, summary: dict) -> DataFrame:
     """I8: run-log row for a batch result."""
     import datetime as _dt
     return spark.createDataFrame([(summary["result_id"], summary["path"], int(summary["num_rows"]),
-                                   _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))],
-                                 "result_id string, path string, num_rows bigint, created_at timestamp_ntz")
+                                   _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), summary.get("fmt", "parquet"))],
+                                 "result_id string, path string, num_rows bigint, created_at timestamp_ntz, fmt string")
