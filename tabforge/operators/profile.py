@@ -1,5 +1,5 @@
 """Column profile (C1-C8): row/column counts, distinct and null counts, null share,
-first non-null values in key order, dtype labels and the numeric/categorical tally.
+first non-null values in key or file order, dtype labels and the numeric/categorical tally.
 
 Columns are unpivoted to ``(column, value)`` once per type family (integral,
 floating, text) so values are grouped in their own type.  Distinct and
@@ -53,14 +53,52 @@ def _families(df: DataFrame) -> dict[str, list[str]]:
     return {k: v for k, v in fam.items() if v}
 
 
+BITS = 32768  # fixed value: values to a bucket of Spark's bitmap functions
+BITMAP_BYTES, PAIR_BYTES = 4096, 24  # of a shuffled bitmap; of a shuffled (column, value, count) row
+
+
+def bitmap_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    """Integral columns whose distinct values shuffle in fewer bytes as bitmaps than as one row a value.
+
+    Both forms are bounded from one narrow pass that keeps least, greatest and number of values of each input partition: a
+    partition sends at most one bitmap for each bucket that its range touches, and at most one pair for each value of its range,
+    never more of either than it has values.  Keys that lie together (ordered ids, dense ranges) win by far; random 64-bit keys stay pairs."""
+    if not cols:
+        return []
+    part = df.groupBy(F.spark_partition_id().alias("__part")).agg(*[
+        e for i, c in enumerate(cols) for e in (F.min(qcol(c).cast("bigint")).alias(f"lo{i}"), F.max(qcol(c).cast("bigint")).alias(f"hi{i}"),
+                                                F.count(qcol(c)).alias(f"n{i}"))])
+    def span(i: int):  # of doubles: the span of 64-bit values does not fit 64 bits
+        return F.col(f"hi{i}").cast("double") - F.col(f"lo{i}").cast("double")
+    got = part.agg(*[e for i in range(len(cols)) for e in (
+        F.sum(F.least(span(i) / BITS + 2, F.col(f"n{i}").cast("double")) * BITMAP_BYTES).alias(f"b{i}"),
+        F.sum(F.least(span(i) + 1, F.col(f"n{i}").cast("double")) * PAIR_BYTES).alias(f"p{i}"))]).first()
+    return [c for i, c in enumerate(cols) if got[f"b{i}"] is not None and got[f"b{i}"] < got[f"p{i}"]]
+
+
+def _bitmap_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n, nn, unique_count): a bitmap for each bucket of 32,768 values, united by bucket, then bits are counted."""
+    long = df.select(*[qcol(c).cast("bigint").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    made = long.groupBy("column", F.bitmap_bucket_number("value").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("value"))).alias("bits"))
+    return made.groupBy("column").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("bits").alias("unique_count"))
+
+
 def counts(df: DataFrame, approx: bool = False, key: list[str] | None = None) -> DataFrame:
     """Per column unique_count (nulls excluded), null_count, null_percentage.
 
     One unpivot per type family (each reads only its own columns); values are grouped in their
-    own type, which is cheaper than grouping text."""
+    own type, which is cheaper than grouping text.  Integral columns whose values lie close together are
+    counted through bitmaps instead (``bitmap_columns``): what they shuffle is bounded by their range, an eighth of a byte a value."""
     df = with_nan_as_null(df)
-    per = None
-    for typ, cols in _families(df).items():
+    fam = _families(df)
+    dense = [] if approx else bitmap_columns(df, fam.get("bigint", []))
+    per = _bitmap_counts(df, dense) if dense else None
+    for typ, cols in fam.items():
+        cols = [c for c in cols if c not in dense]
+        if not cols:
+            continue
         long = df.select(*[qcol(c).cast(typ).alias(c) for c in cols]).unpivot([], cols, "column", "value")
         if approx:
             part = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("nn"),
@@ -77,17 +115,32 @@ def counts(df: DataFrame, approx: bool = False, key: list[str] | None = None) ->
                       null_count.alias("null_count"), pct.alias("null_percentage"))
 
 
+def file_order(df: DataFrame):
+    """A key that orders rows as their files hold them: file path, start of the split in the file, place in the split.  Rows
+    that don't come straight from files (after a shuffle, or made in memory) are ordered by partition and place in it."""
+    from pyspark.errors import AnalysisException
+    place = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path").schema  # analysed only
+    except AnalysisException:
+        return F.struct(place.alias("place"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("place"))
+
+
 def sample_rows(df: DataFrame, key: list[str] | None = None, k: int = SAMPLE_SIZE, head_rows: int = 64
                 ) -> dict[str, list[str]]:
-    """First k non-null values per column in key order, without sorting the table.
+    """First k non-null values per column in key order, without sorting the table; without a key in the order
+    of the files (``file_order``).
 
     The first ``head_rows`` rows by key come from one TakeOrderedAndProject (a bounded heap per
     partition); the columns still short of k values (many nulls) share one ranked job over their
     non-null values, cut to k per column before the shuffle.  At most
     ``head_rows + k * columns`` rows reach the driver."""
-    cols, df = df.columns, with_nan_as_null(df)
-    kcol = F.struct(*[qcol(c) for c in key]) if key else F.monotonically_increasing_id()
-    keyed = df.withColumn("__key", kcol) if "__key" not in cols else df
+    cols = df.columns
+    kcol = F.struct(*[qcol(c) for c in key]) if key else file_order(df)
+    # the place is taken where the rows are read, before anything else
+    keyed = df.select(kcol.alias("__key"), "*") if "__key" not in cols else df
+    keyed = with_nan_as_null(keyed)
     # top-k on the raw rows first; only the selected rows are rendered as text
     head = (keyed.orderBy("__key").limit(head_rows)
             .select(*[_as_text(df, c).alias(c) for c in cols]).collect())
