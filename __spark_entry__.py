@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabforge.plans import fixtures as fx
-from tabforge.plans.fixtures import LINEITEM_ML_SQL, LINEITEM_STEPS_SQL, ORDERS_ML_SQL
+from tabforge.plans.fixtures import ATTEMPTS_SQL, LINEITEM_ML_SQL, LINEITEM_STEPS_SQL, ORDERS_ML_SQL
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -517,6 +517,22 @@ def q_profile_samples(spark, sf):
         "column_name", (F.col("pos") + 1).cast("int").alias("rn"), "value")
 
 
+_FILE_COLS = ["l_partkey", "l_returnflag", "rare"]
+
+
+@register("profile_samples_file_order", "WITH l AS (SELECT *, row_number() OVER () AS k, CASE WHEN l_partkey % 97 = 0 THEN l_orderkey END AS rare "
+          "FROM lineitem),\nv AS (" + "\nUNION ALL ".join(
+              f"SELECT '{c}' AS column_name, k, CAST({c} AS VARCHAR) AS value FROM l WHERE {c} IS NOT NULL" for c in _FILE_COLS) + """)
+SELECT column_name, rn, value FROM (
+  SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY k) AS INTEGER) AS rn FROM v)
+WHERE rn <= 5""")
+def q_profile_samples_file_order(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", F.when(F.col("l_partkey") % 97 == 0, F.col("l_orderkey")).alias("rare"))
+    s = prof.samples(li)
+    return s.select(F.col("column").alias("column_name"), F.posexplode("sample_values").alias("pos", "value")).select(
+        "column_name", (F.col("pos") + 1).cast("int").alias("rn"), "value")
+
+
 _PROFILE_TABLE_SQL = f"WITH {_PROFILE_SQL},\nl AS (" + "\nUNION ALL ".join(
     f"SELECT {i} AS ordinal, '{c}' AS name, o_orderkey AS k, CAST({c} AS VARCHAR) AS value FROM p"
     for i, c in enumerate(_PCOLS)) + """),
@@ -859,6 +875,33 @@ def q_purge_cascade(spark, sf):
     return m2.select("model_id", "experiment_id")
 
 
+@register("attempts_ranked", f"""WITH {ATTEMPTS_SQL}
+SELECT model_id, experiment_id, attempt_id, CAST(coalesce(nullif(rank, 0), 999) AS INTEGER) AS rank_order FROM vm""")
+def q_attempts_ranked(spark, sf):
+    t = fx.attempt_log(spark, sf)
+    seen = RL.committed_rows(t["models"], t["events"])
+    return RL.models_by_rank(seen).select("model_id", "experiment_id", "attempt_id", F.col("rank_order").cast("int"))
+
+
+@register("attempts_promoted", f"""{_PROMO_SQL.replace(RUNLOG_SQL, ATTEMPTS_SQL).replace("FROM mo m)", "FROM vm m)").replace("FROM pr e", "FROM (SELECT * FROM pr WHERE model_id IN (SELECT model_id FROM vm)) e")}
+SELECT experiment_id, min(model_id) AS model_id FROM st2 WHERE is_deployed_batch GROUP BY experiment_id""")
+def q_attempts_promoted(spark, sf):
+    t = fx.attempt_log(spark, sf)
+    seen = RL.committed_rows(t["models"], t["events"])
+    return RL.promoted_model(RL.promotion_state(seen, RL.promotions_of(seen, t["events"])), "is_deployed_batch")
+
+
+@register("attempts_purged", f"""WITH {ATTEMPTS_SQL},
+e2 AS (SELECT * FROM ex WHERE dataset_id NOT IN (SELECT id FROM tb WHERE kind = 'dataset')
+                          AND experiment_id NOT IN (SELECT id FROM tb WHERE kind = 'experiment'))
+SELECT model_id, experiment_id, attempt_id FROM vm WHERE experiment_id IN (SELECT experiment_id FROM e2)""")
+def q_attempts_purged(spark, sf):
+    t = fx.attempt_log(spark, sf)
+    seen = RL.committed_rows(t["models"], t["events"])
+    d2, e2, m2 = RL.purge_cascade(t["datasets"], t["experiments"], seen, t["tombstones"])
+    return m2.select("model_id", "experiment_id", "attempt_id")
+
+
 @register("run_current_status", f"""WITH {RUNLOG_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY ts DESC, seq DESC) AS k,
              count(*) OVER (PARTITION BY experiment_id) AS n_events FROM st)
@@ -1262,6 +1305,39 @@ def q_score_stream(spark, sf):
     return streamed.join(batch, "o_orderkey").select("o_orderkey", (F.col("prediction") == F.col("pb")).alias("same_as_batch"))
 
 
+@register("stream_promoted", """WITH e AS (SELECT event_id, value, event_id % 50 = 0 AS broken,
+  CASE WHEN ts < TIMESTAMP '2024-01-08' THEN NULL WHEN ts < TIMESTAMP '2024-01-19 12:00:00' THEN 1
+       WHEN ts < TIMESTAMP '2024-01-28' THEN 2 END AS m FROM events)
+SELECT event_id, CASE WHEN broken THEN NULL WHEN m = 1 THEN round(2 * value + 1, 6) WHEN m = 2 THEN round(5 - value, 6) END AS prediction,
+       CASE WHEN NOT broken THEN CAST(m AS BIGINT) END AS model_id,
+       CASE WHEN broken THEN 'not a JSON object' WHEN m IS NULL THEN 'no model in charge' END AS reason FROM e""")
+def q_stream_promoted(spark, sf):
+    import datetime as dt
+
+    from tabforge.streaming.promoted_stream import PromotedScorer, run_promoted
+    ev = fx.table(spark, sf, "events")
+    log = scratch_path(spark, "promotions")
+    # two models whose answers are known, promoted one after the other, the second withdrawn at the end
+    for model_id, y in ((1, 2 * F.col("value") + 1), (2, 5 - F.col("value"))):
+        rows = ev.withColumn("y", y)
+        prep, labels, lb, res = TR.train_all(spark, rows, rows, ["value"], "y", "regression", algorithms=["Linear Regression"])
+        ScoringBundle(prep, res[0].model, "regression", "Linear Regression").save(f"{log}/m{model_id}_bundle")
+        RL.append(spark.createDataFrame([(model_id, 1, "Linear Regression", f"{log}/m{model_id}", {}, 0.0, 1, dt.datetime(2024, 1, 1), "a")],
+                                        RL.MODELS), f"{log}/trained_models")
+    RL.append(RL.commit_event(spark, 1, "a", 4), f"{log}/run_events")
+    moves = [(1, True, dt.datetime(2024, 1, 8)), (2, True, dt.datetime(2024, 1, 19, 12)), (2, False, dt.datetime(2024, 1, 28))]
+    RL.append(spark.createDataFrame([(1, m, "promote", None, on, False, None, t, 0, None) for m, on, t in moves], RL.EVENTS),
+              f"{log}/run_events")
+    text = F.to_json(F.struct("value"))
+    raw = SS.read_stream(spark, f"{sf.rstrip('/')}/events.parquet", ev.schema)
+    stream = raw.select("event_id", "ts", F.when(F.col("event_id") % 50 == 0, F.substr(text, F.lit(1), F.lit(9))).otherwise(text).alias("record"))
+    out = scratch_path(spark, "promoted")
+    run_promoted(PromotedScorer(spark, log, 1, out, event_time="ts"), stream, scratch_path(spark, "stream-ckpt"))
+    scored = spark.read.parquet(f"{out}/scored").select(
+        "event_id", r6(F.col("prediction").cast("double")).alias("prediction"), "model_id", F.lit(None).cast("string").alias("reason"))
+    return scored.unionByName(spark.read.parquet(f"{out}/rejected").select("event_id", "reason"), allowMissingColumns=True)
+
+
 @register("prep_stream", f"""WITH {_TEST_ORDERS_SQL}
 SELECT t.o_orderkey, round((coalesce(t.x, 0.0) - mx) / sx, 6) AS x,
        round((coalesce(te.e, dflt.d) - me) / se, 6) AS c

@@ -4,6 +4,10 @@ The log is append-only Parquet: ``datasets``, ``experiments``, ``trained_models`
 and ``run_events`` (status, promotion and removal rows).  Current state is a
 query over the log (latest event wins), so concurrent runs never rewrite
 shared rows.  Joins are by key with at most one match per row.
+
+An experiment that runs again is a new *attempt*: its rows carry an ``attempt_id`` and
+count only once the attempt's ``commit`` event is in the log, which is its last append.  So a run that
+failed half-way shows its status and nothing else, and a rerun takes the place of what it repeats.
 """
 
 from __future__ import annotations
@@ -23,19 +27,19 @@ EXPERIMENTS = T.StructType([
     T.StructField("experiment_id", T.LongType()), T.StructField("name", T.StringType()),
     T.StructField("dataset_id", T.LongType()), T.StructField("target_column", T.StringType()),
     T.StructField("feature_columns", T.ArrayType(T.StringType())), T.StructField("problem_type", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType())])
+    T.StructField("created_at", T.TimestampNTZType()), T.StructField("attempt_id", T.StringType())])
 MODELS = T.StructType([
     T.StructField("model_id", T.LongType()), T.StructField("experiment_id", T.LongType()),
     T.StructField("algorithm_name", T.StringType()), T.StructField("model_path", T.StringType()),
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("primary_metric_value", T.DoubleType()), T.StructField("rank", T.IntegerType()),
-    T.StructField("created_at", T.TimestampNTZType())])
+    T.StructField("created_at", T.TimestampNTZType()), T.StructField("attempt_id", T.StringType())])
 EVENTS = T.StructType([
     T.StructField("experiment_id", T.LongType()), T.StructField("model_id", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("deploy_api", T.BooleanType()), T.StructField("deploy_batch", T.BooleanType()),
     T.StructField("message", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("seq", T.LongType())])
+    T.StructField("seq", T.LongType()), T.StructField("attempt_id", T.StringType())])
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -128,13 +132,72 @@ def current_status(events: DataFrame) -> DataFrame:
                        F.col("last.message").alias("message"), "n_events")
 
 
+def last_commits(events: DataFrame) -> DataFrame:
+    """(experiment_id, attempt_id) of each experiment's newest committed attempt, by (ts, seq, attempt_id)."""
+    ev = events.where((F.col("kind") == "commit") & F.col("attempt_id").isNotNull())
+    last = ev.groupBy("experiment_id").agg(F.max(F.struct("ts", "seq", "attempt_id")).alias("last"))
+    return last.select("experiment_id", F.col("last.attempt_id").alias("attempt_id"))
+
+
+def committed_rows(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """The rows (models, fit reports) of each experiment's newest committed attempt.  Rows that carry no attempt id, as
+    logs had before attempts, count while their experiment has no committed attempt."""
+    last = last_commits(events).select(F.col("experiment_id").alias("__exp"), F.col("attempt_id").alias("__att"))
+    return (rows.join(last, F.col("experiment_id") == F.col("__exp"), "left")
+            .where(F.col("attempt_id").eqNullSafe(F.col("__att"))).drop("__exp", "__att"))
+
+
+def promotions_of(models: DataFrame, events: DataFrame) -> DataFrame:
+    """The promotions of these models only: one of a model that doesn't count switches nothing off elsewhere."""
+    return events.where(F.col("kind") == "promote").join(models.select("model_id"), "model_id", "left_semi")
+
+
+def current_experiments(experiments: DataFrame) -> DataFrame:
+    """One row an experiment: that of its newest attempt, committed or not (a failed run stays in the list with its status)."""
+    cols = experiments.columns
+    newest = experiments.groupBy("experiment_id").agg(
+        F.max_by(F.struct(*cols), F.struct("created_at", "attempt_id")).alias("newest"))
+    return newest.select(*[F.col(f"newest.{c}").alias(c) for c in cols])
+
+
+def commit_event(spark: SparkSession, experiment_id: int, attempt_id: str, seq: int) -> DataFrame:
+    """What makes an attempt's rows count.  Appended after everything else of the attempt."""
+    import datetime as _dt
+
+    row = (experiment_id, None, "commit", None, None, None, None, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq,
+           attempt_id)
+    return spark.createDataFrame([row], EVENTS)
+
+
+def first_model_id(attempt_id: str, now_ms: int) -> int:
+    """The first of four ids for an attempt's models: 41 bits of milliseconds, 20 of the attempt, two left for the model, so
+    ids grow with time (J6 takes the lowest) and two attempts share one only in one millisecond and 1 case of 2^20."""
+    return (now_ms << 22) | (int(attempt_id[:5], 16) << 2)
+
+
+def read_log(spark: SparkSession, log_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """A log table, empty where nothing was appended yet; older files without the newest columns read as null there."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(schema).parquet(f"{log_dir}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def visible_models(spark: SparkSession, log_dir: str) -> DataFrame:
+    """Models that count: those of committed attempts."""
+    return committed_rows(read_log(spark, log_dir, "trained_models", MODELS), read_log(spark, log_dir, "run_events", EVENTS))
+
+
 def promote_event(spark: SparkSession, experiment_id: int, model_id: int, deploy_api: bool, deploy_batch: bool,
                   seq: int) -> DataFrame:
     """J5 writer: one promotion (both flags of the chosen model as given; the others lose the flags switched on)."""
     import datetime as _dt
 
     row = (experiment_id, model_id, "promote", None, bool(deploy_api), bool(deploy_batch), None,
-           _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq)
+           _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq, None)
     return spark.createDataFrame([row], EVENTS)
 
 
@@ -163,10 +226,12 @@ def batch_result(spark: SparkSession, log_dir: str, result_id: str):
     return row, read_csv(spark, row["path"]) if row["fmt"] == "csv" else spark.read.parquet(row["path"])
 
 
-def status_event(spark: SparkSession, experiment_id: int, status: str, seq: int, message: str | None = None):
+def status_event(spark: SparkSession, experiment_id: int, status: str, seq: int, message: str | None = None,
+                 attempt_id: str | None = None):
     if status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")
     import datetime as _dt
 
-    row = (experiment_id, None, "status", status, None, None, message, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq)
+    row = (experiment_id, None, "status", status, None, None, message, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), seq,
+           attempt_id)
     return spark.createDataFrame([row], EVENTS)

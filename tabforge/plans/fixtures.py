@@ -153,3 +153,23 @@ pr AS (SELECT experiment_id, model_id, rn <> 2 AS deploy_api, rn >= 2 AS deploy_
        WHERE rn <= 2 OR (rn = 3 AND experiment_id % 3 = 0)),
 tb AS (SELECT 'dataset' AS kind, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_nationkey % 4 = 0
        UNION ALL SELECT 'experiment', c_custkey FROM customer WHERE c_custkey % 10 = 0)"""
+
+
+def attempt_log(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """runlog_tables with attempts: an experiment's models fall into three of them (o_orderkey % 3), the third of which
+    fails half-way; an attempt commits at its newest model's order date."""
+    t = runlog_tables(spark, sf)
+    attempt = F.concat(F.lit("a"), (F.col("model_id") % 3).cast("string"))
+    models = t["models"].withColumn("attempt_id", attempt)
+    when = table(spark, sf, "orders").select(F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("ts"))
+    commits = (models.where(F.col("attempt_id") != "a2").join(when, "model_id").groupBy("experiment_id", "attempt_id")
+               .agg(F.max("ts").alias("ts")).select("experiment_id", "attempt_id", "ts", F.lit("commit").alias("kind"), F.lit(4).cast("bigint").alias("seq")))
+    return {**t, "models": models, "events": t["events"].unionByName(commits, allowMissingColumns=True)}
+
+
+ATTEMPTS_SQL = RUNLOG_SQL + """,
+ma AS (SELECT mo.*, 'a' || CAST(model_id % 3 AS VARCHAR) AS attempt_id, o_orderdate AS ts FROM mo JOIN orders ON o_orderkey = model_id),
+cm AS (SELECT experiment_id, attempt_id, max(ts) AS ts FROM ma WHERE attempt_id <> 'a2' GROUP BY ALL),
+lc AS (SELECT experiment_id, attempt_id FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id ORDER BY ts DESC, attempt_id DESC) AS k
+       FROM cm) WHERE k = 1),
+vm AS (SELECT ma.* FROM ma JOIN lc USING (experiment_id, attempt_id))"""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.exprs import last_of_each_name, qcol
 from tabforge.operators.prep import FittedPrep
 from tabforge.operators.schema import attach_prediction, check_schema
-from tabforge.plans.train import index_to_label, model_class, probability_array
+from tabforge.plans.train import index_to_label, model_class, probability_array, without_summary
 from tabforge.sources.committed import write_committed
 
 
@@ -35,6 +35,9 @@ class ScoringBundle:
     labels: list | None = None
     label_type: str | None = None  # Spark type of the target (class names keep their own type)
 
+    def __post_init__(self) -> None:
+        without_summary(self.model)
+
     @property
     def has_probabilities(self) -> bool:
         return self.problem_type == "classification"

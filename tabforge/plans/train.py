@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -111,6 +111,15 @@ class TrainedModel:
     metrics: dict = field(default_factory=dict)
 
 
+def without_summary(model):
+    """The model without its training summary.  A summary holds the training rows' plan and the session, and tasks that
+    score with the model would be sent both (which fails once the session has observed a write)."""
+    if getattr(model, "hasSummary", False) and hasattr(model, "_java_obj"):
+        # the context of the process: models are fitted in threads, which have no active session
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def score_frame(model, df_x: DataFrame, problem_type: str, labels: list | None,
                 label_type: T.DataType | None = None) -> DataFrame:
     """model.transform + label / probability columns: ``pred_label``, ``proba`` (array, classification)."""
@@ -191,7 +200,7 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     results, rows = [], []
 
     def fit_one(i: int, name: str, est) -> tuple:
-        model = est.fit(tr)
+        model = without_summary(est.fit(tr))
         scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
         # model inference runs once: the narrow scored rows are kept while the metrics read them
         cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])

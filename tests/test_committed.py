@@ -59,3 +59,18 @@ def test_one_scan(spark, tmp_path):
     df = spark.range(200, numPartitions=4).select(F.udf(look, "bigint")("id").alias("id"))
     assert CM.write_committed(df, str(tmp_path / "o"), "parquet", ["id"]).facts["max:id"] == 199.0
     assert seen.value == 200
+
+
+def test_fresh_model_scores_after_an_observed_write(spark, tmp_path):
+    """A model just fitted (not loaded) scores through a committed write, and again after it."""
+    from tabforge.plans.score import ScoringBundle, batch_job
+    from tabforge.plans.train import TrainParams, train_all
+    df = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 17 > 8).cast("int").alias("y"))
+    prep, labels, lb, res = train_all(spark, df, df, ["a"], "y", "classification", algorithms=["Logistic Regression"],
+                                      params=TrainParams(lr_max_iter=20))
+    b = ScoringBundle(prep, res[0].model, "classification", "Logistic Regression", labels, "int")
+    for i in range(2):
+        done = batch_job(spark, b, df.drop("y"), str(tmp_path / f"o{i}"), log_dir=str(tmp_path / "log"))
+        assert done["num_rows"] == 300 and done["preview"].count() == 10
+    assert b.predict(df.drop("y")).count() == 300
+    assert spark.read.parquet(str(tmp_path / "log/batch_results")).count() == 2

@@ -28,7 +28,7 @@ def test_promotion_matches_replay(spark):
         m = rnd.randrange(20)
         events.append((m % 4, m, rnd.random() < 0.5, rnd.random() < 0.5, seq))
     md = spark.createDataFrame(models, "model_id bigint, experiment_id bigint")
-    ev = spark.createDataFrame([(e, m, "promote", None, a, b, None, None, s) for e, m, a, b, s in events], RL.EVENTS)
+    ev = spark.createDataFrame([(e, m, "promote", None, a, b, None, None, s, None) for e, m, a, b, s in events], RL.EVENTS)
     got = {r["model_id"]: [r["is_deployed_api"], r["is_deployed_batch"]]
            for r in RL.promotion_state(md, ev).collect()}
     assert got == replay(models, events)
@@ -43,9 +43,9 @@ def test_cascade_and_status(spark):
     assert sorted(r[0] for r in m2.select("model_id").collect()) == [101]
     import datetime as dt
     t0 = dt.datetime(2024, 1, 1)
-    ev = spark.createDataFrame([(1, None, "status", "pending", None, None, None, t0, 0),
-                                (1, None, "status", "failed", None, None, "boom", t0, 2),
-                                (1, None, "status", "training", None, None, None, t0, 1)], RL.EVENTS)
+    ev = spark.createDataFrame([(1, None, "status", "pending", None, None, None, t0, 0, None),
+                                (1, None, "status", "failed", None, None, "boom", t0, 2, None),
+                                (1, None, "status", "training", None, None, None, t0, 1, None)], RL.EVENTS)
     r = RL.current_status(ev).first()
     assert (r["status"], r["message"], r["n_events"]) == ("failed", "boom", 3)
 

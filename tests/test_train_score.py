@@ -110,6 +110,38 @@ def test_run_experiment_failure_is_logged(spark, separable, tmp_path):
     assert st["status"] == "failed" and "missing_col" in st["message"]
 
 
+def test_attempts_count_from_their_commit_on(spark, separable, tmp_path, monkeypatch):
+    """One experiment run, run again, then lost after its models were appended: the second run's models are what counts."""
+    log, df = str(tmp_path / "log"), separable.drop("is_test")
+    tiny = TrainParams(lr_max_iter=5, rf_trees=2, rf_max_depth=2, gbt_stages=2)
+
+    def run():
+        run_experiment(spark, df, ["a", "g"], "y", "classification", keys=["k"], log_dir=log, experiment_id=9, params=tiny)
+
+    run()
+    first = {r["model_id"] for r in RL.visible_models(spark, log).collect()}
+    run()
+    second = {r["model_id"] for r in RL.visible_models(spark, log).collect()}
+    assert len(first) == len(second) == 3 and min(second) > max(first)
+
+    def lost(*a):
+        raise RuntimeError("the driver is gone")
+
+    monkeypatch.setattr(RL, "commit_event", lost)
+    with pytest.raises(RuntimeError):
+        run()
+    models = spark.read.parquet(f"{log}/trained_models")
+    assert models.count() == 9  # the lost attempt's rows are in the log, and nothing sees them
+    seen = RL.visible_models(spark, log)
+    assert {r["model_id"] for r in seen.collect()} == second
+    exp = RL.current_experiments(spark.read.parquet(f"{log}/experiments"))
+    assert exp.count() == 1
+    assert RL.best_model_per_run(exp, seen).count() == 1
+    st = RL.current_status(spark.read.parquet(f"{log}/run_events")).first()
+    assert st["status"] == "failed" and "gone" in st["message"]
+    assert all(ScoringBundle.load(spark, r["model_path"] + "_bundle").predict(df.limit(2)).count() == 2 for r in seen.collect())
+
+
 def test_json_records_stream_equals_batch(spark, separable, tmp_path):
     import json
 
