@@ -8,6 +8,13 @@ These make a state, of which there are finitely many.  A transition reads a byte
 token that may end here, and is annotated with the change of the token count.  The deterministic machine is compiled as
 far as the texts need it: states and transitions are made when first met and kept, up to a bound, per worker.
 
+**Long words.**  A word's bytes are cut into chunks wherever a chunk is full.  A chunk's *state map* gives, for a state
+that the machine may be in before it, the state after it and the tokens counted between.  Maps compose
+associatively, and an exclusive prefix scan over them (up-sweep and down-sweep over pairs) gives the state before every chunk
+and the count up to it.  A map is first filled for the state that the bytes just before the chunk lead to, which needs no earlier
+chunk; it is nearly always the true one, as a state rests on a token's length of bytes, and where it isn't, the entry for the true state
+is added when the scan asks for it.  So results never rest on the guess.
+
 **Long texts.**  A text is cut into chunks.  A chunk's map from what precedes it to a count is held by what is before
 its first certain boundary (white space after another character: no match of the pattern spans it), the count between
 the first and the last one, and what is after the last.  These maps compose associatively, so neighbours are joined
@@ -21,6 +28,7 @@ are replaced.
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +36,9 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.common import ship, whole
 
-#: Characters of a chunk; words whose counts, and transitions that a worker keeps before it starts anew.
+#: Bytes of a word's chunk, and bytes before it from which the state at its start is guessed.
+PIECE, LOOK_BACK = 1 << 12, 64
+#: Characters of a text's chunk; words whose counts, and transitions that a worker keeps before it starts anew.
 CHUNK, KEEP_WORDS, KEEP_STEPS = 1 << 16, 500_000, 1_500_000
 
 
@@ -40,6 +50,52 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+class StateMap:
+    """A chunk of bytes as a map: ``at(state)`` is (state after it, tokens counted).  Entries are made when asked for."""
+
+    def __init__(self, make, guess: int | None = None):
+        self.make, self.entries = make, {}
+        if guess is not None:
+            self.at(guess)
+
+    def at(self, state: int) -> tuple[int, int]:
+        if state not in self.entries:
+            self.entries[state] = self.make(state)
+        return self.entries[state]
+
+    def then(self, after: StateMap) -> StateMap:
+        """The map of this chunk followed by another; known entries are carried over at once."""
+        def both(state: int) -> tuple[int, int]:
+            middle, count = self.at(state)
+            end, more = after.at(middle)
+            return end, count + more
+        out = StateMap(both)
+        for state in list(self.entries):
+            out.at(state)
+        return out
+
+
+def prefix_scan(maps: list[StateMap], start: int) -> list[tuple[int, int]]:
+    """(state, count) before each map and after the last, from ``start``: pairs are composed up to one map and the
+    prefixes handed down again, each level's compositions independent of one another."""
+    levels = [maps]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([row[k].then(row[k + 1]) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)])
+    before = [(start, 0)]
+    for row in reversed(levels[:-1]):
+        down = []
+        for k, one in enumerate(row):
+            state, count = before[k // 2]
+            if k % 2:
+                state, more = row[k - 1].at(state)
+                count += more
+            down.append((state, count))
+        before = down
+    end, more = maps[-1].at(before[-1][0])
+    return [*before, (end, before[-1][1] + more)]
+
+
 class Transducer(dict):
     """Token counts by word: ``transducer[word]``; a word not met before runs through the machine."""
 
@@ -122,12 +178,22 @@ class Transducer(dict):
         self.n_steps += 1
         return found
 
-    def __missing__(self, word: str) -> int:
-        state = total = 0
-        steps = self.steps
-        for byte in word.encode("utf-8", "surrogatepass"):
+    def walk(self, raw: bytes, state: int) -> tuple[int, int]:
+        """(state after the bytes, tokens counted)."""
+        total, steps = 0, self.steps
+        for byte in raw:
             state, grown = steps[state].get(byte) or self.step(state, byte)
             total += grown
+        return state, total
+
+    def state_maps(self, raw: bytes, piece: int) -> list[StateMap]:
+        """The state maps of a word's chunks, each made without those before it."""
+        return [StateMap(partial(self.walk, raw[k:k + piece]), self.walk(raw[max(0, k - LOOK_BACK):k], 0)[0])
+                for k in range(0, len(raw), piece)]
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode("utf-8", "surrogatepass")
+        total = self.walk(raw, 0)[1] if len(raw) <= PIECE else prefix_scan(self.state_maps(raw, PIECE), 0)[-1][1]
         if len(self) < KEEP_WORDS and len(word) <= 64:
             self[word] = total
         if self.n_steps > KEEP_STEPS:
