@@ -183,23 +183,25 @@ def q_prep_full_table(spark, sf):
 
 
 @register("prep_report", f"""WITH {_FULL_ORDERS_SQL},
-cnt AS (SELECT (SELECT count(*) FROM o) AS original_rows, (SELECT count(*) FROM tr) AS processed_rows,
-               (SELECT count(*) - count(x) + count(*) - count(c) FROM tr) AS filled)
-SELECT 'Removed ' || CAST(original_rows - processed_rows AS VARCHAR) || ' rows with null target; '
-       || 'Identified 1 categorical columns; Identified 1 numeric columns; Filled ' || CAST(filled AS VARCHAR)
-       || ' null values (median/mode); Applied target encoding to 1 columns; Applied standardization (z-score)'
-       AS transformations,
-       CAST(original_rows AS BIGINT) AS original_rows, CAST(processed_rows AS BIGINT) AS processed_rows,
-       2 AS num_features, CAST(filled AS BIGINT) AS nulls_filled, 'x' AS numeric_columns, 'c' AS categorical_columns
-FROM cnt""")
+cnt AS (SELECT (SELECT count(*) FROM o) AS original_rows, (SELECT count(*) FROM tr) AS n,
+               (SELECT count(*) - count(x) FROM tr) AS fx, (SELECT count(*) - count(c) FROM tr) AS fc),
+steps AS (SELECT 1 AS pos, 'drop_null_target' AS step, 'ynull' AS columns, original_rows - n AS cells FROM cnt
+          UNION ALL SELECT 2, 'fill_median', 'x', fx FROM cnt UNION ALL SELECT 3, 'fill_mode', 'c', fc FROM cnt
+          UNION ALL SELECT 4, 'encode_target_mean', 'c', n FROM cnt UNION ALL SELECT 5, 'scale', 'x,c', 2 * n FROM cnt)
+SELECT CAST(pos AS INTEGER) AS pos, step, columns, CAST(cells AS BIGINT) AS cells,
+       CAST(original_rows AS BIGINT) AS original_rows, CAST(n AS BIGINT) AS processed_rows, 2 AS num_features,
+       CAST(fx + fc AS BIGINT) AS nulls_filled, 'x' AS numeric_columns, 'c' AS categorical_columns
+FROM steps, cnt""")
 def q_prep_report(spark, sf):
     from tabforge.operators.prep import prep_full_table, report_frame
     o = fx.orders_ml(spark, sf)
     out, prep, original = prep_full_table(o, ["x", "c"], "ynull", keep=["o_orderkey"])
     r = report_frame(spark, prep, original)
-    return r.select(F.array_join("transformations", "; ").alias("transformations"), "original_rows", "processed_rows",
-                    "num_features", "nulls_filled", F.array_join("numeric_columns", ",").alias("numeric_columns"),
-                    F.array_join("categorical_columns", ",").alias("categorical_columns"))
+    return r.select(F.posexplode("steps").alias("pos", "s"), "original_rows", "processed_rows", "num_features", "nulls_filled",
+                    F.array_join("numeric_columns", ",").alias("numeric_columns"),
+                    F.array_join("categorical_columns", ",").alias("categorical_columns")).select(
+        (F.col("pos") + 1).cast("int").alias("pos"), "s.step", F.array_join("s.columns", ",").alias("columns"), "s.cells",
+        "original_rows", "processed_rows", "num_features", "nulls_filled", "numeric_columns", "categorical_columns")
 
 
 _TEST_ORDERS_SQL = f"""{_TRAIN_ORDERS_SQL},

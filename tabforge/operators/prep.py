@@ -194,18 +194,14 @@ class FittedPrep:
         if cat:
             prep._fit_categories(df, y, n, hot_share)
 
-        steps = []
-        if cat:
-            steps.append(f"Identified {len(cat)} categorical columns")
-        if num:
-            steps.append(f"Identified {len(num)} numeric columns")
+        # what was done, as (step, columns it touched, cells or rows it changed)
         filled = sum(nulls.values())
-        if filled > 0:
-            steps.append(f"Filled {filled} null values (median/mode)")
-        if cat:
-            steps.append(f"Applied target encoding to {len(cat)} columns")
-        steps.append("Applied standardization (z-score)")
-        prep.report = {"transformations": steps, "processed_rows": n, "num_features": len(features),
+        holes = [c for c in features if nulls.get(c)]
+        steps = [("fill_median", [c for c in holes if c in num], sum(nulls[c] for c in holes if c in num)),
+                 ("fill_mode", [c for c in holes if c in cat], sum(nulls[c] for c in holes if c in cat)),
+                 ("encode_target_mean" if target_numeric else "encode_row_share", list(cat), n * len(cat)),
+                 ("scale", list(features), n * len(features))]
+        prep.report = {"steps": [s for s in steps if s[1]], "processed_rows": n, "num_features": len(features),
                        "nulls_filled": filled, "numeric_columns": num, "categorical_columns": cat}
         return prep
 
@@ -460,9 +456,9 @@ def imputation_frame(spark: SparkSession, prep: FittedPrep) -> DataFrame:
 
 def report_frame(spark: SparkSession, prep: FittedPrep, original_rows: int | None = None) -> DataFrame:
     r = prep.report
-    row = (r["transformations"], int(r["processed_rows"]), int(r["num_features"]), int(r["nulls_filled"]),
+    row = ([(step, list(cols), int(cells)) for step, cols, cells in r["steps"]], int(r["processed_rows"]), int(r["num_features"]), int(r["nulls_filled"]),
            r["numeric_columns"], r["categorical_columns"], original_rows)
-    return spark.createDataFrame([row], "transformations array<string>, processed_rows bigint, num_features int, "
+    return spark.createDataFrame([row], "steps array<struct<step:string,columns:array<string>,cells:bigint>>, processed_rows bigint, num_features int, "
                                         "nulls_filled bigint, numeric_columns array<string>, "
                                         "categorical_columns array<string>, original_rows bigint")
 
@@ -481,7 +477,7 @@ def prep_full_table(df: DataFrame, features: list[str], target: str, keep: list[
     kept, original, _removed = drop_null_target(df, target)
     out, prep = fit_transform(kept, features, target, keep=keep, **kw)
     if _removed:
-        prep.report["transformations"] = [f"Removed {_removed} rows with null target"] + prep.report["transformations"]
+        prep.report["steps"].insert(0, ("drop_null_target", [target], _removed))
     return out, prep, original
 
 
