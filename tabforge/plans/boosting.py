@@ -1,7 +1,7 @@
 """Multiclass gradient boosting on the joint softmax loss (G3 for three or more classes).
 
 A stage fits one regression tree a class to the residuals ``y_k - p_k`` of all rows; all classes' trees grow side by side,
-a level at a time.  Features are cut into at most ``max_bins`` bins once.  A level is one job: every task adds up residuals and their
+a level at a time.  Features are cut into at most ``max_bins`` bins once, and rows alike in bins and class become one weighted row.  A level is one job: every task adds up residuals and their
 Newton weights by class, node, feature and bin in arrays of that fixed size, grouped sums bring the tasks' cells together, and the
 driver takes the cut of largest gain for each node.  Leaf values are not the trees' means but one Newton step of the joint
 loss, ``(K - 1) / K * sum(r) / sum(|r| (1 - |r|))``, from the same sums, so a stage reads the rows ``depth`` times whatever the
@@ -31,9 +31,8 @@ from tabforge.session import cut_lineage
 CUT, MAX_CELLS, TINY = 10, 2_000_000, 1e-150
 
 
-def bin_edges(df: DataFrame, x: str, width: int, max_bins: int) -> list[np.ndarray]:
-    """Per feature the thresholds between its bins: between all neighbouring values where there are at most ``max_bins`` of
-    them, else between quantiles."""
+def bin_values(df: DataFrame, x: str, width: int, max_bins: int) -> list[np.ndarray]:
+    """Per feature a value for each of its bins: all values where there are at most ``max_bins`` of them, else quantiles."""
     if not width:
         return []
     about = df.agg(*[F.approx_count_distinct(F.col(x)[f]).alias(str(f)) for f in range(width)]).first()
@@ -49,11 +48,12 @@ def bin_edges(df: DataFrame, x: str, width: int, max_bins: int) -> list[np.ndarr
         cuts = [(b + 0.5) / max_bins for b in range(max_bins)]
         named = df.select(*[F.col(x)[f].alias(f"f{f}") for f in many])
         values.update(zip(many, named.stat.approxQuantile([f"f{f}" for f in many], cuts, 0.25 / max_bins), strict=True))
-    out = []
-    for f in range(width):
-        v = np.unique([a for a in values[f] if a is not None and not math.isnan(a)])
-        out.append((v[1:] + v[:-1]) / 2)
-    return out
+    return [np.unique([a for a in values[f] if a is not None and not math.isnan(a)]) for f in range(width)]
+
+
+def middles(values: np.ndarray) -> np.ndarray:
+    """The thresholds between bins: halfway between neighbours."""
+    return (values[1:] + values[:-1]) / 2
 
 
 @dataclass
@@ -181,13 +181,15 @@ class SoftmaxBoosting:
         n, width = sum(r["n"] for r in seen), max((r["width"] for r in seen), default=0)
         share = {r["y"]: r["n"] / n for r in seen}
         start = np.log(np.clip([share.get(c, 0.0) for c in range(k)], np.finfo(np.float32).eps, 1.0))
-        edges = bin_edges(base, "x", width, self.max_bins)
-        rows = cut_lineage(base.select(binned("x", edges, width).alias("bins"), "y", F.lit(start.tolist()).alias("scores")))
+        edges = [middles(v) for v in bin_values(base, "x", width, self.max_bins)]
+        # rows alike in bins and class have the same score in every stage: they go through the stages as one row of weight n
+        alike = base.select(binned("x", edges, width).alias("bins"), "y").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+        rows = cut_lineage(alike.select("bins", "y", "n", F.lit(start.tolist()).alias("scores")))
         base.unpersist()
         rows, losses, trees, recent = rows.persist(StorageLevel.MEMORY_AND_DISK), [], [], []
         for _ in range(self.stages):
             if len(recent) == CUT:
-                rows, before = cut_lineage(rows.select("bins", "y", added(recent, k, width).alias("scores"))), rows
+                rows, before = cut_lineage(rows.select("bins", "y", "n", added(recent, k, width).alias("scores"))), rows
                 before.unpersist()
                 rows, recent = rows.persist(StorageLevel.MEMORY_AND_DISK), []
             forest, sums = Forest(np.zeros((k, (1 << depth) - 1), np.int64), np.full((k, (1 << depth) - 1), self.max_bins, np.int64)), None
@@ -202,7 +204,7 @@ class SoftmaxBoosting:
                 value[safe] = self.step * (k - 1) / k * g[safe] / h[safe]
             recent.append((forest, value))
             trees.append((forest, value))
-        losses.append((rows.select("y", added(recent, k, width).alias("s")).agg(F.sum(-F.ln(shares("s")[F.col("y")]))).first()[0] or 0.0) / max(n, 1))
+        losses.append((rows.select("y", "n", added(recent, k, width).alias("s")).agg(F.sum(-F.ln(shares("s")[F.col("y")]) * F.col("n"))).first()[0] or 0.0) / max(n, 1))
         rows.unpersist()
         ends = [np.append(e, np.inf) for e in edges]
         threshold = [[[ends[f][b] if f < len(ends) and b < len(ends[f]) else np.inf for f, b in zip(fs, bs, strict=True)]
@@ -291,21 +293,20 @@ def cells(rows: DataFrame, recent: list, forest: Forest, level: int, features: l
         for b in batches:
             if not b.num_rows:
                 continue
-            bins, y = read(b.column("bins"), width, np.int64), b.column("y").to_numpy()
+            bins, y, times = read(b.column("bins"), width, np.int64), b.column("y").to_numpy(), b.column("n").to_numpy().astype(float)
             r, own = residual(with_recent(read(b.column("scores"), k, float), bins, recent), y)
-            loss -= float(np.log(own).sum())
+            loss -= float((times * np.log(own)).sum())
             at = place(bins, level) + np.arange(k)[None, :] * nodes
             if some:
                 cell = ((at[:, :, None] * some + np.arange(some)) * top + bins[:, None, features]).ravel()
                 weight = np.abs(r) * (1.0 - np.abs(r))
-                for j, w in enumerate((r, weight)):
-                    total[j] += np.bincount(cell, np.repeat(w.ravel(), some), size)
-                total[2] += np.bincount(cell, minlength=size)
+                for j, w in enumerate((r, weight, np.ones_like(r))):
+                    total[j] += np.bincount(cell, np.repeat((w * times[:, None]).ravel(), some), size)
         seen = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_pydict({"cell": np.append(seen, -1), "g": np.append(total[0][seen], loss), "h": np.append(total[1][seen], 0.0),
                                           "n": np.append(total[2][seen], 0.0)})
 
-    met = rows.select("bins", "y", "scores").mapInArrow(add_up, "cell long, g double, h double, n double")
+    met = rows.select("bins", "y", "n", "scores").mapInArrow(add_up, "cell long, g double, h double, n double")
     found = met.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
     cell = found["cell"].to_numpy()
     inner = cell >= 0
