@@ -9,6 +9,7 @@ model, repeats.  ``key_layout=True`` re-partitions the training rows by key and
 sorts them (same rows -> same model under any input layout) at the cost of one
 shuffle; a key holding a large share of rows then loads one task, so it is off
 by default.  Inputs with fewer partitions than task slots are spread round-robin.
+Forests and boosted trees grow on weighted cells of the binned rows where those are far fewer than the rows (``plans.cells``).
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ from tabforge.functions.exprs import qcol
 from tabforge.operators.metrics import classification_metrics, regression_metrics
 from tabforge.operators.prep import FittedPrep
 from tabforge.plans.boosting import SoftmaxBoosting, SoftmaxBoostModel
+from tabforge.plans.cells import cells_of, fit_on_cells
 
 # fixed values: algorithm names and order per problem type
 CLASSIFICATION_ALGORITHMS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 REGRESSION_ALGORITHMS = ("Linear Regression", "Random Forest", "Gradient Boosting")
 JOIN_LABELS = 200  # more labels than this are looked up by a join, not in a map literal
+TREE_ROWS = 500_000  # rows a task of the tree learners where they learn from rows: a row there takes some bytes for every tree
+
+
+SPARK_TREES = (GBTClassifier, GBTRegressor, RandomForestClassifier, RandomForestRegressor)
 
 
 @dataclass
@@ -194,13 +200,19 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
         # few input splits (small files): spread rows round-robin over the cluster's task slots;
         # an even split, so no key can load one task.  Large inputs keep their scan partitions.
         tr = tr.repartition(par)
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    te = prepare_xy(prep, test, target, labels, keep, False).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = tr.select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    te = prepare_xy(prep, test, target, labels, [], False).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = prep.report["processed_rows"]
     results, rows = [], []
 
     def fit_one(i: int, name: str, est) -> tuple:
-        model = without_summary(est.fit(tr))
+        if not isinstance(est, SPARK_TREES):
+            model = without_summary(est.fit(tr))
+        elif cells:
+            model = fit_on_cells(est, cells)
+        else:
+            wanted = -(-n_train // TREE_ROWS)
+            model = est.fit(tr.repartition(wanted) if 0 < parts < wanted and not key_layout else tr)
         scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
         # model inference runs once: the narrow scored rows are kept while the metrics read them
         cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])
@@ -219,7 +231,10 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
 
     todo = [(i, name, est) for i, (name, est) in enumerate(estimators(problem_type, len(labels or []), n_train, p))
             if not algorithms or name in algorithms]
+    cells = None
     try:
+        if not key_layout and any(isinstance(est, SPARK_TREES) for _, _, est in todo):
+            cells = cells_of(tr, n_train, len(labels) if labels is not None else None, p.max_bins)
         if parallel and len(todo) > 1:
             # the estimators are independent: submit their Spark jobs concurrently from driver threads
             from concurrent.futures import ThreadPoolExecutor
@@ -231,6 +246,8 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
             results.append(res)
             rows.append(row)
     finally:
+        if cells:
+            cells.rows.unpersist()
         tr.unpersist()
         te.unpersist()
     schema = T.StructType([
