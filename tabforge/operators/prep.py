@@ -127,7 +127,17 @@ class FittedPrep:
             raise KeyError(f"columns not found: {missing}")
         if target in features:
             raise ValueError("the target cannot be a feature")
-        df = with_nan_as_null(df)
+        # the passes read the fit's own columns; where they come from a split or a join, that is worked out once
+        df = with_nan_as_null(df.select(*[qcol(c) for c in dict.fromkeys([*features, target])])).persist()
+        try:
+            return cls._fitted(df, features, target, median, map_max, map_total_max, broadcast_bytes, hot_share, salt_buckets, accuracy,
+                               max_bracket, kind_source)
+        finally:
+            df.unpersist()
+
+    @classmethod
+    def _fitted(cls, df: DataFrame, features: list[str], target: str, median: str, map_max: int, map_total_max: int, broadcast_bytes: int,
+                hot_share: float, salt_buckets: int, accuracy: int, max_bracket: int | None, kind_source: DataFrame | None) -> FittedPrep:
         types = {f.name: f.dataType for f in df.schema.fields}
         tdt = types[target]
         target_numeric = isinstance(tdt, (T.NumericType, T.BooleanType))
