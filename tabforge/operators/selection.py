@@ -23,6 +23,7 @@ import decimal
 import math
 import struct
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +36,45 @@ _SMALLEST_NORMAL, _SMALLEST = 2.0 ** -1022, 2.0 ** -1074
 _EPOCH = _dt.datetime(1970, 1, 1)
 
 
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e.cast("double"))  # exact for whole exponents
+
+
+def _exponent(a: Column, guess: Column) -> Column:
+    return guess + F.when(a >= _power(guess + 1), 1).when(a < _power(guess), -1).otherwise(0)
+
+
+def _double_size(x: Column, a: Column, e: Column) -> Column:
+    # a scaled to [1, 2): both steps are exact
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((a / _power(e) - 1.0) * F.lit(2.0 ** 52)).cast("long")
+    return (F.when(F.isnan(x), F.lit((2047 << 52) + (1 << 51))).when(a == float("inf"), F.lit(2047 << 52))
+            .when(a >= _SMALLEST_NORMAL, normal).otherwise((a / F.lit(_SMALLEST)).cast("long")))
+
+
 def _double_key(x: Column) -> Column:
     """A double's place among all doubles as a bigint: sign, exponent and mantissa as in its IEEE form, -0.0 like 0.0, NaN last."""
     a = F.abs(x)
-    guess = F.floor(F.log2(a))
-    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # noqa: E731  (exact for whole exponents)
-    e = guess + F.when(a >= power(guess + 1), 1).when(a < power(guess), -1).otherwise(0)
-    # a scaled to [1, 2): both steps are exact
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((a / power(e) - 1.0) * F.lit(2.0 ** 52)).cast("long")
-    size = (F.when(F.isnan(x), F.lit((2047 << 52) + (1 << 51))).when(a == float("inf"), F.lit(2047 << 52))
-            .when(a >= _SMALLEST_NORMAL, normal).otherwise((a / F.lit(_SMALLEST)).cast("long")))
+    size = _double_size(x, a, _exponent(a, F.floor(F.log2(a))))
     return F.when(x < 0.0, -size).otherwise(size)
 
 
+def order_keys(df: DataFrame, cols: list[str], types: dict[str, T.DataType]) -> DataFrame:
+    """``order_key`` of some columns, named 0, 1, ...  A double's key comes in steps, one projection each: as one expression it
+    holds the logarithm dozens of times, and Spark neither compiles that nor shares its parts."""
+    names = [str(i) for i in range(len(cols))]
+    doubles = [n for n, c in zip(names, cols, strict=True) if isinstance(types[c], (T.FloatType, T.DoubleType))]
+    keyed = df.select(*[(qcol(c).cast("double") if n in doubles else order_key(qcol(c), types[c])).alias(n) for n, c in zip(names, cols, strict=True)])
+    if not doubles:
+        return keyed
+    of = lambda kind, n: F.col(f"{kind}{n}")
+    keyed = keyed.select("*", *[F.abs(n).alias(f"a{n}") for n in doubles])
+    # infinity and NaN have no exponent
+    keyed = keyed.select("*", *[F.floor(F.log2(F.when(of("a", n) < float("inf"), of("a", n)))).alias(f"g{n}") for n in doubles])
+    keyed = keyed.select("*", *[_exponent(of("a", n), of("g", n)).alias(f"e{n}") for n in doubles])
+    keyed = keyed.select("*", *[F.when(F.col(n).isNotNull(), _double_size(F.col(n), of("a", n), of("e", n))).alias(f"s{n}") for n in doubles])
+    return keyed.select(*[(F.when(F.col(n) < 0.0, -of("s", n)).otherwise(of("s", n)) if n in doubles else F.col(n)).alias(n) for n in names])
+
+
 def order_key(c: Column, dtype: T.DataType) -> Column:
     """A bigint in the order of the column's values (null stays null)."""
     if isinstance(dtype, T.IntegralType):
@@ -103,14 +130,19 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int
     if not cols:
         return {}
     types = {c: df.schema[c].dataType for c in cols}
-    # unsigned digits: the sign bit turned around
-    keys = {c: order_key(qcol(c), types[c]).bitwiseXOR(F.lit(-(1 << 63))) for c in cols}
     #: (column, digits so far) -> [(rank inside, rank wanted)]
     brackets = {(i, 0): [(r, r) for r in wanted[c]] for i, c in enumerate(cols)}
     left = KEY_BITS
-    for width in _widths(sum(map(len, wanted.values()))):
-        brackets = _narrowed(df, [keys[c] for c in cols], brackets, left, width)
-        left -= width
+    # the passes read the keys, which are worked out once
+    keyed = order_keys(df, cols, types)
+    # unsigned digits: the sign bit turned around
+    keyed = keyed.select(*[F.col(k).bitwiseXOR(F.lit(-(1 << 63))).alias(k) for k in keyed.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for width in _widths(sum(map(len, wanted.values()))):
+            brackets = _narrowed(keyed, brackets, left, width)
+            left -= width
+    finally:
+        keyed.unpersist()
     out: dict[str, dict[int, object]] = {c: {} for c in cols}
     for (i, digits), found in brackets.items():
         value = key_value(digits - (1 << 63), types[cols[i]])
@@ -118,16 +150,20 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int
     return out
 
 
-def _narrowed(df: DataFrame, keys: list[Column], brackets: dict, left: int, width: int) -> dict:
+def _narrowed(keyed: DataFrame, brackets: dict, left: int, width: int) -> dict:
     """One pass: the brackets with the next ``width`` of the ``left`` bits."""
-    cells = []
-    for i, key in enumerate(keys):
-        known = [digits for col, digits in brackets if col == i]
-        above = F.shiftrightunsigned(key, left) if left < KEY_BITS else F.lit(0).cast("bigint")
-        digit = F.shiftrightunsigned(key, left - width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        inside = key.isNotNull() & (above.isin(known) if left < KEY_BITS else F.lit(True))
-        cells.append(F.when(inside, F.struct(F.lit(i).alias("col"), above.alias("above"), digit.alias("digit"))))
-    long = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    # unpivot and plain comparisons, which Spark compiles (an exploded array of the keys or a lambda over it is interpreted)
+    long = keyed.unpivot([], keyed.columns, "col", "key").where(F.col("key").isNotNull())
+    long = long.select(F.col("col").cast("int").alias("col"), "key")
+    key = F.col("key")
+    above = F.shiftrightunsigned(key, left) if left < KEY_BITS else F.lit(0).cast("bigint")
+    if left < KEY_BITS:
+        inside = F.lit(False)
+        for i in range(len(keyed.columns)):
+            if known := [digits for col, digits in brackets if col == i]:
+                inside = inside | ((F.col("col") == i) & above.isin(known))
+        long = long.where(inside)
+    long = long.select("col", above.alias("above"), F.shiftrightunsigned(key, left - width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("digit"))
     seen = long.groupBy("col", "above", "digit").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("col", "above").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = seen.withColumn("end", F.sum("n").over(w)).withColumn("first", F.col("end") - F.col("n"))

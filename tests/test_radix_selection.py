@@ -77,3 +77,17 @@ def test_passes_do_not_depend_on_the_data(spark, monkeypatch, ranks, passes):
         want = sorted(r["v"] for r in df.collect())
         assert S.kth_values(df, {"v": ranks}, {"v": 1000})["v"] == {r: want[r] for r in ranks}
         assert len(done) == passes
+
+
+def test_passes_read_keys_worked_out_once_and_in_steps(spark, monkeypatch):
+    met, narrowed = [], S._narrowed
+    monkeypatch.setattr(S, "_narrowed", lambda keyed, *a: met.append((keyed, keyed.storageLevel.useMemory)) or narrowed(keyed, *a))
+    xs = [(float("nan"), 1.0), (-0.0, None), (5e-324, -2.5), (-1.7e308, float("inf")), (None, 3.0)]
+    df = spark.createDataFrame(xs, "a double, b double")
+    assert S.kth_values(df, {"a": [0, 2], "b": [0, 3]}, {"a": 4, "b": 4}) == {"a": {0: -1.7e308, 2: 5e-324}, "b": {0: -2.5, 3: float("inf")}}
+    # one logarithm a column, in a stored table that every pass reads
+    assert len(met) == 4 and all(k is met[0][0] and stored for k, stored in met)
+    assert met[0][0]._jdf.queryExecution().optimizedPlan().toString().upper().count("LOG2") == 2
+    keys = S.order_keys(df, ["a", "b"], {c: T.DoubleType() for c in "ab"}).collect()
+    want = df.select(*[S.order_key(F.col(c), T.DoubleType()).alias(c) for c in "ab"]).collect()
+    assert [tuple(r) for r in keys] == [tuple(r) for r in want]
