@@ -133,16 +133,20 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int
     #: (column, digits so far) -> [(rank inside, rank wanted)]
     brackets = {(i, 0): [(r, r) for r in wanted[c]] for i, c in enumerate(cols)}
     left = KEY_BITS
-    # the passes read the keys, which are worked out once
+    # the passes over many rows read the keys, which are worked out once; for few rows storing them is a job too many
+    stored = max(counts[c] for c in cols) > DEFAULT_MAX_BRACKET
     keyed = order_keys(df, cols, types)
     # unsigned digits: the sign bit turned around
-    keyed = keyed.select(*[F.col(k).bitwiseXOR(F.lit(-(1 << 63))).alias(k) for k in keyed.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = keyed.select(*[F.col(k).bitwiseXOR(F.lit(-(1 << 63))).alias(k) for k in keyed.columns])
+    if stored:
+        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for width in _widths(sum(map(len, wanted.values()))):
             brackets = _narrowed(keyed, brackets, left, width)
             left -= width
     finally:
-        keyed.unpersist()
+        if stored:
+            keyed.unpersist()
     out: dict[str, dict[int, object]] = {c: {} for c in cols}
     for (i, digits), found in brackets.items():
         value = key_value(digits - (1 << 63), types[cols[i]])

@@ -81,6 +81,7 @@ def test_passes_do_not_depend_on_the_data(spark, monkeypatch, ranks, passes):
 
 def test_passes_read_keys_worked_out_once_and_in_steps(spark, monkeypatch):
     met, narrowed = [], S._narrowed
+    monkeypatch.setattr(S, "DEFAULT_MAX_BRACKET", 0)  # keys of more rows than that are stored
     monkeypatch.setattr(S, "_narrowed", lambda keyed, *a: met.append((keyed, keyed.storageLevel.useMemory)) or narrowed(keyed, *a))
     xs = [(float("nan"), 1.0), (-0.0, None), (5e-324, -2.5), (-1.7e308, float("inf")), (None, 3.0)]
     df = spark.createDataFrame(xs, "a double, b double")
