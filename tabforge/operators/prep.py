@@ -117,8 +117,8 @@ class FittedPrep:
             broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
             hot_share: float = DEFAULT_HOT_SHARE, salt_buckets: int = DEFAULT_SALT_BUCKETS,
             accuracy: int = 10_000, max_bracket: int | None = None,
-            kind_source: DataFrame | None = None) -> FittedPrep:
-        """Fit on the training rows (target already non-null).
+            kind_source: DataFrame | None = None, kept: bool = False) -> FittedPrep:
+        """Fit on the training rows (target already non-null).  ``kept``: the caller holds the rows, so the passes read those.
 
         ``kind_source`` (e.g. the whole table before the split) decides whether a bool column has
         nulls - and so is categorical - as a file-level dtype would; by default the training rows do."""
@@ -128,12 +128,15 @@ class FittedPrep:
         if target in features:
             raise ValueError("the target cannot be a feature")
         # the passes read the fit's own columns; where they come from a split or a join, that is worked out once
-        df = with_nan_as_null(df.select(*[qcol(c) for c in dict.fromkeys([*features, target])])).persist()
+        df = with_nan_as_null(df.select(*[qcol(c) for c in dict.fromkeys([*features, target])]))
+        if not kept:
+            df = df.persist()
         try:
             return cls._fitted(df, features, target, median, map_max, map_total_max, broadcast_bytes, hot_share, salt_buckets, accuracy,
                                max_bracket, kind_source)
         finally:
-            df.unpersist()
+            if not kept:
+                df.unpersist()
 
     @classmethod
     def _fitted(cls, df: DataFrame, features: list[str], target: str, median: str, map_max: int, map_total_max: int, broadcast_bytes: int,

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from tabforge.functions.exprs import qcol
 
 DEFAULT_MAX_BRACKET = 1_000_000
+FEW_VALUES = 100_000  # the exact median aggregate holds a count for each different value of a column
 KEY_BITS, WIDE, NARROW, FEW_BRACKETS = 64, 16, 12, 16
 _SMALLEST_NORMAL, _SMALLEST = 2.0 ** -1022, 2.0 ** -1074
 _EPOCH = _dt.datetime(1970, 1, 1)
@@ -192,15 +193,22 @@ def median_ranks(n: int) -> list[int]:
 def exact_medians(df: DataFrame, counts: dict[str, int], max_bracket: int = DEFAULT_MAX_BRACKET, **kw) -> dict[str, float]:
     """Median with two-middle interpolation (pandas / DuckDB ``median``), all columns at once.
 
-    When every column has at most ``max_bracket`` values the exact ``median`` aggregate is used
-    directly (its per-column buffer is bounded by that proven count); otherwise the digit selection."""
+    The exact ``median`` aggregate is used directly where its per-column buffer, a count for each different value, is
+    small: every column has at most ``max_bracket`` values, or a column about ``FEW_VALUES`` different ones, however many
+    rows; the other columns go through the digit selection."""
     live = {c: n for c, n in counts.items() if n > 0}
-    if live and max(live.values()) <= max_bracket:
-        row = df.agg(*[F.median(qcol(c)).alias(c) for c in live]).first()
-        return {c: float(row[c]) for c in live}
-    ks = {c: median_ranks(n) for c, n in live.items()}
-    vals = kth_values(df, ks, counts, **kw)
+    few = list(live)
+    if live and max(live.values()) > max_bracket:
+        about = df.agg(*[F.approx_count_distinct(qcol(c)).alias(str(i)) for i, c in enumerate(live)]).first()
+        few = [c for i, c in enumerate(live) if about[str(i)] <= min(FEW_VALUES, max_bracket)]
     out = {}
+    if few:
+        row = df.agg(*[F.median(qcol(c)).alias(str(i)) for i, c in enumerate(few)]).first()
+        out = {c: float(row[str(i)]) for i, c in enumerate(few)}
+    ks = {c: median_ranks(n) for c, n in live.items() if c not in out}
+    if not ks:
+        return out
+    vals = kth_values(df, ks, counts, **kw)
     for c, rs in ks.items():
         got = vals.get(c, {})
         xs = [float(got[r]) for r in rs]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tabforge.session import cut_lineage
 
 CUT, MAX_CELLS, TINY = 10, 2_000_000, 1e-150
+ROWS_OF_A_TASK = 50_000  # so few weighted rows go through a level in one task, without a shuffle
 
 
 def bin_values(df: DataFrame, x: str, width: int, max_bins: int) -> list[np.ndarray]:
@@ -173,19 +174,23 @@ class SoftmaxBoosting:
     seed: int = 42
     labelCol: str = "label_idx"
 
-    def fit(self, df: DataFrame) -> SoftmaxBoostModel:
+    def fit(self, df: DataFrame, weight: str | None = None) -> SoftmaxBoostModel:
+        """``weight``: a column with the number of rows that a row stands for (of so many as to hold every value of a feature)."""
         k, depth = self.n_classes, self.depth
-        base = df.select(vector_to_array("features").alias("x"), F.col(self.labelCol).cast("int").alias("y"))
+        base = df.select(vector_to_array("features").alias("x"), F.col(self.labelCol).cast("int").alias("y"),
+                         (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
-        seen = base.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).collect()  # one row a class
+        seen = base.groupBy("y").agg(F.sum("n").alias("n"), F.max(F.size("x")).alias("width")).collect()  # one row a class
         n, width = sum(r["n"] for r in seen), max((r["width"] for r in seen), default=0)
         share = {r["y"]: r["n"] / n for r in seen}
         start = np.log(np.clip([share.get(c, 0.0) for c in range(k)], np.finfo(np.float32).eps, 1.0))
         edges = [middles(v) for v in bin_values(base, "x", width, self.max_bins)]
         # rows alike in bins and class have the same score in every stage: they go through the stages as one row of weight n
-        alike = base.select(binned("x", edges, width).alias("bins"), "y").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+        alike = base.select(binned("x", edges, width).alias("bins"), "y", "n").groupBy("bins", "y").agg(F.sum("n").alias("n"))
         rows = cut_lineage(alike.select("bins", "y", "n", F.lit(start.tolist()).alias("scores")))
         base.unpersist()
+        if one_task := rows.count() <= ROWS_OF_A_TASK:
+            rows = rows.coalesce(1)
         rows, losses, trees, recent = rows.persist(StorageLevel.MEMORY_AND_DISK), [], [], []
         for _ in range(self.stages):
             if len(recent) == CUT:
@@ -194,7 +199,7 @@ class SoftmaxBoosting:
                 rows, recent = rows.persist(StorageLevel.MEMORY_AND_DISK), []
             forest, sums = Forest(np.zeros((k, (1 << depth) - 1), np.int64), np.full((k, (1 << depth) - 1), self.max_bins, np.int64)), None
             for level in range(depth):
-                sums, loss = grow(rows, recent, forest, level, [len(e) + 1 for e in edges], k)
+                sums, loss = grow(rows, recent, forest, level, [len(e) + 1 for e in edges], k, one_task)
                 if level == 0:
                     losses.append(loss / max(n, 1))
             value = np.zeros((k, 1 << depth))
@@ -246,7 +251,7 @@ def added(recent: list[tuple[Forest, np.ndarray]], k: int, width: int) -> Column
     return add("bins", "scores")
 
 
-def grow(rows: DataFrame, recent: list, forest: Forest, level: int, sizes: list[int], k: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+def grow(rows: DataFrame, recent: list, forest: Forest, level: int, sizes: list[int], k: int, one_task: bool = False) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     """Cut every node of a level where that gains most (``forest`` is written) and return the residual and weight sums of the
     next level's nodes, by class and node, and the loss of the present scores."""
     nodes, width, top = 1 << level, len(sizes), max(sizes, default=1)
@@ -258,7 +263,7 @@ def grow(rows: DataFrame, recent: list, forest: Forest, level: int, sizes: list[
     per = max(1, MAX_CELLS // (k * nodes * top))
     for begin in range(0, max(width, 1), per):
         features = list(range(begin, min(width, begin + per)))
-        g, h, n, loss = cells(rows, recent, forest, level, features, top, k, width)
+        g, h, n, loss = cells(rows, recent, forest, level, features, top, k, width, one_task)
         if not features:
             break
         left = [np.cumsum(a, axis=3) for a in (g, h, n)]
@@ -281,8 +286,10 @@ def grow(rows: DataFrame, recent: list, forest: Forest, level: int, sizes: list[
     return (sums[0].reshape(k, 2 * nodes), sums[1].reshape(k, 2 * nodes)), loss
 
 
-def cells(rows: DataFrame, recent: list, forest: Forest, level: int, features: list[int], top: int, k: int, width: int):
-    """Residuals, weights and rows by (class, node, feature, bin), and the loss: each task adds up its own, then grouped sums."""
+def cells(rows: DataFrame, recent: list, forest: Forest, level: int, features: list[int], top: int, k: int, width: int,
+          one_task: bool = False):
+    """Residuals, weights and rows by (class, node, feature, bin), and the loss: each task adds up its own, then grouped sums.
+    ``one_task``: the rows are so few that a task holds them, whose sums are all there is to sum."""
     nodes, some = 1 << level, len(features)
     shape = (k, nodes, some, top)
     size = k * nodes * some * top
@@ -307,7 +314,7 @@ def cells(rows: DataFrame, recent: list, forest: Forest, level: int, features: l
                                           "n": np.append(total[2][seen], 0.0)})
 
     met = rows.select("bins", "y", "n", "scores").mapInArrow(add_up, "cell long, g double, h double, n double")
-    found = met.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+    found = (met if one_task else met.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))).toArrow()
     cell = found["cell"].to_numpy()
     inner = cell >= 0
     out = [np.zeros(size) for _ in range(3)]

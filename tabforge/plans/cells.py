@@ -27,12 +27,14 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.plans.boosting import bin_values, binned, middles
+from tabforge.functions.exprs import qcol
+from tabforge.plans.boosting import SoftmaxBoosting, bin_values, binned, middles
 
 LEAST_ROWS = 500_000  # fewer rows are quickly learned from as they are
 SHARED = 4  # cells are used where they are at most a fourth of the rows
 CELLS_PER_TASK = 50_000
 TREES_AT_ONCE = 8
+MOST_BROADCAST = 100_000  # scored kinds of rows that go to every task
 
 
 @dataclass
@@ -42,6 +44,7 @@ class Cells:
     count: int
     width: int
     n_classes: int | None
+    whole: bool = False  # a cell's rows are alike in the features' own values
 
 
 def cells_of(df: DataFrame, n: int, n_classes: int | None, max_bins: int, least_rows: int = LEAST_ROWS) -> Cells | None:
@@ -70,6 +73,48 @@ def cells_of(df: DataFrame, n: int, n_classes: int | None, max_bins: int, least_
     return Cells(cells, cells.count(), width, n_classes)
 
 
+def alike_of(base: DataFrame, prep, target: str, labels: list | None, prepare, max_bins: int, least_rows: int = LEAST_ROWS) -> Cells | None:
+    """Cells without bins: rows alike in every raw feature (nulls filled) and class as one weighted row, or None where they are more
+    than a fourth of the rows or a feature has more than ``max_bins`` values.  Nothing is lost in such cells, so linear models learn
+    from them as well.  ``base``: the rows' features and target; ``prepare``: the preparation of some rows for the learners."""
+    n, feats = prep.report["processed_rows"], prep.features
+    if n < max(least_rows, 1):
+        return None
+    names = [f"__f{i}" for i in range(len(feats))]
+    rows = prep.impute(base, [target]).select(*[qcol(c).alias(a) for a, c in zip(names, feats, strict=True)], qcol(target).alias("__y"))
+    keys = names + ["__y"] * (labels is not None)
+    known, about, *each = rows.agg(F.count("__y"), F.approx_count_distinct(F.xxhash64(*keys)), *[F.approx_count_distinct(c) for c in names]).first()
+    if known < n or SHARED * about > n or max(each, default=0) > 1.2 * max_bins:
+        return None
+    sums = [F.count(F.lit(1)).cast("double").alias("__n")]
+    if labels is None:
+        sums += [F.avg(F.col("__y").cast("double")).alias("__y"), F.var_pop(F.col("__y").cast("double")).alias("__var")]
+    grouped = rows.groupBy(*keys).agg(*sums).withColumn("__cell", F.xxhash64(*names, *keys[len(names):]))
+    extra = {"__n": "n", "__cell": "cell"} | ({"__var": "var"} if labels is None else {})
+    grouped = grouped.select(*[F.col(a).alias(c) for a, c in zip(names, feats, strict=True)], F.col("__y").alias(target), *extra)
+    x = prepare(grouped, list(extra))
+    cells = x.select("features", "label_idx", *[F.col(a).alias(b) for a, b in extra.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+    count = cells.count()
+    values = cells.select(F.posexplode(vector_to_array("features"))).distinct().groupBy("pos").count().agg(F.max("count")).first()[0]
+    if not count or (values or 0) > max_bins:
+        cells.unpersist()
+        return None
+    return Cells(cells, count, len(feats), len(labels) if labels is not None else None, True)
+
+
+def once_each(base: DataFrame, prep, target: str, score, n_columns: list[str], least_rows: int = LEAST_ROWS) -> DataFrame | None:
+    """The target and the scored columns of the rows of ``base``, of which those alike in every raw feature are scored once, or None
+    where few are alike.  ``score``: scores some rows, keeping the named columns."""
+    feats = prep.features
+    names = [f"__f{i}" for i in range(len(feats))]
+    rows = prep.impute(base, [target]).select(*[qcol(c).alias(a) for a, c in zip(names, feats, strict=True)], qcol(target).alias("__y"))
+    n, about = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*names))).first()
+    if n < max(least_rows, 1) or SHARED * about > n or about > MOST_BROADCAST:
+        return None
+    kinds = rows.select(*names).distinct().select("*", *[F.col(a).alias(c) for a, c in zip(names, feats, strict=True)])
+    return rows.join(F.broadcast(score(kinds, names).select(*names, *n_columns)), names).select(F.col("__y").alias(target), *n_columns)
+
+
 def few_tasks(df: DataFrame, cells: int) -> DataFrame:
     return df.coalesce(max(1, -(-cells // CELLS_PER_TASK)))
 
@@ -130,10 +175,12 @@ def one_forest(est, grown: list, cells: Cells):
     return est._copyValues(model)
 
 
-def fit_boosted(est, cells: Cells):
-    """Boosted trees of ``pyspark.ml`` on cells: losses and gradients weigh a cell by its rows."""
+def fit_weighted(est, cells: Cells):
+    """Boosted trees, and on whole cells linear models, of ``pyspark.ml``: losses and gradients weigh a cell by its rows."""
     return est.copy({est.weightCol: "n"}).fit(few_tasks(cells.rows.select("features", "label_idx", "n"), cells.count))
 
 
 def fit_on_cells(est, cells: Cells):
-    return fit_forest(est, cells) if hasattr(est, "getNumTrees") else fit_boosted(est, cells)
+    if isinstance(est, SoftmaxBoosting):
+        return est.fit(cells.rows, "n")
+    return fit_forest(est, cells) if hasattr(est, "getNumTrees") else fit_weighted(est, cells)

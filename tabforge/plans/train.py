@@ -28,7 +28,7 @@ from tabforge.functions.exprs import qcol
 from tabforge.operators.metrics import classification_metrics, regression_metrics
 from tabforge.operators.prep import FittedPrep
 from tabforge.plans.boosting import SoftmaxBoosting, SoftmaxBoostModel
-from tabforge.plans.cells import cells_of, fit_on_cells
+from tabforge.plans.cells import alike_of, cells_of, fit_on_cells, once_each
 
 # fixed values: algorithm names and order per problem type
 CLASSIFICATION_ALGORITHMS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
@@ -183,12 +183,14 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
     kw = dict(prep_kw or {})
     if any(train.schema[c].dataType.simpleString() == "boolean" for c in features):
         kw.setdefault("kind_source", train.unionByName(test))  # bool kind is a whole-table property
-    prep = FittedPrep.fit(train, features, target, **kw)
+    keep = list(keys or []) if key_layout else []
+    # every pass over the training rows reads these columns, so the split is worked out once
+    base = train.select(*[qcol(c) for c in dict.fromkeys([*keep, *features, target])]).persist(StorageLevel.MEMORY_AND_DISK)
+    prep = FittedPrep.fit(base, features, target, kept=True, **kw)
     if on_prepared:
         on_prepared(prep)
-    labels = label_index(train, target) if problem_type == "classification" else None
-    keep = list(keys or [])
-    tr = prepare_xy(prep, train, target, labels, keep, True)
+    labels = label_index(base, target) if problem_type == "classification" else None
+    tr = prepare_xy(prep, base, target, labels, keep, True)
     try:
         par = spark.sparkContext.defaultParallelism
         parts = train.select(target).rdd.getNumPartitions() if spread is None else 0  # of the scan: no job runs
@@ -200,23 +202,28 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
         # few input splits (small files): spread rows round-robin over the cluster's task slots;
         # an even split, so no key can load one task.  Large inputs keep their scan partitions.
         tr = tr.repartition(par)
-    tr = tr.select("features", "label_idx").persist(StorageLevel.MEMORY_AND_DISK)
-    te = prepare_xy(prep, test, target, labels, [], False).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = tr.select("features", "label_idx")
+    te_base = test.select(*[qcol(c) for c in dict.fromkeys([*features, target])]).persist(StorageLevel.MEMORY_AND_DISK)
+    te = prepare_xy(prep, te_base, target, labels, [], False)
     n_train = prep.report["processed_rows"]
     results, rows = [], []
+    cols = ["pred_label"] + (["proba"] if problem_type == "classification" else [])
 
     def fit_one(i: int, name: str, est) -> tuple:
-        if not isinstance(est, SPARK_TREES):
+        if cells and (cells.whole or isinstance(est, SPARK_TREES)):
+            model = without_summary(fit_on_cells(est, cells))
+        elif not isinstance(est, SPARK_TREES):
             model = without_summary(est.fit(tr))
-        elif cells:
-            model = fit_on_cells(est, cells)
         else:
             wanted = -(-n_train // TREE_ROWS)
             model = est.fit(tr.repartition(wanted) if 0 < parts < wanted and not key_layout else tr)
-        scored = score_frame(model, te, problem_type, labels, test.schema[target].dataType)
+        label_type = test.schema[target].dataType
+        scored = once_each(te_base, prep, target, lambda kinds, own: score_frame(
+            model, prep.transform_test(kinds, keep=own, vector_col="features"), problem_type, labels, label_type), cols) if cells and cells.whole else None
+        if scored is None:
+            scored = score_frame(model, te, problem_type, labels, label_type).select(qcol(target), *cols)
         # model inference runs once: the narrow scored rows are kept while the metrics read them
-        cols = [target, "pred_label"] + (["proba"] if problem_type == "classification" else [])
-        scored = scored.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             m = evaluate(scored, target, problem_type, labels).first().asDict()
         finally:
@@ -233,8 +240,12 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
             if not algorithms or name in algorithms]
     cells = None
     try:
-        if not key_layout and any(isinstance(est, SPARK_TREES) for _, _, est in todo):
-            cells = cells_of(tr, n_train, len(labels) if labels is not None else None, p.max_bins)
+        if not key_layout:
+            cells = alike_of(base, prep, target, labels, lambda some, own: prepare_xy(prep, some, target, labels, own, True), p.max_bins)
+        if not cells:
+            tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+            if not key_layout and any(isinstance(est, SPARK_TREES) for _, _, est in todo):
+                cells = cells_of(tr, n_train, len(labels) if labels is not None else None, p.max_bins)
         if parallel and len(todo) > 1:
             # the estimators are independent: submit their Spark jobs concurrently from driver threads
             from concurrent.futures import ThreadPoolExecutor
@@ -249,7 +260,8 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
         if cells:
             cells.rows.unpersist()
         tr.unpersist()
-        te.unpersist()
+        base.unpersist()
+        te_base.unpersist()
     schema = T.StructType([
         T.StructField("run_id", T.StringType()), T.StructField("algorithm_name", T.StringType()),
         T.StructField("algo_ordinal", T.IntegerType()), T.StructField("model_path", T.StringType()),

@@ -93,3 +93,61 @@ def test_train_all_grows_its_trees_on_cells(spark, monkeypatch):
                                          params=TR.TrainParams(rf_trees=5, gbt_stages=3, lr_max_iter=10))
     assert met == [10, 10] and isinstance(res[2].model, GBTClassificationModel)
     assert [r.metrics["accuracy"] for r in res[1:]] == [1.0, 1.0]
+
+
+def tables(spark, n=4000):
+    """Rows with nulls among few different feature values, a text feature, a class and a number to learn."""
+    i = F.col("id")
+    df = spark.range(n).select(
+        "id", F.when(i % 7 != 0, (i % 11).cast("double")).alias("a"), F.when(i % 5 != 0, F.concat(F.lit("c"), i % 3)).alias("b"),
+        F.when(i % 13 < 4, "x").when((i + i % 3) % 11 < 5, "y").otherwise("z").alias("k"), ((i % 11) * 3.0 + (i * i % 17)).alias("v"))
+    return df.where("id % 4 != 0"), df.where("id % 4 = 0")
+
+
+def trained(spark, target, monkeypatch, cells):
+    train, test = tables(spark)
+    least, met = (0 if cells else 10 ** 9), []
+    fit = C.fit_on_cells
+    monkeypatch.setattr(TR, "alike_of", lambda *a: C.alike_of(*a, least_rows=least))
+    monkeypatch.setattr(TR, "once_each", lambda *a: C.once_each(*a, least_rows=least))
+    monkeypatch.setattr(TR, "fit_on_cells", lambda est, c: met.append(c.count) or fit(est, c))
+    kind = "classification" if target == "k" else "regression"
+    names = [TR.CLASSIFICATION_ALGORITHMS[i] if target == "k" else TR.REGRESSION_ALGORITHMS[i] for i in (0, 2)]
+    prep, labels, lb, res = TR.train_all(spark, train, test, ["a", "b"], target, kind, keys=["id"], algorithms=names,
+                                         params=TR.TrainParams(gbt_stages=4))
+    return met, res
+
+
+def test_every_model_learns_from_rows_alike_as_from_all_rows(spark, monkeypatch):
+    for target in ("k", "v"):
+        met, by_cells = trained(spark, target, monkeypatch, True)
+        none, by_rows = trained(spark, target, monkeypatch, False)
+        # nulls are filled, so 11 * 3 kinds of rows (and three classes)
+        assert len(met) == 2 and met[0] <= 33 * (3 if target == "k" else 1) and none == []
+        for a, b in zip(by_cells, by_rows, strict=True):
+            for m in b.metrics:
+                assert np.isclose(a.metrics[m], b.metrics[m], rtol=1e-6, atol=1e-6), (a.algorithm_name, m)
+    assert np.allclose(by_cells[0].model.coefficients, by_rows[0].model.coefficients)
+
+
+def test_rows_alike_are_scored_once_and_all_come_back(spark):
+    train, test = tables(spark)
+    prep = TR.FittedPrep.fit(train, ["a", "b"], "v")
+    met = []
+
+    def score(kinds, own):
+        met.append(kinds.count())
+        return prep.transform_test(kinds, keep=own, vector_col="features").withColumn("pred_label", F.xxhash64("features").cast("double"))
+
+    got = C.once_each(test, prep, "v", score, ["pred_label"], least_rows=0)
+    plain = prep.transform_test(test, keep=["v"], vector_col="features").select("v", F.xxhash64("features").cast("double").alias("pred_label"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and met[0] <= 33
+    assert C.once_each(test, prep, "v", score, ["pred_label"]) is None
+
+
+def test_rows_seldom_alike_or_without_a_target_are_left_as_they_are(spark):
+    prepare = lambda some, own: TR.prepare_xy(prep, some, "y", None, own, True)
+    for a, y in (((F.col("id")).cast("double"), F.col("id") * 1.0), ((F.col("id") % 4).cast("double"), F.when(F.col("id") > 0, 1.0))):
+        df = spark.range(1000).select(a.alias("a"), y.alias("y"))
+        prep = TR.FittedPrep.fit(df, ["a"], "y")
+        assert C.alike_of(df, prep, "y", None, prepare, 256, least_rows=0) is None

@@ -92,3 +92,12 @@ def test_passes_read_keys_worked_out_once_and_in_steps(spark, monkeypatch):
     keys = S.order_keys(df, ["a", "b"], {c: T.DoubleType() for c in "ab"}).collect()
     want = df.select(*[S.order_key(F.col(c), T.DoubleType()).alias(c) for c in "ab"]).collect()
     assert [tuple(r) for r in keys] == [tuple(r) for r in want]
+
+
+def test_medians_of_few_different_values_need_no_digit_passes(spark, monkeypatch):
+    df = spark.range(3001).select((F.col("id") % 10).cast("double").alias("a"), F.sqrt(F.col("id").cast("double")).alias("b"))
+    asked = []
+    kth = S.kth_values
+    monkeypatch.setattr(S, "kth_values", lambda d, ranks, *a, **k: asked.append(sorted(ranks)) or kth(d, ranks, *a, **k))
+    got = S.exact_medians(df, {"a": 3001, "b": 3001}, max_bracket=100)
+    assert asked == [["b"]] and got["a"] == 4.0 and got["b"] == 1500 ** 0.5
