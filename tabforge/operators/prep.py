@@ -158,6 +158,7 @@ class FittedPrep:
             if c in maybe_num:
                 aggs.append(F.avg(x).alias(f"m{i}"))
                 aggs.append((F.var_samp(x) * (F.count(x) - 1)).alias(f"q{i}"))
+                aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
         a = df.agg(*aggs).first()
         n = int(a["__n"])
         nn = {c: int(a[f"c{i}"]) for i, c in enumerate(features)}
@@ -175,7 +176,8 @@ class FittedPrep:
         elif median == "exact":
             sel = df.select(*[qcol(c).cast("double").alias(c) for c in num])
             kw = {"max_bracket": max_bracket} if max_bracket else {}
-            med = exact_medians(sel, num_counts, accuracy=accuracy, **kw)
+            about = {c: int(a[f"d{features.index(c)}"]) for c in num}
+            med = exact_medians(sel, num_counts, about=about, accuracy=accuracy, **kw)
         else:
             row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy).alias(c) for c in num]).first()
             med = {c: row[c] for c in num if row[c] is not None}

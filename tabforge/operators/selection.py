@@ -190,17 +190,17 @@ def median_ranks(n: int) -> list[int]:
     return sorted({(n - 1) // 2, n // 2})
 
 
-def exact_medians(df: DataFrame, counts: dict[str, int], max_bracket: int = DEFAULT_MAX_BRACKET, **kw) -> dict[str, float]:
+def exact_medians(df: DataFrame, counts: dict[str, int], max_bracket: int = DEFAULT_MAX_BRACKET, about: dict[str, int] | None = None,
+                  **kw) -> dict[str, float]:
     """Median with two-middle interpolation (pandas / DuckDB ``median``), all columns at once.
 
     The exact ``median`` aggregate is used directly where its per-column buffer, a count for each different value, is
-    small: every column has at most ``max_bracket`` values, or a column about ``FEW_VALUES`` different ones, however many
-    rows; the other columns go through the digit selection."""
+    small: every column has at most ``max_bracket`` values, or a column at most ``FEW_VALUES`` different ones by ``about``, an
+    estimate from an earlier pass, however many rows; the other columns go through the digit selection."""
     live = {c: n for c, n in counts.items() if n > 0}
     few = list(live)
     if live and max(live.values()) > max_bracket:
-        about = df.agg(*[F.approx_count_distinct(qcol(c)).alias(str(i)) for i, c in enumerate(live)]).first()
-        few = [c for i, c in enumerate(live) if about[str(i)] <= min(FEW_VALUES, max_bracket)]
+        few = [c for c in live if c in (about or {}) and about[c] <= min(FEW_VALUES, max_bracket)]
     out = {}
     if few:
         row = df.agg(*[F.median(qcol(c)).alias(str(i)) for i, c in enumerate(few)]).first()

@@ -216,7 +216,7 @@ def train_all(spark: SparkSession, train: DataFrame, test: DataFrame, features:
             model = without_summary(est.fit(tr))
         else:
             wanted = -(-n_train // TREE_ROWS)
-            model = est.fit(tr.repartition(wanted) if 0 < parts < wanted and not key_layout else tr)
+            model = without_summary(est.fit(tr.repartition(wanted) if 0 < parts < wanted and not key_layout else tr))
         label_type = test.schema[target].dataType
         scored = once_each(te_base, prep, target, lambda kinds, own: score_frame(
             model, prep.transform_test(kinds, keep=own, vector_col="features"), problem_type, labels, label_type), cols) if cells and cells.whole else None

@@ -99,5 +99,5 @@ def test_medians_of_few_different_values_need_no_digit_passes(spark, monkeypatch
     asked = []
     kth = S.kth_values
     monkeypatch.setattr(S, "kth_values", lambda d, ranks, *a, **k: asked.append(sorted(ranks)) or kth(d, ranks, *a, **k))
-    got = S.exact_medians(df, {"a": 3001, "b": 3001}, max_bracket=100)
+    got = S.exact_medians(df, {"a": 3001, "b": 3001}, max_bracket=100, about={"a": 10, "b": 3000})
     assert asked == [["b"]] and got["a"] == 4.0 and got["b"] == 1500 ** 0.5
